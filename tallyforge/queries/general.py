@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.snapshots import snapshot_changes
+from tallyforge.operators.timestamps import disagreeing_stamps
 from tallyforge.session import table
 
 
@@ -15,3 +16,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scanned = table(spark, d, "scanned_file").select(F.lit("scanned_file").alias("source_table"), "snapshot_no", "name", F.col("file_mod_time_stamp").alias("stamp"), *common)
     exported = table(spark, d, "rv_file").select(F.lit("rv_file").alias("source_table"), F.col("export_no").alias("snapshot_no"), F.col("file_name").alias("name"), F.col("file_mod_time_stamp").alias("stamp"), *common)
     return snapshot_changes(scanned.unionByName(exported))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose header stamp shares no instant with their modified_time or their DOS stamp."""
+    headers = table(spark, d, "file_header", ["header_id", "archive_id", "entry_index", "header_last_modified", "modified_time"])
+    return disagreeing_stamps(headers, table(spark, d, "archive_file", ["archive_id", "zone_name"]), table(spark, d, "central_entry", ["archive_id", "entry_index", "dos_date", "dos_time"]))
