@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.snapshots import snapshot_changes
 from tallyforge.operators.timestamps import disagreeing_stamps
+from tallyforge.operators.wide import attribute_list, filled_cells, to_wide
 from tallyforge.session import table
 
 
@@ -22,3 +23,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Entries whose header stamp shares no instant with their modified_time or their DOS stamp."""
     headers = table(spark, d, "file_header", ["header_id", "archive_id", "entry_index", "header_last_modified", "modified_time"])
     return disagreeing_stamps(headers, table(spark, d, "archive_file", ["archive_id", "zone_name"]), table(spark, d, "central_entry", ["archive_id", "entry_index", "dos_date", "dos_time"]))
+
+
+def p5_wide(spark: SparkSession, d: str, owner_kind: str) -> tuple[DataFrame, list]:
+    """The wide table of one kind of owner, and its attributes."""
+    name, entity = {"game": ("game_meta_data", "game_id"), "dat": ("dat_meta_data", "dat_id")}[owner_kind]
+    attributes = attribute_list(spark, table(spark, d, "meta_attribute"), owner_kind)
+    return to_wide(table(spark, d, name, [entity, "id", "value", "seq"]), entity, attributes), attributes
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Filled cells of both wide tables whose attribute isn't text."""
+    games, dats = [filled_cells(wide, kind, attributes) for kind in ("game", "dat") for wide, attributes in [p5_wide(spark, d, kind)]]
+    return games.unionByName(dats).distinct()
