@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.nested import catalog_nodes, linked_tables
 from tallyforge.operators.snapshots import snapshot_changes
 from tallyforge.operators.timestamps import disagreeing_stamps
 from tallyforge.operators.wide import attribute_list, filled_cells, to_wide
@@ -36,3 +37,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Filled cells of both wide tables whose attribute isn't text."""
     games, dats = [filled_cells(wide, kind, attributes) for kind in ("game", "dat") for wide, attributes in [p5_wide(spark, d, kind)]]
     return games.unionByName(dats).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every node below the root of a catalog with its parent's path."""
+    return catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"]), [])
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of files."""
+    return linked_tables(catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"])))["files"]
