@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.encoding_repair import garbled_names, garbled_texts, restored_headers
+from tallyforge.llm.tokens import encode_corpus, load_merges
 from tallyforge.session import table
 
 
@@ -19,3 +22,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     """Garbled header names with the name as it was given, where it can be recovered."""
     return restored_headers(table(spark, d, "file_header", ["header_id", "archive_id", "entry_index", "filename"]), table(spark, d, "central_entry", ["entry_id", "archive_id", "entry_index", "filename_bytes", "flags"]))
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; the folder is taken from TALLYFORGE_TOKENIZERS, /opt/tokenizers if unset."""
+    return f"{os.environ.get('TALLYFORGE_TOKENIZERS', '/opt/tokenizers')}/{name}"
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode_corpus(table(spark, d, "documents", ["doc_id", "text"]), "text", load_merges(tokenizer_path("byte_bpe_50k.json")), ["doc_id"])
+
+
+def queries() -> dict:
+    """The text problems' queries by name."""
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL over whole tables for those that SQL can express."""
+    return {}
