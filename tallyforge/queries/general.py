@@ -47,3 +47,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_files(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of files."""
     return linked_tables(catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"])))["files"]
+
+
+def queries() -> dict:
+    """The general problems' queries by name."""
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL over whole tables for those that SQL can express."""
+    return {}
