@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.encoding_repair import garbled_names, garbled_texts, restored_headers
+from tallyforge.llm.leakage import leaked
 from tallyforge.llm.tokens import encode_corpus, load_merges
 from tallyforge.session import table
 
@@ -34,9 +35,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", ["doc_id", "text"]), "text", load_merges(tokenizer_path("byte_bpe_50k.json")), ["doc_id"])
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked pairs with their tiles, the longest of them, and how much of the item they cover."""
+    return leaked(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_item", ["item_id", "text"]))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share at least 13 consecutive words."""
+    return p7_coverage(spark, d).select("doc_id", "item_id")
+
+
 def queries() -> dict:
     """The text problems' queries by name."""
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage}
 
 
 def oracle_sql() -> dict[str, str]:
