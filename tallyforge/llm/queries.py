@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.encoding_repair import garbled_names, garbled_texts, restored_headers
 from tallyforge.llm.leakage import leaked
 from tallyforge.llm.tokens import encode_corpus, load_merges
+from tallyforge.llm.truncation import judged_texts, truncation_by_source
 from tallyforge.session import table
 
 
@@ -45,9 +46,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_coverage(spark, d).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return judged_texts(table(spark, d, "documents", ["doc_id", "text", "source"])).filter("truncated").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut texts in each source."""
+    return truncation_by_source(judged_texts(table(spark, d, "documents", ["doc_id", "text", "source"])))
+
+
 def queries() -> dict:
     """The text problems' queries by name."""
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
