@@ -73,3 +73,21 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
+def spread_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Rank from 1 within ``keys`` by ``order``, without sorting a hot key in one task.
+
+    Rows are cut into ranges of (keys, order); ranks within a key and range are local, and each range adds the rows that
+    ranges before it hold of the same key. ``order`` must tell rows of a key apart, or their ranks are arbitrary.
+    """
+    from pyspark.sql import Window
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "_part"]]
+    joined = local.alias("l").join(before.alias("b"), same, "left")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("b._before")).cast("bigint").alias(name))
