@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.stats import base_status
 from tallyforge.schemas import EMPTY, IN_CATALOG
-from tallyforge.session import spread_rank
+from tallyforge.session import cut, spread_rank
 
 LANES = ["crc", "sha1", "md5"]
 WIDTH = {"crc": 8, "sha1": 40, "md5": 32}
@@ -76,10 +76,11 @@ def assign_sources(missing: DataFrame, held: DataFrame) -> DataFrame:
     content) are replayed target by target in order of visit, trying CRC, SHA-1 and MD5 in turn.
     """
     both = missing.withColumn("_side", F.lit(0)).unionByName(held.withColumn("_side", F.lit(1)))
-    rows = _identified(both).filter(F.col("_key").isNotNull()).withColumn("_place", location()).withColumn("_once", consumable())
+    rows = _identified(both).filter(F.col("_key").isNotNull())
+    rows = cut(rows).withColumn("_place", location()).withColumn("_once", consumable())
     group = ["_size", "_key"]
     clash = rows.groupBy(*group).agg(((F.min("sha1") != F.max("sha1")) | (F.min("md5") != F.max("md5"))).alias("x"), F.min("_side").alias("a"), F.max("_side").alias("b")).filter("a = 0 and b = 1").select(*group, F.coalesce("x", F.lit(False)).alias("clash"))
-    rows = rows.join(clash, group)
+    rows = cut(rows.join(clash, group))
     even = rows.filter("not clash")
     targets, sources = even.filter("_side = 0"), even.filter("_side = 1")
     best = F.struct(F.col("_place"), (F.col("got_status") == "Corrupt").alias("corrupt"), F.col("_once"), F.col("ord"), F.col("node_id"))
@@ -153,7 +154,7 @@ def plan_fixes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with plan_status, assignments): targets that can be made, sources needed, redundant files to delete, strays to move."""
     held, missing = partitions(nodes)
     wanted = missing.filter(~F.col("dat_status").isin("InDatMerged", "InDatNoDump"))
-    pairs = assign_sources(wanted, held)
+    pairs = cut(assign_sources(wanted, held))
     base = base_status(F.col("dat_status"), F.col("got_status"), F.lit("File"))
     source_state = nodes.select(F.col("node_id").alias("source_id"), (F.col("got_status") == "Corrupt").alias("from_corrupt"))
     made = pairs.join(source_state, "source_id").groupBy(F.col("missing_id").alias("node_id")).agg(F.min("from_corrupt").alias("_corrupt"), F.lit(True).alias("_made"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and holds at most so many rows.
 BROADCAST_ROWS = 200_000
+#: A key of at most so many rows may be ranked by a window in one task.
+WINDOW_ROWS = 500_000
 #: Copies of the other side when the counted side is larger and the keys may be hot.
 SALTS = 16
 
@@ -78,11 +80,15 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 def spread_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Rank from 1 within ``keys`` by ``order``, without sorting a hot key in one task.
 
-    Rows are cut into ranges of (keys, order); ranks within a key and range are local, and each range adds the rows that
+    The largest key is counted first; up to ``WINDOW_ROWS`` rows a window does. Beyond that rows are cut into ranges of (keys, order); ranks within a key and range are local, and each range adds the rows that
     ranges before it hold of the same key. ``order`` must tell rows of a key apart, or their ranks are arbitrary.
     """
     from pyspark.sql import Window
 
+    df = cut(df)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
