@@ -29,9 +29,10 @@ def epoch_seconds(column: str) -> Column:
     Below 1e11 it counts seconds, below 1e14 milliseconds, below 1e17 microseconds, below 2.5e17 units of 100 ns since
     1601, below 1e18 units of 100 ns since year 1, else nanoseconds. Null and the smallest bigint give null.
     """
+    column = f"nullif({column}, -9223372036854775807L - 1)"  # it has no absolute value
     per = lambda k: f"(({column} - pmod({column}, {k}L)) div {k}L)"  # noqa: E731 - floors, also below zero
     return F.expr(
-        f"""case when {column} is null or {column} = -9223372036854775807L - 1 then null
+        f"""case when {column} is null then null
         when abs({column}) < 100000000000L then {column}
         when abs({column}) < 100000000000000L then {per(1000)}
         when abs({column}) < 100000000000000000L then {per(10**6)}

@@ -84,7 +84,7 @@ def parse_stamps(values: DataFrame) -> DataFrame:
     number = F.when(F.col("kind") != "dos", F.expr("try_cast(_r as bigint)"))
     digits14 = F.col("_r").rlike(r"^\d{14}$")
     packed = (F.col("kind") == "packed") & (number > 0) & (number < 2**32)
-    df = df.withColumn("_n", F.when(digits14, None).otherwise(number))
+    df = df.withColumn("_n", F.when(~digits14, F.nullif(number, F.lit(-(2**63)).cast("long"))))  # the smallest bigint has no absolute value
     half = lambda i: F.expr(f"try_cast(split(_r, ':')[{i}] as bigint)")
     df = df.withColumn("_dos", F.when(F.col("kind") == "dos", F.struct(half(0).alias("d"), half(1).alias("t"))).when(packed, F.expr("struct(shiftright(_n, 16) as d, _n & 65535 as t)")))
     text = F.when((F.col("kind") != "dos") & F.col("_n").isNull(), F.col("_r"))
