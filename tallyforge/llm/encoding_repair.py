@@ -35,6 +35,7 @@ _COMMON_LATIN, _LESS_COMMON = set("éèêëáâäåæçíîñóôöøüßÉÈÊ
 _RUSSIAN = set("абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯёЁ")
 _QUOTES = set("“”‘’–—…„‚™•‹›«»")
 _ESCAPED = re.compile(r"&(?:#\d{2,7}|#x[0-9a-fA-F]{2,6}|[A-Za-z]{2,8});|%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+_NO_ESCAPE = set("&%\\")
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -84,7 +85,7 @@ def _char(c: str) -> tuple[str, str, float]:
     if o == 0xAD or o == 0xA0:
         return "s", "", 2.0
     if c in _QUOTES:
-        return "q", "", 0.3
+        return "q", "", 0.15 if c in "“”–—…" else 0.3
     category, case = unicodedata.category(c), ""
     if category[0] == "L" and o not in (0xAA, 0xBA):
         case = "l" if category == "Ll" else "u" if category == "Lu" else ""
@@ -121,6 +122,8 @@ def implausibility(text: str) -> float:
     cost, bare, prev = 0.0, 0, (" ", "", 0.0)
     n = len(text)
     chars = [_char(c) for c in text]
+    if not _NO_ESCAPE.isdisjoint(text):
+        cost += 1.2 * len(_ESCAPED.findall(text))
     for i, cur in enumerate(chars):
         s, case, c = cur
         cost += c
