@@ -284,35 +284,60 @@ def alphanumeric(a: str, b: str) -> int:
     return len(b) - len(a)
 
 
+def natural_key(name: Column) -> Column:
+    """A sort key of the alphanumeric order for names that differ: digit runs by value, other text in lower case, the longer of two that agree first."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
+    padded = F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), F.greatest(F.lit(20), F.length(x)), "0")).otherwise(F.lower(x)))
+    return F.concat(F.array_join(padded, ""), F.lit("\uffff"))
+
+
 def remove_duplicates(members: DataFrame, test_name: bool = False) -> DataFrame:
-    """Within a set, of members whose comparable hashes all agree (one of crc, sha1, md5 at least) one stays.
+    """Within a set, of members whose comparable hashes all agree (one of crc, sha1, md5 at least) one stays: a name without ``/`` before others, then the alphanumeric order, then ord.
 
-    A name without ``/`` is preferred, then the alphanumeric order. Pairs can agree through nulls without being
-    transitive, so sets are walked in order; exact copies are reduced to one row beforehand, which bounds a set.
+    Members with all hashes known agree only with their equals, so a minimum per identity decides, combined before the
+    shuffle. Members with unknown hashes can agree without being transitive; they are walked in order, together with
+    those that share a hash with them, and only they.
     """
-    exact = members.groupBy("game", "name", "size", *HASHES).agg(F.min("ord").alias("ord"))
-    cols = ["game", "ord", "name", "size", *HASHES]
+    lanes = ["crc", "sha1", "md5"]
+    ident = ["size", *HASHES, *(["name"] if test_name else [])]
+    order = F.struct(F.col("name").contains("/").alias("s"), natural_key(F.col("name")).alias("k"), "name", "ord")
+    first = members.groupBy("game", *ident).agg(F.min(order).alias("o")).select("game", F.col("o.ord").cast("bigint").alias("ord"), F.col("o.name").alias("_name"), *[c for c in ident if c != "name"])
+    known = F.lit(True)
+    for c in ["size", *lanes]:
+        known = known & F.col(c).isNotNull()
+    part = first.filter(~known)
+    keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c))) for c in lanes]))
+    touched = part.select("game", F.explode(keys).alias("h")).distinct()
+    near = first.filter(known).select("game", "ord", F.explode(keys).alias("h")).join(touched, ["game", "h"], "left_semi").select("game", "ord").distinct()
+    walked = first.join(part.select("game", "ord").unionByName(near).distinct(), ["game", "ord"], "left_semi")
+    kept = walked.groupBy("game").applyInPandas(_walk(test_name), "game string, ord bigint")
+    alone = first.filter(known).join(near, ["game", "ord"], "left_anti").select("game", "ord")
+    return members.join(alone.unionByName(kept), ["game", "ord"], "left_semi")
+
+
+def _walk(test_name: bool):
+    """Keep each member, in order, that agrees with none kept before; only those that share a hash can agree."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        def order(i: int, j: int) -> int:
-            a, b = pdf["name"][i] or "", pdf["name"][j] or ""
-            return ("/" in a) - ("/" in b) or alphanumeric(a, b) or int(pdf["ord"][i]) - int(pdf["ord"][j])
-
-        kept: list[int] = []
-        for i in sorted(pdf.index, key=cmp_to_key(order)):
-            if not any(_same(pdf.loc[i], pdf.loc[k], test_name) for k in kept):
-                kept.append(i)
-        return pdf.loc[sorted(kept), ["game", "ord"]]
-
-    # only sets in which a hash occurs twice can lose anything
-    suspects = exact.select("game", F.explode(F.array(*[F.concat_ws(":", F.lit(h), h) for h in ("crc", "sha1", "md5")])).alias("h")).filter(~F.col("h").isin("crc", "sha1", "md5")).groupBy("game", "h").count().filter("count > 1").select("game").distinct()
-    walked = exact.join(suspects, "game", "left_semi").select(*cols).groupBy("game").applyInPandas(walk, "game string, ord bigint")
-    clean = exact.join(suspects, "game", "left_anti").select("game", F.col("ord").cast("bigint").alias("ord"))
-    return members.join(walked.unionByName(clean), ["game", "ord"], "left_semi")
-
-
-def _same(a: pd.Series, b: pd.Series, test_name: bool) -> bool:
-    if test_name and a["name"] != b["name"]:
-        return False
-    both = [(h, a[h], b[h]) for h in ["size", *HASHES] if pd.notna(a[h]) and pd.notna(b[h])]
-    return all(x == y for _, x, y in both) and any(h in ("crc", "sha1", "md5") for h, _, _ in both)
+        rows = list(pdf[["ord", "_name", "size", *HASHES]].itertuples(index=False, name=None))
+        clean = [tuple(None if v is None or v != v else v for v in r) for r in rows]
+
+        def order(a: tuple, b: tuple) -> int:
+            x, y = a[1] or "", b[1] or ""
+            return ("/" in x) - ("/" in y) or alphanumeric(x, y) or a[0] - b[0]
+
+        kept, by_hash = [], {}
+        for r in sorted(clean, key=cmp_to_key(order)):
+            hashes = [(i, r[i]) for i in (3, 4, 6) if r[i] is not None]
+            if any(_agree(r, k, test_name) for h in hashes for k in by_hash.get(h, ())):
+                continue
+            kept.append(r[0])
+            for h in hashes:
+                by_hash.setdefault(h, []).append(r)
+        return pd.DataFrame({"game": pdf["game"].iloc[0], "ord": kept})
+
+    return walk
+
+
+def _agree(a: tuple, b: tuple, test_name: bool) -> bool:
+    return (not test_name or a[1] == b[1]) and all(x is None or y is None or x == y for x, y in zip(a[2:], b[2:], strict=True))
