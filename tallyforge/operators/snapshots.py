@@ -41,15 +41,21 @@ def epoch_seconds(column: str) -> Column:
         else {per(10**9)} end"""
     )
 
+#: Code points between two ranges that are still taken as one.
+NEAR = 0x60
+
 
 @cache
 def uncomposed_class() -> str:
-    """A character class of all that can occur in text that isn't NFC: marks, what composes with its predecessor, what NFC replaces."""
+    """A character class that covers all that can occur in text that isn't NFC: marks, what composes with its predecessor, what NFC replaces.
+
+    Ranges are joined across gaps of less than ``NEAR``: a matcher tries them one by one, so few are better than exact ones.
+    """
     second = {ord(d[1]) for c in range(0xA0, sys.maxunicode + 1) if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and unicodedata.normalize("NFC", d) == chr(c)}
     odd = [c for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or c in second or 0x1160 <= c < 0x1200 or not unicodedata.is_normalized("NFC", chr(c)))]
     spans: list[list[int]] = []
     for c in odd:
-        if spans and spans[-1][1] == c - 1:
+        if spans and spans[-1][1] >= c - NEAR:
             spans[-1][1] = c
         else:
             spans.append([c, c])
