@@ -267,28 +267,36 @@ def non_merge_set(games: DataFrame, members: DataFrame) -> DataFrame:
 
 
 # --- order ---
-_RUNS = re.compile(r"(\d+)|(\D+)")
+_RUNS = re.compile(r"([0-9]+)|([^0-9]+)")
 
 
 def alphanumeric(a: str, b: str) -> int:
-    """Digit runs by value, other text in lower case; an empty side compares equal to all; of two that agree as far as the shorter goes the longer comes first. No total order, so it is never a sort key of a distributed sort."""
+    """Compare run by run: digit runs by value, then the shorter first; other runs in ASCII lower case. If all runs that both have are equal the longer text comes first.
+
+    Names with a backslash come before those without; of two with one the parts before it decide, or those behind it. An
+    empty side compares equal to all, so this is no total order and never a key of a distributed sort.
+    """
     if not a or not b:
         return 0
+    if ("\\" in a) != ("\\" in b):
+        return -1 if "\\" in a else 1
+    if "\\" in a:
+        (a, x), (b, y) = a.split("\\", 1), b.split("\\", 1)
+        if a == b:
+            a, b = x, y
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     for x, y in zip(_RUNS.finditer(a), _RUNS.finditer(b), strict=False):
-        p, q = x[0], y[0]
-        if x[1] and y[1]:
-            if int(p) != int(q):
-                return -1 if int(p) < int(q) else 1
-        elif p.lower() != q.lower():
-            return -1 if p.lower() < q.lower() else 1
+        p, q = ((int(x[0]), len(x[0])), (int(y[0]), len(y[0]))) if x[1] and y[1] else (fold(x[0]), fold(y[0]))
+        if p != q:
+            return -1 if p < q else 1
     return len(b) - len(a)
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key of the alphanumeric order for names that differ: digit runs by value, other text in lower case, the longer of two that agree first."""
-    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), F.greatest(F.lit(20), F.length(x)), "0")).otherwise(F.lower(x)))
-    return F.concat(F.array_join(padded, ""), F.lit("\uffff"))
+    """A sort key of the alphanumeric order: backslash first, digit runs by value and width, other runs folded, the longer first if all common runs are equal."""
+    runs = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    padded = F.transform(runs, lambda x: F.when(x.rlike(r"^[0-9]"), F.concat(F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), F.greatest(F.lit(20), F.length(x)), "0"), F.format_string("%06d", F.length(x)))).otherwise(ascii_lower(x)))
+    return F.concat(F.when(name.contains("\\"), "0").otherwise("1"), F.array_join(padded, "\x01"), F.lit("\x01\uffff"))
 
 
 def remove_duplicates(members: DataFrame, test_name: bool = False) -> DataFrame:

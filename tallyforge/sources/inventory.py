@@ -9,6 +9,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,12 @@ def classify(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str, level: int = 1, glob: str = "*") -> DataFrame:
-    """Files below ``path``. Level 1 lists only, so no content is read; levels 2 and 3 hash it, whole and, for types that can have one, without its header. The content passes once, through built-in functions."""
+    """Files below ``path``. Level 1 lists only, so no content is read; levels 2 and 3 hash it, whole and, for types that can have one, without its header. The content passes once, through built-in functions. Empty files, which the source leaves out of its splits, are added from its own listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    every = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "_file string")
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    empty = every.join(files.select(bare(F.col("path")).alias("_seen")), bare(F.col("_file")) == F.col("_seen"), "left_anti")
+    files = files.unionByName(empty.select(F.col("_file").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
     listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), classify(F.col("path")).alias("file_type"), *(["content"] if level > 1 else []))
     if level == 1:
         return listed
