@@ -61,6 +61,9 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
+_GRAMS = "SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {0}, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13)"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables for those that SQL can express."""
-    return {}
+    return {"p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format('doc_id', 'documents')}) JOIN ({_GRAMS.format('item_id', 'eval_item')}) USING (g)"}
