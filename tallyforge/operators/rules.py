@@ -15,7 +15,7 @@ from tallyforge.session import sized_join
 def canonical_rules(rules: DataFrame) -> DataFrame:
     """One rule per normalised key, the first in ``ord`` order."""
     keyed = rules.withColumn("dir_key", dir_key(F.col("dir_key")))
-    return keyed.groupBy("dir_key").agg(F.min(F.struct("ord", *[c for c in rules.columns if c not in ("dir_key", "ord")])).alias("r")).select("dir_key", "r.*")
+    return keyed.groupBy("dir_key").agg(F.min(F.struct("ord", *[c for c in rules.columns if c not in ("dir_key", "ord")])).alias("r")).select("dir_key", "r.*").drop("ord")
 
 
 def resolve_rules(paths: DataFrame, rules: DataFrame, value: str) -> DataFrame:

@@ -175,6 +175,24 @@ def plan_fixes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("plan_status", status).drop("_made", "_corrupt", "_used", "_twice"), pairs
 
 
+def second_pass(plan: DataFrame) -> DataFrame:
+    """The planner's second run over its own result after complete-only: held rows of the catalog become Correct again, missing rows are matched anew, and rows already to be deleted, unneeded or moved are left alone.
+
+    Sources that still lie in the archive of their target become Rename.
+    """
+    carried = plan.drop("base_status").withColumnRenamed("plan_status", "_first")
+    again, pairs = plan_fixes(carried)
+    keep = F.col("_first").isin("Delete", "UnNeeded", "MoveToSort", "MoveToCorrupt", "NotCollected")
+    settled = again.withColumn("plan_status", F.when(keep, F.col("_first")).otherwise(F.col("plan_status"))).drop("_first")
+    moved = rename_promotion(settled, pairs).withColumn("_rename", F.lit(True))
+    return settled.join(moved, "node_id", "left").withColumn("plan_status", F.when(F.col("_rename"), "Rename").otherwise(F.col("plan_status"))).drop("_rename")
+
+
+def two_pass_plan(nodes: DataFrame) -> DataFrame:
+    """Both passes: plan, complete-only, plan again."""
+    return second_pass(cut(complete_only(plan_fixes(nodes)[0])))
+
+
 def plan_actions(plan: DataFrame, pairs: DataFrame) -> DataFrame:
     """The plan as actions; nothing touches files: (node_id, action, source_id)."""
     copies = pairs.select(F.col("missing_id").alias("node_id"), F.lit("copy").alias("action"), "source_id")

@@ -54,6 +54,27 @@ def queries() -> dict:
     return {"p2_found": p2_found, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found}
 
 
+_SECONDS = """CASE WHEN {0} < 100000000000 THEN {0} WHEN {0} < 100000000000000 THEN {0} // 1000 WHEN {0} < 100000000000000000 THEN {0} // 1000000
+ WHEN {0} < 250000000000000000 THEN {0} // 10000000 - 11644473600 WHEN {0} < 1000000000000000000 THEN {0} // 10000000 - 62135596800 ELSE {0} // 1000000000 END""".format("file_mod_time_stamp")
+_P4 = f"""WITH rows AS (SELECT 'scanned_file' AS source_table, root_id, snapshot_no, nfc_normalize(replace(name, chr(92), '/')) AS name, {_SECONDS} AS s, size, lower(crc) AS crc, delivered_at FROM scanned_file WHERE name <> ''
+ UNION ALL SELECT 'rv_file', root_id, export_no, nfc_normalize(replace(file_name, chr(92), '/')), {_SECONDS}, size, lower(crc), delivered_at FROM rv_file WHERE file_name <> ''),
+held AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY source_table, root_id, snapshot_no, name ORDER BY delivered_at DESC, s DESC, size DESC NULLS LAST, crc DESC NULLS LAST) = 1),
+snaps AS (SELECT *, lag(snapshot_no) OVER (PARTITION BY source_table, root_id ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT source_table, root_id, snapshot_no FROM rows))
+SELECT c.source_table, c.root_id, c.snapshot_no, c.name, CASE WHEN p.name IS NULL THEN 'added' ELSE 'changed' END AS change FROM held c JOIN snaps o USING (source_table, root_id, snapshot_no)
+ LEFT JOIN held p ON p.source_table = c.source_table AND p.root_id = c.root_id AND p.snapshot_no = o.before AND p.name = c.name WHERE before IS NOT NULL AND (p.name IS NULL OR p.s <> c.s OR p.size <> c.size OR p.crc <> c.crc)
+UNION ALL SELECT p.source_table, p.root_id, o.snapshot_no, p.name, 'removed' FROM held p JOIN snaps o ON o.source_table = p.source_table AND o.root_id = p.root_id AND o.before = p.snapshot_no
+ LEFT JOIN held c ON c.source_table = p.source_table AND c.root_id = p.root_id AND c.snapshot_no = o.snapshot_no AND c.name = p.name WHERE c.name IS NULL"""
+_P3 = """WITH RECURSIVE held AS (SELECT dat_id, node FROM dat_node QUALIFY row_number() OVER (PARTITION BY dat_id ORDER BY loaded_at DESC, node DESC) = 1),
+tree(dat_id, parent_path, node_path, body) AS (
+ SELECT dat_id, CAST(NULL AS VARCHAR), 'r', json_extract(node, '$.Dir.children') FROM held WHERE json_valid(node)
+ UNION ALL SELECT dat_id, node_path, node_path || '/' || i, json_extract(e, '$.node.Dir.children') FROM (
+  SELECT dat_id, node_path, i, json_extract(l, '$[' || i || ']') AS e FROM (
+   SELECT dat_id, node_path, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM (
+    SELECT dat_id, node_path, CASE json_type(c) WHEN 'OBJECT' THEN json_array(c) ELSE c END AS l FROM (
+     SELECT dat_id, node_path, CASE json_type(body) WHEN 'VARCHAR' THEN CAST(json_extract_string(body, '$') AS JSON) ELSE body END AS c FROM tree) WHERE json_type(c) IN ('ARRAY', 'OBJECT')))) WHERE json_type(e) = 'OBJECT')
+SELECT dat_id, parent_path, node_path FROM tree WHERE parent_path IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables for those that SQL can express."""
-    return {}
+    return {"p3_found": _P3, "p4_found": _P4}
