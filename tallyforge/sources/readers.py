@@ -65,10 +65,10 @@ def sniff(text: str) -> str:
     first = next((x.strip().lower() for x in text.splitlines() if x.strip()), "").lstrip("﻿")
     if re.match(r"<\?xml|<!doctype|<datafile|<softwarelist|<mame|<!--", first):
         return "xml"
-    if re.match(r"(clrmamepro|clrmame|romvault|game|machine)\b", first):
-        return "cmp"
     if first.startswith("doscenter"):
         return "dos"
+    if re.match(r"[a-z]+\s*\($", first) or re.match(r"[a-z]+\s*\(\s", first) or re.match(r"(?:game|machine)\b", first):
+        return "cmp"
     return "romcenter" if first.startswith("[credits]") else "unknown"
 
 
@@ -81,10 +81,10 @@ def read_xml(text: str) -> tuple[str, dict[str, str], Node]:
     header = root.find("header")
     if header is None:
         raise ValueError("a catalog needs a header")
-    fields = {c.tag: (c.text or "").strip() for c in header if c.tag not in ("romvault", "clrmamepro")}
-    for tag in ("clrmamepro", "romvault"):
-        if (c := header.find(tag)) is not None:
-            fields |= {k: v for k, v in c.attrib.items()}
+    # text elements are fields; elements with attributes hold packing and merging settings of some program
+    fields = {c.tag: (c.text or "").strip() for c in header if not c.attrib}
+    for c in header:
+        fields |= dict(c.attrib)
     top = Node("dir", "")
     _xml_children(root, top)
     return "xml", fields, top
@@ -162,12 +162,12 @@ def read_cmp(text: str) -> tuple[str, dict[str, str], Node]:
         if next(stream, ("", False)) != ("(", False):
             continue
         block = _block(stream)
-        if kind in ("clrmamepro", "clrmame", "romvault", "doscenter"):
-            header |= {k: v for k, v in block if isinstance(v, str)}
-        elif kind == "dir":
+        if kind == "dir":
             _cmp_children(block, top.add(Node("dir", _first(block, "name"))))
         elif kind in ("game", "machine", "resource"):
             top.add(_cmp_game(block))
+        elif not header and not top.children:  # the first block of a program's own name is the header
+            header = {k: v for k, v in block if isinstance(v, str)}
     return "cmp", header, top
 
 

@@ -41,6 +41,7 @@ def _game_open(tag: str) -> Column:
 def xml_lines(nodes: DataFrame, dialect: str = "plain") -> DataFrame:
     """(source, place, line): ``plain`` has game elements, ``mame`` machine elements, ``sets`` the typed root with set elements. Rows come from read_catalogs or have its columns."""
     tag = {"plain": "game", "mame": "machine", "sets": "set"}[dialect]
+    # fixed values: root elements
     root = {"plain": "datafile", "mame": "mame", "sets": "RVDatFile"}[dialect]
     key = F.concat_ws("/", F.col("path_key"), F.format_string("%010d", F.col("ord")))
     keyed = _keyed(nodes)
