@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.words import mixed, split_words, windows
-from tallyforge.session import cut, sized_join
+from tallyforge.session import cut, sized_join, spread_rank
 
 #: Cut places tried in each text to learn what cut texts look like.
 CUTS = 2
@@ -36,6 +36,8 @@ SUPPORT = 8
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.1
 #: Characters at the end of a text that must be found in its near-copy, and the share of its shingles that the copy must hold.
 TAIL, CONTAINED = 40, 0.8
+#: Members of a bucket in one task, and how many times more copies each round tries.
+BUCKET_ROWS, ROUND = 1000, 8
 CHUNK = 4 << 20
 
 _QUOTED = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.){0,200}\'|/\*(?:[^*]|\*(?!/))*\*/|(?://|#|--)[^\n]*', re.S)
@@ -150,14 +152,14 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].view(np.int64), np.bincount(text, minlength=n), count
 
 
-_FEATURES = "doc_id bigint, source string, chars int, bytes int, words int, fine string, coarse string, mark string, cut_fine array<string>, cut_coarse array<string>, buckets array<bigint>"
+_FEATURES = "doc_id bigint, source string, digest binary, chars int, bytes int, words int, fine string, coarse string, mark string, cut_fine array<string>, cut_coarse array<string>, buckets array<bigint>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _FEATURES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), None]
+    types = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), None]
     for batch in batches:
-        ids, sources, texts = (batch.column(i).to_pylist() for i in range(3))
+        ids, sources, digests, texts = (batch.column(i).to_pylist() for i in range(4))
         begin = held = 0
         for i, t in enumerate(texts):
             held += len(t)
@@ -167,7 +169,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [x.encode("utf-8", "replace") for x in part]
             buckets, per, words = sketches(raw)
             d = [describe(x) for x in part]
-            columns = [ids[begin : i + 1], sources[begin : i + 1], [len(x) for x in part], [len(x) for x in raw], words.tolist(), *[[x[j] for x in d] for j in range(5)]]
+            columns = [ids[begin : i + 1], sources[begin : i + 1], digests[begin : i + 1], [len(x) for x in part], [len(x) for x in raw], words.tolist(), *[[x[j] for x in d] for j in range(5)]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(buckets, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, types, strict=False)], lists], names=names)
             begin, held = i + 1, 0
@@ -236,15 +238,43 @@ def _continuation(text: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def longer_copies(features: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, copy_id): of each asked text the longest that shares a bucket of its largest sketch.
+    """(digest, copy, rank): of each asked text all distinct longer texts that share a bucket of its largest sketch, the longest first.
 
-    Each bucket keeps only its longest text, found by a maximum that combines before the shuffle, so a bucket of many
-    copies is neither a hot task nor a product of pairs.
+    Exact copies count once. Buckets that hold nothing longer drop out by a maximum that combines before the shuffle;
+    members of a large bucket are spread over salts, so it is no hot task.
     """
-    longest = features.select(F.explode("buckets").alias("bucket"), F.struct(F.col("chars"), F.col("doc_id")).alias("t")).groupBy("bucket").agg(F.max("t").alias("t"))
-    own = asked.filter(F.size("buckets") > 0).select("doc_id", "chars", F.explode(F.slice("buckets", -BANDS, BANDS)).alias("bucket"))
-    met = own.join(longest, "bucket").filter(F.col("t.chars") > F.col("chars"))
-    return met.groupBy("doc_id").agg(F.max("t").alias("t")).select("doc_id", F.col("t.doc_id").alias("copy_id"))
+    buckets = features.select(F.explode("buckets").alias("bucket"), "chars", "digest")
+    tops = buckets.groupBy("bucket").agg(F.max("chars").alias("top"), F.count("*").alias("n"))
+    own = asked.filter(F.size("buckets") > 0).select("digest", "chars", F.explode(F.slice("buckets", -BANDS, BANDS)).alias("bucket")).distinct()
+    own = cut(own.join(tops, "bucket").filter("top > chars").withColumn("salts", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")))
+    hot = own.groupBy("bucket").agg(F.min("chars").alias("least"), F.first("salts").alias("salts"))
+    held = sized_join(buckets, hot, ["bucket"], "inner").filter("chars > least").select("bucket", F.pmod(F.xxhash64("digest"), "salts").cast("int").alias("salt"), F.col("digest").alias("copy"), F.col("chars").alias("copy_chars")).distinct()
+    asking = own.select("bucket", "digest", "chars", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = asking.join(held, ["bucket", "salt"]).filter("copy_chars > chars").select("digest", "copy", (-F.col("copy_chars")).alias("shorter")).distinct()
+    return spread_rank(pairs, ["digest"], ["shorter", "copy"]).select("digest", "copy", "rank")
+
+
+def continued(asked: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, on): asked texts that a copy continues, and how.
+
+    Copies are tried by rank, in rounds that grow by ``ROUND``, until one settles the text or none is left; so a text
+    that its first copy settles isn't held against all others, and no copy is left out. ``texts``: digest, text.
+    """
+    pairs = cut(pairs.join(asked.select("digest", "half").distinct(), "digest"))
+    most = pairs.agg(F.max("rank")).first()[0] or 0
+    needed = pairs.select("digest").union(pairs.select("copy")).distinct()
+    texts = cut(sized_join(texts, needed, ["digest"], "inner").groupBy("digest").agg(F.first("text").alias("text"))) if most else texts
+    settled = pairs.select("digest", F.lit(None).cast("string").alias("on")).limit(0)
+    low, high = 0, 1
+    while low < most:
+        tried = pairs.filter((F.col("rank") > low) & (F.col("rank") <= high))
+        if low:
+            tried = tried.join(settled, "digest", "left_anti")
+        both = tried.join(texts, "digest").join(texts.select(F.col("digest").alias("copy"), F.col("text").alias("other")), "copy")
+        found = both.withColumn("on", _continuation("text", "other")).filter((F.col("on") == "line") | (F.col("on") == "text") & F.col("half"))
+        settled = cut(settled.unionByName(found.groupBy("digest").agg(F.min("on").alias("on"))))
+        low, high = high, high * ROUND
+    return settled
 
 
 def judged_texts(documents: DataFrame) -> DataFrame:
@@ -256,7 +286,7 @@ def judged_texts(documents: DataFrame) -> DataFrame:
     """
     given = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
     filled = given.filter("text is not null and text <> ''")
-    features = cut(filled.select("doc_id", "source", "text").mapInArrow(_features, _FEATURES))
+    features = cut(filled.select("doc_id", "source", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_features, _FEATURES))
     first = _rated(features.drop("buckets").withColumn("at_limit", F.lit(False)))
     limits = cut(source_limits(first))
     rated = cut(_rated(_near_limit(features, limits)))
@@ -265,11 +295,10 @@ def judged_texts(documents: DataFrame) -> DataFrame:
     rated = rated.withColumn("sure", sure)
     # whole by its line end or its shape, or already judged: no copy is asked
     asked = rated.filter(F.col("sure").isNull() & ~line_end & (F.col("ratio") < SOUND))
-    pairs = longer_copies(rated, asked)
-    texts = filled.select("doc_id", "text")
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("copy_id"), F.col("text").alias("other")), "copy_id")
-    copied = both.withColumn("on", _continuation("text", "other")).filter("on is not null").groupBy("doc_id").agg(F.min("on").alias("on"))
-    out = rated.join(copied, "doc_id", "left").withColumn("reason", F.coalesce("sure", F.when((F.col("on") == "line") | ((F.col("on") == "text") & (F.col("ratio") < HALF)), "copy")))
+    asked = asked.select("digest", "chars", "buckets", (F.col("ratio") < HALF).alias("half"))
+    texts = filled.select(F.unhex(F.md5("text")).alias("digest"), "text")
+    copied = continued(asked, longer_copies(rated, asked), texts)
+    out = rated.join(copied, "digest", "left").withColumn("reason", F.coalesce("sure", F.when(F.col("on").isNotNull(), "copy")))
     judged = out.groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
     rest = given.filter("text is null or text = ''").select("doc_id", "source").distinct().withColumn("reason", F.lit(None).cast("string"))
     return judged.unionByName(rest).select("doc_id", "source", F.col("reason").isNotNull().alias("truncated"), "reason")

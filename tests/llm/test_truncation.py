@@ -51,6 +51,15 @@ def test_a_longer_copy_shows_what_was_lost(spark):
     assert {r.doc_id: r.reason for r in run(spark, rows).filter("truncated").collect()} == {2: "copy"}
 
 
+def test_every_longer_text_of_a_bucket_is_tried(spark):
+    r = random.Random(2)
+    words = [f"{r.choice('abcdefgh')}{i}" for i in range(600)]
+    full = " ".join(words[:200]) + "."
+    forks = [(100 + i, " ".join(words[:128] + r.choices(words[300:], k=100 + i)) + ".", "s") for i in range(12)]
+    rows = [(1, full, "s"), (2, full[: full.index(words[150]) - 1], "s"), *forks] + [(10 + i, " ".join(r.choices(words, k=120)), "s") for i in range(60)]
+    assert {r.doc_id: r.reason for r in run(spark, rows).filter("truncated").collect()} == {2: "copy"}
+
+
 def test_empty_and_long(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [(1, None, None), (2, "", "s")]).filter("truncated").count() == 0
