@@ -139,3 +139,12 @@ def display_bytes_flags(text: Column, from_dat: Column, from_header: Column) ->
     """A cell with the sources of its value: (D), (H), both or none."""
     flags = F.concat(F.when(from_dat, "D").otherwise(""), F.when(from_header, "H").otherwise(""))
     return F.when(F.coalesce(text, F.lit("")) == "", "").when(flags == "", text).otherwise(F.concat(text, F.lit(" ("), flags, F.lit(")")))
+
+
+#: Code page 437's characters for the bytes from 0x80 on, and those that ISO-8859-1 has there.
+_CP437, _LATIN1 = (bytes(range(128, 256)).decode(c) for c in ("cp437", "latin-1"))
+
+
+def entry_name(raw: Column, flags: Column) -> Column:
+    """An archive entry's name as read: UTF-8 if bit 11 of flags is set, undecodable bytes replaced, else code page 437."""
+    return F.when(F.coalesce(flags, F.lit(0)).bitwiseAND(F.lit(2048)) > 0, F.make_valid_utf8(raw.cast("string"))).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), _LATIN1, _CP437))

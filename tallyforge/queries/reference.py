@@ -479,7 +479,7 @@ def prepare_members(spark, d):
 
 @query(f"WITH {fx.MEMBERS}, c AS (SELECT DISTINCT CAST(archive_id AS VARCHAR) AS archive, decode(filename_bytes) AS name, uncompressed_size AS size FROM (SELECT * FROM central_entry WHERE flags & 2048 > 0 AND regexp_full_match(hex(filename_bytes), '([0-7].)*'))) SELECT coalesce(m.archive, c.archive) AS archive, coalesce(m.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'add' WHEN m.name IS NULL THEN 'drop' WHEN m.size = c.size THEN 'keep' ELSE 'replace' END AS action FROM members m FULL JOIN c ON c.archive = m.archive AND c.name = m.name")
 def rebuild_plan(spark, d):
-    c = spark.read.parquet(f"{d}/central_entry.parquet").filter((F.col("flags").bitwiseAND(F.lit(2048)) > 0) & F.hex("filename_bytes").rlike("^([0-7].)*$")).select(F.col("archive_id").cast("string").alias("archive"), F.col("filename_bytes").cast("string").alias("name"), F.col("uncompressed_size").alias("size")).distinct()
+    c = spark.read.parquet(f"{d}/central_entry.parquet").select(F.col("archive_id").cast("string").alias("archive"), tx.entry_name(F.col("filename_bytes"), F.col("flags")).alias("name"), F.col("uncompressed_size").alias("size")).distinct()
     return archives.rebuild_plan(fx.members(spark, d), c, ["size"])
 
 
