@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.words import mixed, split_words, windows
+from tallyforge.llm.words import Words, mixed, split_words, windows
 from tallyforge.session import cut, sized_join, spread_rank
 
 #: Cut places tried in each text to learn what cut texts look like.
@@ -34,7 +35,7 @@ CUT, LOOK, HALF, SOUND = 0.1, 0.25, 0.5, 20.0
 SUPPORT = 8
 #: A limit takes at least so many closed-off texts of a source, and this share of them.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.1
-#: Characters at the end of a text that must be found in its near-copy, and the share of its shingles that the copy must hold.
+#: Characters at the end of a text that are aligned with its near-copy, and the share of them and of its shingles that the copy must hold.
 TAIL, CONTAINED = 40, 0.8
 #: Members of a bucket in one task, and how many times more copies each round tries.
 BUCKET_ROWS, ROUND = 1000, 8
@@ -218,23 +219,101 @@ def _near_limit(features: DataFrame, limits: DataFrame) -> DataFrame:
     return out.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False))).drop("at_chars", "at_bytes")
 
 
+def _shingles(raw: bytes) -> tuple[Words, np.ndarray, np.ndarray]:
+    words = split_words([raw])
+    return (words, *windows(words.hash, words.text, SHINGLE))
+
+
+def _spaced(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(characters with every run of white space as one blank, their places in the text)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    blank = (codes == 32) | (codes >= 9) & (codes <= 13)
+    place = np.flatnonzero(~blank | np.append(True, ~blank[:-1])[: len(blank)])
+    return np.where(blank, np.uint32(32), codes)[place], place
+
+
+def _last_anchor(mine: np.ndarray, theirs: np.ndarray) -> tuple[int, int] | None:
+    """The end of the longest chain of shingles that occur once in both texts and in the same order in both."""
+    sides = []
+    for x in (mine, theirs):
+        value, first, count = np.unique(x, return_index=True, return_counts=True)
+        sides.append((value[count == 1], first[count == 1]))
+    _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    i, j = sides[0][1][i], sides[1][1][j]
+    order = np.argsort(i)
+    ends: list[int] = []
+    last = None
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        k = bisect_left(ends, y)
+        if k == len(ends):
+            ends.append(y)
+            last = (x, y)
+        else:
+            ends[k] = y
+            if k == len(ends) - 1:
+                last = (x, y)
+    return last
+
+
+def _end_in(tail: np.ndarray, window: np.ndarray, expected: int) -> int | None:
+    """Where the best alignment of a tail with any part of a window ends: least edits, then nearest to ``expected``.
+
+    The last character must agree, or the text has an ending of its own; at most 1 - ``CONTAINED`` of the tail is edited.
+    """
+    idx = np.arange(len(window) + 1)
+    cost = np.zeros(len(window) + 1, np.int64)
+    for k, c in enumerate(tail[:-1].tolist()):
+        step = np.append(k + 1, np.minimum(cost[:-1] + (window != c), cost[1:] + 1))
+        cost = np.minimum.accumulate(step - idx) + idx
+    ends = np.flatnonzero(window == tail[-1])
+    if not len(ends):
+        return None
+    edits = cost[ends]
+    if edits.min() > (1 - CONTAINED) * len(tail):
+        return None
+    best = ends[edits == edits.min()] + 1
+    return int(best[np.argmin(np.abs(best - expected))])
+
+
+def continuation(text: str, other: str) -> str | None:
+    """How a near-copy goes on where the text ends: ``line`` within the line, ``text`` after it, null if it doesn't or isn't one.
+
+    The pair is aligned by chained shingles up to the last one in common, and from there by edit distance of the text's
+    tail, white space taken alike.
+    """
+    a = _MARK.sub("", text).rstrip()
+    if not a:
+        return None
+    raw_a, raw_b = a.encode("utf-8", "replace"), other.encode("utf-8", "replace")
+    (words_a, mine, at_a), (words_b, theirs, at_b) = _shingles(raw_a), _shingles(raw_b)
+    own = set(mine.tolist())
+    if len(own.intersection(theirs.tolist())) + 1 < CONTAINED * len(own):
+        return None
+    codes_a, place_a = _spaced(a)
+    codes_b, place_b = _spaced(other)
+    here = there = 0
+    if anchor := _last_anchor(mine, theirs):
+        ends = words_a.end[at_a[anchor[0]] + SHINGLE - 1], words_b.end[at_b[anchor[1]] + SHINGLE - 1]
+        here, there = (int(np.searchsorted(place, len(raw[:e].decode("utf-8", "replace")))) for place, raw, e in zip((place_a, place_b), (raw_a, raw_b), ends, strict=True))
+    left = len(codes_a) - here
+    low = max(0, there - TAIL)
+    window = codes_b[low : there + int(left / CONTAINED) + 2 * TAIL]
+    end = _end_in(codes_a[-TAIL:], window, there + left - low)
+    if end is None:
+        return None
+    stop = int(place_b[low + end - 1]) + 1
+    rest = other[stop:]
+    if not rest.strip():
+        return None
+    upto = set(_shingles(other[:stop].encode("utf-8", "replace"))[1].tolist())
+    if len(own & upto) < CONTAINED * len(own | upto):
+        return None
+    return "text" if rest.lstrip(" \t")[:1] in "\r\n" else "line"
+
+
 @F.pandas_udf(T.StringType())
 def _continuation(text: pd.Series, other: pd.Series) -> pd.Series:
-    """How a near-copy goes on where the text ends: ``line`` within the line, ``text`` after it, null if it doesn't or isn't one."""
-    out = []
-    for a, b in zip(text, other, strict=True):
-        a = _MARK.sub("", a).rstrip()
-        tail = a[-TAIL:]
-        at = b.find(tail, max(0, len(a) // 2 - TAIL))
-        verdict = None
-        if at >= 0:
-            rest = b[at + len(tail) :]
-            if rest.strip():
-                mine, theirs = (set(windows(w.hash, w.text, SHINGLE)[0].tolist()) for w in (split_words([x.encode("utf-8", "replace")]) for x in (a, b[: at + len(tail)])))
-                if len(mine & theirs) >= CONTAINED * len(mine | theirs):
-                    verdict = "text" if rest.lstrip(" \t")[:1] in "\r\n" else "line"
-        out.append(verdict)
-    return pd.Series(out, dtype=object)
+    return pd.Series([continuation(a, b) for a, b in zip(text, other, strict=True)], dtype=object)
 
 
 def longer_copies(features: DataFrame, asked: DataFrame) -> DataFrame:

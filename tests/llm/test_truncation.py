@@ -2,7 +2,7 @@
 
 import random
 
-from tallyforge.llm.truncation import describe, judged_texts, sketches, truncation_by_source
+from tallyforge.llm.truncation import continuation, describe, judged_texts, sketches, truncation_by_source
 
 
 def function(r, n):
@@ -75,3 +75,25 @@ def test_sketches_of_a_prefix_meet_those_of_the_whole():
     buckets, per, words = sketches([text, text[:190], b"", b"a b"])
     assert words.tolist() == [100, 50, 0, 2] and per[2] == per[3] == 0
     assert buckets[: per[1]].tolist() == buckets[per[0] : per[0] + per[1]].tolist()
+
+
+def test_copies_are_aligned_where_the_text_ends():
+    words = [f"w{i}x" for i in range(300)]
+    full = "".join(w + (" " if i % 9 else ";\n    ") for i, w in enumerate(words))
+    text = full[: full.index(words[199]) + 2]
+    assert continuation(text, full) == "line"
+    assert continuation(text.replace(words[196], "renamed"), full) == "line"
+    assert continuation(text.replace("\n    ", "\r\n\t"), full) == "line"
+    assert continuation(full[: full.index(words[199]) - 5], full) == "text"
+    assert continuation(full[: full.index(words[190])] + "and so it ends quite otherwise than there, with a word of its own.", full) is None
+    assert continuation(full, full) is None and continuation(full + " more", full) is None
+    # a tail that recurs is judged where the text ends, not at its first place
+    block = " ".join(f"same{i}" for i in range(8))
+    twice = " ".join(words[:120]) + f" {block} " + " ".join(words[120:160]) + f" {block}"
+    assert continuation(twice, twice + " and on") == "line"
+
+
+def test_very_long_texts_are_aligned():
+    full = " ".join(f"w{i * 7919 % 100_003}" for i in range(100_000))
+    assert continuation(full[:500_000], full) == "line"
+    assert continuation("la " * 50_000 + "lu", "la " * 50_000 + "lu la") == "line"
