@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import report, stats
 from tallyforge.operators.archives import check_members
 from tallyforge.operators.reconcile import reconcile
+from tallyforge.operators.rules import header_type
 from tallyforge.operators.transforms import set_status
 from tallyforge.plans.fixes import plan_actions, plan_fixes
 from tallyforge.sources import inventory, readers, writers
@@ -33,7 +34,7 @@ class Workspace:
     def update_catalogs(self, folder: str) -> DataFrame:
         """Read all catalogs below a folder; files take their set's name as place and their status from their marks."""
         nodes = self._write(readers.read_catalogs(self.spark, folder), "catalog_nodes")
-        files = nodes.filter("kind = 'file'").select("source", F.element_at("path", -1).alias("place"), "name", F.lit("File").alias("file_type"), F.col("size").cast("bigint").alias("size"), "crc", "sha1", "md5", "merge", "status", "mia", F.lit(None).cast("string").alias("dat_status"))
+        files = nodes.filter("kind = 'file'").select("source", F.element_at("path", -1).alias("place"), "name", F.lit("File").alias("file_type"), F.col("size").cast("bigint").alias("size"), "crc", "sha1", "md5", "merge", "status", "mia", F.lit(None).cast("string").alias("dat_status"), header_type(F.col("header")["header"]).alias("header_type"))
         return self._write(set_status(files), "catalog")
 
     def scan(self, folder: str, deep: bool = False) -> DataFrame:
@@ -41,8 +42,9 @@ class Workspace:
         members = self._write(inventory.scan_archives(self.spark, folder, deep), "members")
         stem = F.regexp_replace(F.regexp_extract("archive", r"([^/]*)$", 1), r"\.[^.]*$", "")
         packed = members.filter("name is not null and not is_dir").select(stem.alias("place"), "name", F.lit("File").alias("file_type"), "size", "crc", "sha1", "md5", "got_status")
-        loose = inventory.scan(self.spark, folder, level=2).filter("file_type = 'File' and not path like '%.gz'").select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("place"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "file_type", "size", "crc", "sha1", "md5", "got_status")
-        return self._write(packed.unionByName(loose), "inventory")
+        bare = ["header_type", "alt_size", "alt_crc", "alt_sha1", "alt_md5"]
+        loose = inventory.scan(self.spark, folder, level=2).filter("file_type = 'File' and not path like '%.gz'").select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("place"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "file_type", "size", "crc", "sha1", "md5", "got_status", *bare)
+        return self._write(packed.unionByName(loose, allowMissingColumns=True), "inventory")
 
     def find_fixes(self) -> DataFrame:
         """Reconcile and plan."""

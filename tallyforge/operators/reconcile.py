@@ -39,6 +39,9 @@ def reconcile(catalog: DataFrame, inventory: DataFrame, place: list[str]) -> Dat
     first, each row once, in the order of their hashes. Result: place, name, dat_status (NotInDat where nothing was
     expected), got_status (Got, NotGot, Corrupt on a hash clash, FileLocked kept), expected and observed hashes in
     columns of their own, base_status. Null names match nothing and stay as they are.
+
+    A catalog with header_type and an inventory with header_type and alt_size, alt_crc, alt_sha1, alt_md5 (the content
+    without its header) also agree where the types are equal and the catalog states the content without header.
     """
     from pyspark.sql import Window
 
@@ -48,20 +51,34 @@ def reconcile(catalog: DataFrame, inventory: DataFrame, place: list[str]) -> Dat
     extra = lambda df, c, t="string": df if c in df.columns else df.withColumn(c, F.lit(None).cast(t))
     for c in LANES:
         catalog, inventory = extra(catalog, c), extra(inventory, c)
+    headers = "header_type" in catalog.columns and "header_type" in inventory.columns
+    if headers:
+        for c in facts:
+            inventory = extra(inventory, f"alt_{c}", "bigint" if c == "size" else "string")
     # identical identities meet first, then what is left by position
     ident = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in facts])
     left = catalog.withColumn("_id", ident).withColumn("_k", F.row_number().over(Window.partitionBy(*key, "_id").orderBy(F.lit(1))))
     right = inventory.withColumn("_id", ident).withColumn("_k", F.row_number().over(Window.partitionBy(*key, "_id").orderBy(F.lit(1))))
     exact = left.select(*key, "_id", "_k").join(right.select(*key, "_id", "_k"), [*key, "_id", "_k"], "inner").withColumn("_hit", F.lit(True))
-    slot = lambda df: number(df.join(exact, [*key, "_id", "_k"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))))
-    rank = F.row_number().over(Window.partitionBy(*key, "_hit").orderBy("_id", "_k"))
-    a = slot(left).withColumn("_slot", rank).alias("a")
-    b = slot(right).withColumn("_slot", rank).alias("b")
+    met = lambda df: df.join(exact, [*key, "_id", "_k"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    left, right = met(left), met(right)
+    first = F.when(F.col("_hit"), 0).otherwise(2)
+    if headers:  # of the rest, those that agree without their header
+        bare = F.concat_ws("|", "header_type", *[F.coalesce(F.col(f"alt_{c}").cast("string"), F.lit("")) for c in facts])
+        nth = lambda df, alt: df.filter(F.col("header_type").isin(ALT_CAPABLE) & ~F.col("_hit")).select(*key, "_id", "_k", alt.alias("_bare")).withColumn("_m", F.row_number().over(Window.partitionBy(*key, "_bare").orderBy("_id", "_k")))
+        l, r = nth(left, F.concat_ws("|", "header_type", "_id")), nth(right, bare)
+        join = lambda df, x, y: df.join(x.join(y.select(*key, "_bare", "_m"), [*key, "_bare", "_m"]).withColumnRenamed("_m", "_nth"), [*key, "_id", "_k"], "left")
+        left, right = join(left, l, r), join(right, r, l)
+        first = F.when(F.col("_hit"), 0).when(F.col("_bare").isNotNull(), 1).otherwise(2)
+    order = ["_bare", "_nth"] if headers else []
+    rank = F.row_number().over(Window.partitionBy(*key, "_hit").orderBy(*order, "_id", "_k"))
+    slot = lambda df: number(df.withColumn("_hit", first)).withColumn("_slot", rank)
+    a, b = slot(left).alias("a"), slot(right).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "_hit", "_slot"]]
     both = a.join(b, on, "full_outer")
     expected, found = F.col("a._slot").isNotNull(), F.col("b._slot").isNotNull()
     locked = F.col("b.got_status") == "FileLocked"
-    agree = hashes_agree("a", "b")
+    agree = matches("a", "b") if headers else hashes_agree("a", "b")
     got = F.when(~found, "NotGot").when(locked, "FileLocked").when(~expected, F.col("b.got_status")).when(agree, F.when(F.col("b.got_status") == "Corrupt", "Corrupt").otherwise("Got")).otherwise("Corrupt")
     rows = both.select(
         *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in [*key, "file_type"]],
