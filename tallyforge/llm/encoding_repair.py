@@ -234,6 +234,7 @@ def restore(text: str, raw: bytes | None = None) -> tuple[str | None, bool]:
 #: What can be garbled at all: text beyond ASCII, or escapes.
 _SUSPECT = r"[^\x00-\x7F]|&#?[A-Za-z0-9]{2,8};|%[0-9A-Fa-f]{2}|\\[ux][0-9a-fA-F]{2}"
 _RESULT = T.StructType([T.StructField("given", T.StringType()), T.StructField("garbled", T.BooleanType())])
+_RESTORED = T.StructType([*_RESULT.fields, T.StructField("cost", T.DoubleType())])
 _NAMED = T.StructType([T.StructField("name", T.StringType()), *_RESULT.fields])
 
 
@@ -283,10 +284,24 @@ def garbled_names(df: DataFrame, raw: str, flags: str, key: str) -> DataFrame:
     return rows.withColumn("r", _restore_bytes("raw", "flags")).filter("r.garbled").select("row_id", "r.name", "r.given").distinct()
 
 
+@F.pandas_udf(_RESTORED)
+def _read_back(raw: pd.Series, flags: pd.Series) -> pd.DataFrame:
+    """The sound or restored name of an entry and how implausible it is; null if it is lost."""
+    rows = []
+    for r, f in zip(raw, flags, strict=True):
+        name = read_name(bytes(r), int(f))
+        given, garbled = _restore_cached(name, bytes(r) if "\ufffd" in name else None)
+        rows.append((given, garbled, None if given is None else float(implausibility(given))))
+    return pd.DataFrame(rows, columns=["given", "garbled", "cost"])
+
+
 def restored_headers(headers: DataFrame, entries: DataFrame) -> DataFrame:
-    """Garbled header names with the name as it was given; where reading lost it, it is taken from the bytes of the tied entry."""
+    """Garbled header names with the name as it was given; where reading lost it, it is taken from the bytes of the tied entry.
+
+    Of several tied entries, sound or garbled, the most plausible name holds; ties take a sound one, then the least name.
+    """
     own = garbled_texts(headers, "filename", "header_id")
     lost = own.filter("given is null").select("row_id").join(headers.select(F.col("header_id").alias("row_id"), "archive_id", "entry_index").distinct(), "row_id")
-    tied = entries.select("entry_id", "archive_id", "entry_index", "filename_bytes", "flags").join(lost, ["archive_id", "entry_index"]).dropDuplicates(["row_id"])
-    again = garbled_names(tied, "filename_bytes", "flags", "row_id").filter("given is not null").select("row_id", F.col("given").alias("from_bytes"))
+    tied = entries.select("archive_id", "entry_index", F.col("filename_bytes").alias("raw"), F.coalesce("flags", F.lit(0)).alias("flags")).filter("raw is not null").join(lost, ["archive_id", "entry_index"])
+    again = tied.withColumn("r", _read_back("raw", "flags")).filter("r.given <> ''").groupBy("row_id").agg(F.min(F.struct("r.cost", "r.garbled", "r.given")).alias("b")).select("row_id", F.col("b.given").alias("from_bytes"))
     return own.join(again, "row_id", "left").select("row_id", "name", F.coalesce("given", "from_bytes").alias("given"))

@@ -64,3 +64,11 @@ def test_lost_header_is_restored_from_its_entry(spark):
     headers = spark.createDataFrame([(1, 7, 0, "Dr�b.bin"), (2, 7, 1, "Dr�b.bin")], "header_id bigint, archive_id bigint, entry_index int, filename string")
     entries = spark.createDataFrame([(9, 7, 0, bytearray("Drñb.bin".encode("cp437")), 2048)], "entry_id bigint, archive_id bigint, entry_index int, filename_bytes binary, flags int")
     assert {(r.row_id, r.given) for r in restored_headers(headers, entries).collect()} == {(1, "Drñb.bin"), (2, None)}
+
+
+def test_every_tied_entry_can_restore_a_lost_header(spark):
+    headers = spark.createDataFrame([(i, 7, i, f"L�st{i}.bin") for i in range(1, 6)], "header_id bigint, archive_id bigint, entry_index int, filename string")
+    sound, garbled, gone = "Lóst{}.bin".encode, "Lóst{}.bin".encode("cp437"), "L�st{}.bin".encode()
+    raw = [(1, sound(), 2048), (2, gone, 2048), (2, garbled, 2048), (3, garbled, 2048), (3, gone, 2048), (4, b"plain.bin", 0), (5, gone, 2048), (5, None, 0)]
+    entries = spark.createDataFrame([(i, 7, e, None if b is None else bytearray(b), f) for i, (e, b, f) in enumerate(raw)], "entry_id bigint, archive_id bigint, entry_index int, filename_bytes binary, flags int")
+    assert {r.row_id: r.given for r in restored_headers(headers, entries).collect()} == {1: "Lóst{}.bin", 2: "Lóst{}.bin", 3: "Lóst{}.bin", 4: "plain.bin", 5: None}
