@@ -44,34 +44,34 @@ CHUNK = 4 << 20
 _QUOTED = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.){0,200}\'|/\*(?:[^*]|\*(?!/))*\*/|(?://|#|--)[^\n]*', re.S)
 _MARK = re.compile(r"(?:…|\[(?:\.\.\.|…|truncated)\]|\((?:truncated|cut off)\))\Z", re.I)
 _HEAD = re.compile(r"(?:return\b|#|//|--|[-*] |[}\])]|```|\w+\()")
-_INDENTED, _STATEMENT_END = re.compile(r"^\s*(?:def |class |import \w|from \w[\w.]* import|if __name__)", re.M), re.compile(r";\s*$", re.M)
-_SQL = re.compile(r"^\s*(?:CREATE|INSERT|SELECT|ALTER|DROP|create|insert|select)\b", re.M)
-_SHELL, _MARKDOWN = re.compile(r"^#!/|^\s*(?:fi|done|then)\b|^\w+\(\) \{", re.M), re.compile(r"^#{1,6} |^```|^- ", re.M)
+_INDENTED, _STATEMENT_END = re.compile(r"^[^\S\n]*(?:def |class |import \w|from \w[\w.]* import|if __name__)", re.M), re.compile(r";[^\S\n]*$", re.M)
+_SQL = re.compile(r"^[^\S\n]*(?:CREATE|INSERT|SELECT|ALTER|DROP|create|insert|select)\b", re.M)
+_SHELL, _MARKDOWN = re.compile(r"^#!/|^[^\S\n]*(?:fi|done|then)\b|^\w+\(\) \{", re.M), re.compile(r"^#{1,6} |^```|^- ", re.M)
 _KEYED, _HEX = re.compile(r"^\s*(?:- )?[\w\"'-]+:(?: |$)"), re.compile(r"(?:0x[0-9a-f]{2},\s*)+")
 _FUNCTION, _JSON = re.compile(r"\b(?:func|fn|function)\b"), re.compile(r'[{\[]\s*(?:["{\[\]}]|\d)')
 
 
 def kind_of(text: str) -> str:
-    """What a text holds by its first characters; names and stated languages are not trusted."""
-    head = text[:4000]
-    start = head.lstrip("﻿ \r\n\t")
+    """What a text holds; names and stated languages are not trusted."""
+    start = text.lstrip("﻿ \r\n\t")
     if _JSON.match(start):
         return "json"
-    if _INDENTED.search(head) and not _STATEMENT_END.search(head):
+    if _INDENTED.search(text) and not _STATEMENT_END.search(text):
         return "indented"
-    if _SQL.search(head):
+    if _SQL.search(text):
         return "sql"
-    if "{" in head and (";" in head or _FUNCTION.search(head)):
+    if "{" in text and (";" in text or _FUNCTION.search(text)):
         return "braces"
-    if _SHELL.search(head):
+    if _SHELL.search(text):
         return "shell"
-    lines = [x for x in head.split("\n")[:30] if x.strip()]
+    lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) > 2 and sum(bool(_KEYED.match(x.rstrip("\r"))) for x in lines) > 0.6 * len(lines):
         return "keyed"
-    if _MARKDOWN.search(head):
+    if _MARKDOWN.search(text):
         return "markdown"
     for sep in ",;\t":
-        if len(lines) > 2 and lines[0].count(sep) and sum(x.count(sep) == lines[0].count(sep) for x in lines[:-1]) >= 0.8 * (len(lines) - 1):
+        fields = lines[0].count(sep) if lines else 0
+        if len(lines) > 2 and fields and sum(x.count(sep) == fields for x in lines[:-1]) >= 0.8 * (len(lines) - 1):
             return "rows"
     return "braces" if _HEX.match(start) else "prose"
 

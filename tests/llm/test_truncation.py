@@ -2,7 +2,7 @@
 
 import random
 
-from tallyforge.llm.truncation import continuation, describe, judged_texts, sketches, truncation_by_source
+from tallyforge.llm.truncation import continuation, describe, judged_texts, kind_of, sketches, truncation_by_source
 
 
 def function(r, n):
@@ -97,3 +97,11 @@ def test_very_long_texts_are_aligned():
     full = " ".join(f"w{i * 7919 % 100_003}" for i in range(100_000))
     assert continuation(full[:500_000], full) == "line"
     assert continuation("la " * 50_000 + "lu", "la " * 50_000 + "lu la") == "line"
+
+
+def test_the_kind_is_decided_over_the_whole_text():
+    licence = "".join(f"Clause {i} of a licence that is long and has no code in it\n" for i in range(100))
+    assert len(licence) > 4000 and kind_of(licence) == "prose"
+    assert kind_of(licence + "int a() {\n    f(1);\n") == "braces"
+    assert describe(licence + "int a() {\n    f(1);\n")[1].split("|")[2] == "1"
+    assert kind_of("\n" * 1_000_000 + "x") == "prose"
