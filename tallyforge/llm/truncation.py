@@ -1,9 +1,10 @@
 """Texts that stop before their file does.
 
-Three kinds of evidence are combined. How a text closes is put into a shape (kind of content, open brackets and strings,
-closing word); the shape's terminality is how often texts end so against how often a text cut anywhere would. A length
-at which closed-off texts of one source pile up is that source's limit. And a near-copy found by min-hash banding whose
-alignment with the text goes on after the text's end shows what was lost.
+Near-copies come first: min-hash banding of all texts brings each together with the longer texts that start alike, the
+pair is verified and aligned, and the text is flagged if its alignment ends before the copy does. Texts that no copy
+settles are scored by how they close: content, open brackets and strings and the closing word make a shape, and the
+shape's terminality is how often texts end so against how often a text cut anywhere would. A length at which closed-off
+texts of one source pile up is that source's limit.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tallyforge.session import cut, sized_join, spread_rank
 
 #: Cut places tried in each text to learn what cut texts look like.
 CUTS = 2
-#: Words of a shingle, bands of a sketch and hashes of a band: texts of similarity 0.8 meet in a band with probability 0.998.
-SHINGLE, BANDS, ROWS = 5, 6, 2
+#: Words of a shingle, bands of a sketch and hashes of a band: texts of similarity 0.8 meet in a band with probability 0.983.
+SHINGLE, BANDS, ROWS = 5, 4, 2
 #: Sketches are taken of the first 2^k words, from this k on, so that a text meets a longer one that starts alike.
 FIRST_SCALE = 4
 #: Below this ratio a shape is that of a cut text; from SOUND on it is that of a whole one. A first look, before limits are known, uses LOOK.
@@ -37,8 +38,8 @@ SUPPORT = 8
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.1
 #: Characters at the end of a text that are aligned with its near-copy, and the share of them and of its shingles that the copy must hold.
 TAIL, CONTAINED = 40, 0.8
-#: Members of a bucket in one task, and how many times more copies each round tries.
-BUCKET_ROWS, ROUND = 1000, 8
+#: How many times more copies each round tries.
+ROUND = 8
 CHUNK = 4 << 20
 
 _QUOTED = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.){0,200}\'|/\*(?:[^*]|\*(?!/))*\*/|(?://|#|--)[^\n]*', re.S)
@@ -120,7 +121,7 @@ def describe(text: str) -> tuple[str, str, str, list[str], list[str]]:
 
 def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of all texts in order of scale and band, number of buckets of each text, words of each text)."""
-    words = split_words(texts)
+    words = split_words(texts, all_scripts=True)
     n = len(texts)
     count = np.bincount(words.text, minlength=n)
     shingle, place = windows(words.hash, words.text, SHINGLE)
@@ -153,14 +154,14 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].view(np.int64), np.bincount(text, minlength=n), count
 
 
-_FEATURES = "doc_id bigint, source string, digest binary, chars int, bytes int, words int, fine string, coarse string, mark string, cut_fine array<string>, cut_coarse array<string>, buckets array<bigint>"
+_FEATURES = "doc_id bigint, source string, key bigint, chars int, bytes int, words int, fine string, coarse string, mark string, cut_fine array<string>, cut_coarse array<string>, buckets array<bigint>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _FEATURES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), None]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), None]
     for batch in batches:
-        ids, sources, digests, texts = (batch.column(i).to_pylist() for i in range(4))
+        ids, sources, keys, texts = (batch.column(i).to_pylist() for i in range(4))
         begin = held = 0
         for i, t in enumerate(texts):
             held += len(t)
@@ -170,7 +171,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [x.encode("utf-8", "replace") for x in part]
             buckets, per, words = sketches(raw)
             d = [describe(x) for x in part]
-            columns = [ids[begin : i + 1], sources[begin : i + 1], digests[begin : i + 1], [len(x) for x in part], [len(x) for x in raw], words.tolist(), *[[x[j] for x in d] for j in range(5)]]
+            columns = [ids[begin : i + 1], sources[begin : i + 1], keys[begin : i + 1], [len(x) for x in part], [len(x) for x in raw], words.tolist(), *[[x[j] for x in d] for j in range(5)]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(buckets, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, types, strict=False)], lists], names=names)
             begin, held = i + 1, 0
@@ -220,7 +221,7 @@ def _near_limit(features: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def _shingles(raw: bytes) -> tuple[Words, np.ndarray, np.ndarray]:
-    words = split_words([raw])
+    words = split_words([raw], all_scripts=True)
     return (words, *windows(words.hash, words.text, SHINGLE))
 
 
@@ -275,8 +276,8 @@ def _end_in(tail: np.ndarray, window: np.ndarray, expected: int) -> int | None:
     return int(best[np.argmin(np.abs(best - expected))])
 
 
-def continuation(text: str, other: str) -> str | None:
-    """How a near-copy goes on where the text ends: ``line`` within the line, ``text`` after it, null if it doesn't or isn't one.
+def aligned(text: str, other: str) -> str | None:
+    """Where a text's alignment with a near-copy ends: ``line`` if the copy goes on within the line, ``text`` if it goes on after it, ``same`` if both end there; null if it is no near-copy or the text has an ending of its own.
 
     The pair is aligned by chained shingles up to the last one in common, and from there by edit distance of the text's
     tail, white space taken alike.
@@ -303,82 +304,101 @@ def continuation(text: str, other: str) -> str | None:
         return None
     stop = int(place_b[low + end - 1]) + 1
     rest = other[stop:]
-    if not rest.strip():
-        return None
     upto = set(_shingles(other[:stop].encode("utf-8", "replace"))[1].tolist())
     if len(own & upto) < CONTAINED * len(own | upto):
         return None
+    if not rest.strip():
+        return "same"
     return "text" if rest.lstrip(" \t")[:1] in "\r\n" else "line"
 
 
 @F.pandas_udf(T.StringType())
-def _continuation(text: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([continuation(a, b) for a, b in zip(text, other, strict=True)], dtype=object)
+def _aligned(text: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([aligned(a, b) for a, b in zip(text, other, strict=True)], dtype=object)
 
 
-def longer_copies(features: DataFrame, asked: DataFrame) -> DataFrame:
-    """(digest, copy, rank): of each asked text all distinct longer texts that share a bucket of its largest sketch, the longest first.
+def bucket_ranks(texts: DataFrame) -> DataFrame:
+    """(bucket, key, chars, top, rank): the members of every bucket that holds several texts, the longest first.
 
-    Exact copies count once. Buckets that hold nothing longer drop out by a maximum that combines before the shuffle;
-    members of a large bucket are spread over salts, so it is no hot task.
+    ``texts``: key, chars, buckets, one row a text. ``top`` marks buckets of the text's largest sketch, in which it asks
+    for longer copies. Counts combine before the shuffle, and ranks of a large bucket are dealt over ranges, so a bucket
+    with a third of all texts is no hot task.
     """
-    buckets = features.select(F.explode("buckets").alias("bucket"), "chars", "digest")
-    tops = buckets.groupBy("bucket").agg(F.max("chars").alias("top"), F.count("*").alias("n"))
-    own = asked.filter(F.size("buckets") > 0).select("digest", "chars", F.explode(F.slice("buckets", -BANDS, BANDS)).alias("bucket")).distinct()
-    own = cut(own.join(tops, "bucket").filter("top > chars").withColumn("salts", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")))
-    hot = own.groupBy("bucket").agg(F.min("chars").alias("least"), F.first("salts").alias("salts"))
-    held = sized_join(buckets, hot, ["bucket"], "inner").filter("chars > least").select("bucket", F.pmod(F.xxhash64("digest"), "salts").cast("int").alias("salt"), F.col("digest").alias("copy"), F.col("chars").alias("copy_chars")).distinct()
-    asking = own.select("bucket", "digest", "chars", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = asking.join(held, ["bucket", "salt"]).filter("copy_chars > chars").select("digest", "copy", (-F.col("copy_chars")).alias("shorter")).distinct()
-    return spread_rank(pairs, ["digest"], ["shorter", "copy"]).select("digest", "copy", "rank")
-
-
-def continued(asked: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, on): asked texts that a copy continues, and how.
-
-    Copies are tried by rank, in rounds that grow by ``ROUND``, until one settles the text or none is left; so a text
-    that its first copy settles isn't held against all others, and no copy is left out. ``texts``: digest, text.
+    exploded = texts.select("key", "chars", F.size("buckets").alias("n"), F.posexplode("buckets").alias("pos", "bucket")).select("bucket", "key", "chars", (F.col("pos") >= F.col("n") - BANDS).alias("top"))
+    # members shorter than all that ask are nobody's copies
+    asked = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(F.col("top"), F.col("chars"))).alias("least")).filter("n > 1 and least is not null").select("bucket", "least")
+    members = exploded.join(asked, "bucket").filter("chars >= least").drop("least")
+    return spread_rank(members.withColumn("longer", -F.col("chars")), ["bucket"], ["longer", "key"]).drop("longer")
+
+
+def aligned_copies(ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, other, how): of each text the longest near-copy with which it aligns where it ends, and how (see ``aligned``).
+
+    ``texts``: key, text. Copies are tried by their rank in a bucket, in rounds that grow by ``ROUND``; a text leaves as
+    soon as one settles it, and one that ends together with a longer copy is a member of that copy's class and settled,
+    too. So no pairs within a bucket are formed beyond those tried, and no copy is left out for a text that isn't settled.
     """
-    pairs = cut(pairs.join(asked.select("digest", "half").distinct(), "digest"))
-    most = pairs.agg(F.max("rank")).first()[0] or 0
-    needed = pairs.select("digest").union(pairs.select("copy")).distinct()
-    texts = cut(sized_join(texts, needed, ["digest"], "inner").groupBy("digest").agg(F.first("text").alias("text"))) if most else texts
-    settled = pairs.select("digest", F.lit(None).cast("string").alias("on")).limit(0)
-    low, high = 0, 1
-    while low < most:
-        tried = pairs.filter((F.col("rank") > low) & (F.col("rank") <= high))
+    asking = cut(ranked.filter("top and rank > 1").select("bucket", "key", F.col("rank").alias("own")))
+    most = asking.agg(F.max("own")).first()[0] or 0
+    none = ranked.select("key", F.col("key").alias("other"), F.lit("same").alias("how")).limit(0)
+    if not most:
+        return none
+    held = ranked.select("bucket", "rank", F.col("key").alias("other"), F.col("chars").alias("other_chars"))
+    needed = cut(ranked.join(asking.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct())
+    texts = cut(sized_join(texts, needed, ["key"], "inner").groupBy("key").agg(F.first("text").alias("text")))
+    settled, tried, low, high = none, asking.select("key", F.col("key").alias("other")).limit(0), 0, 1
+    while low < most - 1:
+        rest = asking.filter(F.col("own") > low + 1)
+        if low:
+            rest = rest.join(settled.select("key"), "key", "left_anti")
+        # each asking row meets the members of these ranks only
+        slots = rest.select("bucket", "key", F.explode(F.sequence(F.lit(low + 1), F.least(F.lit(high), F.col("own") - 1))).alias("rank"))
+        pairs = slots.join(held, ["bucket", "rank"]).groupBy("key", "other").agg(F.first("other_chars").alias("other_chars"))
         if low:
-            tried = tried.join(settled, "digest", "left_anti")
-        both = tried.join(texts, "digest").join(texts.select(F.col("digest").alias("copy"), F.col("text").alias("other")), "copy")
-        found = both.withColumn("on", _continuation("text", "other")).filter((F.col("on") == "line") | (F.col("on") == "text") & F.col("half"))
-        settled = cut(settled.unionByName(found.groupBy("digest").agg(F.min("on").alias("on"))))
+            pairs = pairs.join(tried, ["key", "other"], "left_anti")
+        pairs = cut(pairs)
+        both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("copy")), "other")
+        found = both.select("key", "other", "other_chars", _aligned("text", "copy").alias("how")).filter("how is not null")
+        best = found.groupBy("key").agg(F.max(F.struct("other_chars", "other", "how")).alias("b")).select("key", "b.other", "b.how")
+        settled = cut(settled.unionByName(best))
+        tried = tried.unionByName(pairs.select("key", "other"))
         low, high = high, high * ROUND
     return settled
 
 
+def cut_by_copies(settled: DataFrame, half: DataFrame) -> DataFrame:
+    """Keys of texts whose copy goes on where they end: within the line, or after it if their ending is more that of a cut text (``half``: key, half). Texts that end together with such a text are cut with it."""
+    first = settled.join(half, "key").filter((F.col("how") == "line") | (F.col("how") == "text") & F.col("half")).select("key")
+    found, fresh = cut(first), first
+    together = settled.filter("how = 'same'").select("key", F.col("other"))
+    while True:  # classes are stars about their longest text, so this takes a step or two
+        fresh = cut(together.join(found.select(F.col("key").alias("other")), "other", "left_semi").select("key").join(found, "key", "left_anti").distinct())
+        if fresh.isEmpty():
+            return found
+        found = cut(found.unionByName(fresh))
+
+
 def judged_texts(documents: DataFrame) -> DataFrame:
-    """Every text with its verdict: doc_id, source, truncated, reason (limit, ending, copy; null if whole).
+    """Every text with its verdict: doc_id, source, truncated, reason (copy, limit, ending; null if whole).
 
     ``documents``: doc_id, text, source; other columns are ignored. Null and empty texts are whole. Repeated rows are
-    judged once. A null source is a source of its own. Texts of fewer words than a sketch needs are judged by their
-    ending alone. An empty table gives an empty result.
+    judged once. A null source is a source of its own. Texts of fewer words than a sketch needs (16) have no near-copies
+    and are judged by their ending alone. Equal texts are told by 64-bit hashes. An empty table gives an empty result.
     """
     given = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
     filled = given.filter("text is not null and text <> ''")
-    features = cut(filled.select("doc_id", "source", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_features, _FEATURES))
-    first = _rated(features.drop("buckets").withColumn("at_limit", F.lit(False)))
-    limits = cut(source_limits(first))
-    rated = cut(_rated(_near_limit(features, limits)))
+    features = cut(filled.select("doc_id", "source", F.xxhash64("text").alias("key"), "text").mapInArrow(_features, _FEATURES))
+    sketched = features.filter(F.size("buckets") > 0).groupBy("key").agg(F.first("chars").alias("chars"), F.first("buckets").alias("buckets"))
+    copies = aligned_copies(bucket_ranks(sketched), filled.select(F.xxhash64("text").alias("key"), "text"))
+    shapes = features.drop("buckets")
+    limits = cut(source_limits(_rated(shapes.withColumn("at_limit", F.lit(False)))))
+    rated = cut(_rated(_near_limit(shapes, limits)).drop("cut_fine", "cut_coarse", "chars", "bytes"))
+    by_copy = cut_by_copies(copies, rated.groupBy("key").agg(F.min(F.col("ratio") < HALF).alias("half"))).withColumn("copied", F.lit(True))
     line_end = line_ended()
-    sure = F.when(F.col("at_limit") & F.when(line_end, F.col("ratio") < HALF).otherwise((F.col("ratio") < SOUND) | (F.col("mark") != "")), "limit").when((F.col("mark") == "") & ((F.col("ratio") < CUT) | left_open() & (F.col("ratio") < HALF)) | (F.length("mark") > 1), "ending")
-    rated = rated.withColumn("sure", sure)
-    # whole by its line end or its shape, or already judged: no copy is asked
-    asked = rated.filter(F.col("sure").isNull() & ~line_end & (F.col("ratio") < SOUND))
-    asked = asked.select("digest", "chars", "buckets", (F.col("ratio") < HALF).alias("half"))
-    texts = filled.select(F.unhex(F.md5("text")).alias("digest"), "text")
-    copied = continued(asked, longer_copies(rated, asked), texts)
-    out = rated.join(copied, "digest", "left").withColumn("reason", F.coalesce("sure", F.when(F.col("on").isNotNull(), "copy")))
-    judged = out.groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
+    at_limit = F.col("at_limit") & F.when(line_end, F.col("ratio") < HALF).otherwise((F.col("ratio") < SOUND) | (F.col("mark") != ""))
+    ending = (F.col("mark") == "") & ((F.col("ratio") < CUT) | left_open() & (F.col("ratio") < HALF)) | (F.length("mark") > 1)
+    reason = F.when(F.col("copied"), "copy").when(at_limit, "limit").when(ending, "ending")
+    judged = rated.join(by_copy, "key", "left").withColumn("reason", reason).groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
     rest = given.filter("text is null or text = ''").select("doc_id", "source").distinct().withColumn("reason", F.lit(None).cast("string"))
     return judged.unionByName(rest).select("doc_id", "source", F.col("reason").isNotNull().alias("truncated"), "reason")
 

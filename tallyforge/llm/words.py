@@ -11,6 +11,11 @@ _FOLD = np.zeros(256, np.uint8)
 for _r in (range(48, 58), range(97, 123)):
     _FOLD[list(_r)] = list(_r)
 _FOLD[65:91] = np.arange(97, 123)
+#: For texts of any script: every byte beyond ASCII belongs to a word, and a character of a script written without blanks begins one.
+_FOLD_ALL = _FOLD.copy()
+_FOLD_ALL[128:_SEP] = np.arange(128, _SEP)
+_BEGINS = np.zeros(256, bool)
+_BEGINS[0xE3:0xF5] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,16 +42,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def split_words(texts: list[bytes]) -> Words:
-    """All words of texts in UTF-8; every other byte parts words."""
+def split_words(texts: list[bytes], all_scripts: bool = False) -> Words:
+    """All words of texts in UTF-8; every other byte parts words. With ``all_scripts`` letters beyond ASCII are words too, and each ideograph or kana is one."""
     data = bytes([_SEP]).join(texts) + bytes([_SEP])
     offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    folded = _FOLD[np.frombuffer(data, np.uint8)]
+    raw = np.frombuffer(data, np.uint8)
+    folded = (_FOLD_ALL if all_scripts else _FOLD)[raw]
     inside = folded != 0
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
-        edge = np.append(0, edge)
-    start, end = edge[0::2], edge[1::2]
+    before = np.append(False, inside[:-1])
+    begins = inside & ~before
+    if all_scripts:
+        begins |= _BEGINS[raw]
+    start = np.flatnonzero(begins)
+    stop = np.append(start[1:], len(raw))
+    # a word ends where the next begins, or at the first byte outside
+    outside = np.flatnonzero(~inside)
+    end = np.minimum(stop, outside[np.minimum(np.searchsorted(outside, start), max(0, len(outside) - 1))] if len(outside) else stop)
     size = end - start
     if not len(start):
         return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), start, end, data, offset)

@@ -2,7 +2,7 @@
 
 import random
 
-from tallyforge.llm.truncation import continuation, describe, judged_texts, kind_of, sketches, truncation_by_source
+from tallyforge.llm.truncation import aligned, describe, judged_texts, kind_of, sketches, truncation_by_source
 
 
 def function(r, n):
@@ -81,22 +81,22 @@ def test_copies_are_aligned_where_the_text_ends():
     words = [f"w{i}x" for i in range(300)]
     full = "".join(w + (" " if i % 9 else ";\n    ") for i, w in enumerate(words))
     text = full[: full.index(words[199]) + 2]
-    assert continuation(text, full) == "line"
-    assert continuation(text.replace(words[196], "renamed"), full) == "line"
-    assert continuation(text.replace("\n    ", "\r\n\t"), full) == "line"
-    assert continuation(full[: full.index(words[199]) - 5], full) == "text"
-    assert continuation(full[: full.index(words[190])] + "and so it ends quite otherwise than there, with a word of its own.", full) is None
-    assert continuation(full, full) is None and continuation(full + " more", full) is None
+    assert aligned(text, full) == "line"
+    assert aligned(text.replace(words[196], "renamed"), full) == "line"
+    assert aligned(text.replace("\n    ", "\r\n\t"), full) == "line"
+    assert aligned(full[: full.index(words[199]) - 5], full) == "text"
+    assert aligned(full[: full.index(words[190])] + "and so it ends quite otherwise than there, with a word of its own.", full) is None
+    assert aligned(full, full) == "same" and aligned(full + " more", full) is None
     # a tail that recurs is judged where the text ends, not at its first place
     block = " ".join(f"same{i}" for i in range(8))
     twice = " ".join(words[:120]) + f" {block} " + " ".join(words[120:160]) + f" {block}"
-    assert continuation(twice, twice + " and on") == "line"
+    assert aligned(twice, twice + " and on") == "line"
 
 
 def test_very_long_texts_are_aligned():
     full = " ".join(f"w{i * 7919 % 100_003}" for i in range(100_000))
-    assert continuation(full[:500_000], full) == "line"
-    assert continuation("la " * 50_000 + "lu", "la " * 50_000 + "lu la") == "line"
+    assert aligned(full[:500_000], full) == "line"
+    assert aligned("la " * 50_000 + "lu", "la " * 50_000 + "lu la") == "line"
 
 
 def test_the_kind_is_decided_over_the_whole_text():
@@ -105,3 +105,49 @@ def test_the_kind_is_decided_over_the_whole_text():
     assert kind_of(licence + "int a() {\n    f(1);\n") == "braces"
     assert describe(licence + "int a() {\n    f(1);\n")[1].split("|")[2] == "1"
     assert kind_of("\n" * 1_000_000 + "x") == "prose"
+
+
+def made_copies(r, n):
+    """Files, cuts of them at any place, and the files again with words renamed: (rows, ids of cuts by brute force)."""
+    rows, cuts = [], []
+    for i in range(n):
+        words = [f"{r.choice('abcdefgh')}{r.randint(0, 99999)}" for _ in range(r.randint(60, 500))]
+        full = "".join(w + r.choice([" ", " ", " ", "; ", "\n"]) for w in words) + "end.\n"
+        edited = list(words)
+        for _ in range(len(words) // 100):
+            edited[r.randrange(len(words))] = f"zz{r.randint(0, 99999)}"
+        rows.append((i, "".join(w + " " for w in edited[:-1]) + "last.\n" if i % 2 else full, "s"))
+        at = r.randint(len(full) // 3, len(full) - 30)
+        cuts.append((10_000 + i, full[:at], "s"))
+    return rows, cuts
+
+
+def test_banding_finds_the_copies_that_brute_force_finds(spark):
+    rows, cuts = made_copies(random.Random(5), 150)
+    spaced = [(i, " ".join(t.split()), s) for i, t, s in rows]
+    asked = [(i, " ".join(t.split()), s) for i, t, s in cuts]
+    # brute force: every cut against every file, by the alignment alone
+    truth = {c[0] for c in asked if any(aligned(c[1], w[1]) == "line" for w in spaced)}
+    assert len(truth) > 120
+    found = {r.doc_id for r in run(spark, spaced + asked).filter("reason = 'copy'").collect()}
+    assert len(found & truth) >= 0.95 * len(truth) and found <= truth
+
+
+def test_copies_decide_before_endings(spark):
+    r = random.Random(9)
+    text = "\n".join(function(r, 12) for _ in range(6))
+    place = text.index(";", len(text) * 2 // 3) - 4  # inside a statement, with a bracket open: its ending alone would tell
+    twins = [(2, text[:place], "s"), (3, text[:place].replace(function(r, 1), "") + " ", "s")]
+    rest = [(100 + i, "\n".join(function(r, r.randint(3, 9)) for _ in range(4)), "s") for i in range(80)]
+    verdicts = {x.doc_id: x.reason for x in run(spark, [(1, text, "s"), *twins, *rest]).filter("truncated").collect()}
+    assert verdicts == {2: "copy", 3: "copy"}
+
+
+def test_texts_of_other_scripts_have_near_copies(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("абвгдежзик") for _ in range(r.randint(3, 9)))
+    text = " ".join(word() for _ in range(200)) + ".\n"
+    han = "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(300)) + "。\n"
+    rows = [(1, text, "s"), (2, text[: len(text) // 2 + 1], "s"), (3, han, "s"), (4, han[:200], "s")]
+    rest = [(100 + i, " ".join(word() for _ in range(40)) + ".\n", "s") for i in range(60)]
+    assert {x.doc_id for x in run(spark, rows + rest).filter("reason = 'copy'").collect()} == {2, 4}
