@@ -62,35 +62,62 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 
 SETS = """games AS (
-  SELECT 'g' || p_partkey AS game, p_partkey AS ord, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'g' || (p_partkey - p_partkey % 10) END AS clone_of, CAST(NULL AS VARCHAR) AS rom_of,
-    CASE WHEN p_partkey % 100 = 0 THEN 'yes' END AS is_bios, p_brand AS brand, p_type AS kind, CASE WHEN p_partkey % 4 = 0 THEN 'i' || p_partkey END AS id, CASE WHEN p_partkey % 3 = 0 THEN 'i' || (p_partkey - p_partkey % 4) END AS clone_of_id, p_name AS description
+  SELECT 'g' || p_partkey AS game, p_partkey AS ord, CASE WHEN p_partkey % 10 <> 0 THEN 'g' || (p_partkey - p_partkey % 10) WHEN p_partkey % 70 = 0 THEN 'g' || (p_partkey - p_partkey % 100) END AS clone_of,
+    CASE WHEN p_partkey % 7 = 0 AND p_partkey % 100 <> 0 THEN 'g' || p_partkey WHEN p_partkey % 500 = 0 THEN NULL WHEN p_partkey % 100 = 0 THEN 'g' || (p_partkey - p_partkey % 500) WHEN p_partkey % 10 = 0 THEN 'g' || (p_partkey - p_partkey % 100) END AS rom_of,
+    CASE WHEN p_partkey % 500 = 0 THEN 'yes' END AS is_bios, p_brand AS brand, p_type AS kind, CASE WHEN p_partkey % 4 = 0 THEN 'i' || p_partkey END AS id, CASE WHEN p_partkey % 3 = 0 THEN 'i' || (p_partkey - p_partkey % 4) END AS clone_of_id, p_name AS description,
+    CASE WHEN p_partkey % 13 = 0 THEN 'yes' WHEN p_partkey % 17 = 0 THEN 'Yes' END AS is_device, CASE WHEN p_partkey % 2 = 1 THEN 'no' END AS runnable
   FROM part),
 roms AS (
-  SELECT game, row_number() OVER (PARTITION BY game ORDER BY sk, ln) AS ord, 'r' || sk || '-' || ln || '.bin' AS name, CAST(sk * 100 + ln AS BIGINT) AS size, sha1(sk || '-' || ln) AS sha1, CASE WHEN sk % 11 = 0 THEN 'nodump' WHEN sk % 13 = 0 THEN 'deduped' END AS status,
+  SELECT 'g' || pk AS game, row_number() OVER (PARTITION BY pk ORDER BY sk, ln) AS ord, 'r' || sk || '-' || ln || '.bin' AS name, CASE WHEN (pk + sk) % 23 <> 0 THEN CAST(sk * 100 + ln AS BIGINT) END AS size,
+    CASE WHEN (pk + ln) % 3 = 0 THEN substr(md5(sk || '-' || ln), 1, 8) END AS crc, CASE WHEN (pk + sk) % 6 <> 0 THEN sha1(sk || '-' || ln) END AS sha1, CASE WHEN pk % 5 = 0 THEN md5(sk || '-' || ln) END AS md5, CASE WHEN sk % 11 = 0 THEN 'nodump' WHEN sk % 13 = 0 THEN 'deduped' END AS status,
     CASE WHEN ln = 7 THEN 'yes' END AS mia, CASE WHEN sk % 5 = 0 THEN 'm' || sk ELSE NULL END AS merge, ln = 5 AS is_disk
-  FROM (SELECT DISTINCT 'g' || l_partkey AS game, l_suppkey AS sk, l_linenumber AS ln FROM lineitem))"""
+  FROM (SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln FROM lineitem))"""
 
 
 def games(spark: SparkSession, d: str) -> DataFrame:
+    """Sets whose parents lie up to three levels above them, some of which name themselves."""
     k = F.col("p_partkey")
     g = lambda x: F.concat(F.lit("g"), x.cast("string"))
+    rom_of = F.when((k % 7 == 0) & (k % 100 != 0), g(k)).when(k % 500 == 0, None).when(k % 100 == 0, g(k - k % 500)).when(k % 10 == 0, g(k - k % 100))
     return table(spark, d, "part").select(
-        g(k).alias("game"), k.alias("ord"), F.when(k % 10 != 0, g(k - k % 10)).alias("clone_of"), F.lit(None).cast("string").alias("rom_of"), F.when(k % 100 == 0, "yes").alias("is_bios"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"),
+        g(k).alias("game"), k.alias("ord"), F.when(k % 10 != 0, g(k - k % 10)).when(k % 70 == 0, g(k - k % 100)).alias("clone_of"), rom_of.alias("rom_of"), F.when(k % 500 == 0, "yes").alias("is_bios"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"),
         F.when(k % 4 == 0, F.concat(F.lit("i"), k.cast("string"))).alias("id"), F.when(k % 3 == 0, F.concat(F.lit("i"), (k - k % 4).cast("string"))).alias("clone_of_id"), F.col("p_name").alias("description"),
+        F.when(k % 13 == 0, "yes").when(k % 17 == 0, "Yes").alias("is_device"), F.when(k % 2 == 1, "no").alias("runnable"),
     )
 
 
 def roms(spark: SparkSession, d: str) -> DataFrame:
+    """Members of sets; which of their facts are known differs from set to set."""
     from pyspark.sql import Window
 
-    m = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).distinct().select(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("game"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"))
-    nul = F.lit(None).cast("string")
+    pk, sk, ln = F.col("pk"), F.col("sk"), F.col("ln")
+    m = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).distinct().select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"))
+    nul, text = F.lit(None).cast("string"), F.concat_ws("-", "sk", "ln")
     return m.select(
-        "game", F.row_number().over(Window.partitionBy("game").orderBy("sk", "ln")).cast("bigint").alias("ord"), F.concat(F.lit("r"), "sk", F.lit("-"), "ln", F.lit(".bin")).alias("name"), (F.col("sk") * 100 + F.col("ln")).cast("bigint").alias("size"), nul.alias("crc"), F.sha1(F.concat_ws("-", "sk", "ln")).alias("sha1"), nul.alias("sha256"), nul.alias("md5"),
-        F.when(F.col("sk") % 11 == 0, "nodump").when(F.col("sk") % 13 == 0, "deduped").alias("status"), F.when(F.col("ln") == 7, "yes").alias("mia"), F.when(F.col("sk") % 5 == 0, F.concat(F.lit("m"), "sk")).alias("merge"), (F.col("ln") == 5).alias("is_disk"), nul.alias("dat_status"),
+        F.concat(F.lit("g"), pk.cast("string")).alias("game"), F.row_number().over(Window.partitionBy("pk").orderBy("sk", "ln")).cast("bigint").alias("ord"), F.concat(F.lit("r"), "sk", F.lit("-"), "ln", F.lit(".bin")).alias("name"), F.when((pk + sk) % 23 != 0, (sk * 100 + ln).cast("bigint")).alias("size"),
+        F.when((pk + ln) % 3 == 0, F.substring(F.md5(text), 1, 8)).alias("crc"), F.when((pk + sk) % 6 != 0, F.sha1(text)).alias("sha1"), nul.alias("sha256"), F.when(pk % 5 == 0, F.md5(text)).alias("md5"),
+        F.when(sk % 11 == 0, "nodump").when(sk % 13 == 0, "deduped").alias("status"), F.when(ln == 7, "yes").alias("mia"), F.when(sk % 5 == 0, F.concat(F.lit("m"), "sk")).alias("merge"), (ln == 5).alias("is_disk"), nul.alias("dat_status"),
     )
 
 
+COPIES = """copies AS (
+  SELECT game, row_number() OVER (PARTITION BY game ORDER BY sk, ln) AS ord, CASE (sk + ln) % 3 WHEN 0 THEN 'd' || (ln % 2) || '/f' || (sk % 5) || '.bin' WHEN 1 THEN 'f' || (sk % 5) || '.bin' ELSE 'F' || (sk % 3) || '.bin' END AS name,
+    substr(md5(c), 1, 8) AS crc, sha1(c) AS sha1, md5(c) AS md5, 'f' || (ln % 5) || '.bin' AS merge
+  FROM (SELECT DISTINCT 'g' || l_partkey AS game, l_suppkey AS sk, l_linenumber AS ln, 'c' || (l_suppkey % 19) AS c FROM lineitem))"""
+
+
+def copies(spark: SparkSession, d: str) -> DataFrame:
+    """Members of sets of which many hold the same content under equal and other names, at the top and in directories."""
+    from pyspark.sql import Window
+
+    sk, ln = F.col("sk"), F.col("ln")
+    m = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).distinct().select(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("game"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"))
+    c = F.concat(F.lit("c"), (sk % 19).cast("string"))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    name = F.when((sk + ln) % 3 == 0, text("d", ln % 2, "/f", sk % 5, ".bin")).when((sk + ln) % 3 == 1, text("f", sk % 5, ".bin")).otherwise(text("F", sk % 3, ".bin"))
+    return m.select("game", F.row_number().over(Window.partitionBy("game").orderBy("sk", "ln")).cast("bigint").alias("ord"), name.alias("name"), (sk * 7).cast("bigint").alias("size"), F.substring(F.md5(c), 1, 8).alias("crc"), F.sha1(c).alias("sha1"), F.lit(None).cast("string").alias("sha256"), F.md5(c).alias("md5"), text("f", ln % 5, ".bin").alias("merge"))
+
+
 MEMBERS = """members AS (SELECT DISTINCT CAST(archive_id AS VARCHAR) AS archive, entry_index AS idx, filename AS name, uncompressed_size AS size, crc, is_directory AS is_dir FROM file_header)"""
 
 

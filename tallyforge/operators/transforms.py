@@ -8,15 +8,13 @@ Columns an operator doesn't need may be absent; columns it doesn't know pass thr
 from __future__ import annotations
 
 import re
-from functools import cmp_to_key
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import ascii_lower, compared, equal_or_null, stem
 from tallyforge.schemas import FIXED_DOS_PACKED
-from tallyforge.session import cut
+from tallyforge.session import by_group, carry_last, components, cut, sized_join, spread_rank
 
 HASHES = ["crc", "sha1", "sha256", "md5"]
 
@@ -38,10 +36,20 @@ def expand_description(description: Column, name: Column) -> Column:
     return F.when(description == "¤", stem(name)).otherwise(description)
 
 
-def add_id_numbers(games: DataFrame, within: list[str]) -> DataFrame:
-    """Names become ``id - name``; a game without an id takes that of the last sibling before it that has one."""
-    carried = F.last(F.when(F.col("id") != "", F.col("id")), ignorenulls=True).over(Window.partitionBy(*within).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return games.withColumn("_id", carried).withColumn("game", F.when(F.col("_id").isNotNull(), F.concat("_id", F.lit(" - "), "game")).otherwise(F.col("game"))).drop("_id")
+def add_id_numbers(games: DataFrame, within: list[str], members: DataFrame | None = None, start: str = "") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Names become ``id - name`` for every node: a set without an id takes that of the last sibling before it that has one, else ``start``; members take the id of their set.
+
+    An empty id counts as one. With ``members`` both tables come back, else the sets alone.
+    """
+    carried = carry_last(games, within, ["ord"], "id", "_id").withColumn("_id", F.coalesce("_id", F.lit(start)))
+    prefixed = lambda c: F.concat("_id", F.lit(" - "), c)
+    named = carried.withColumn("_name", prefixed("game"))
+    out = named.withColumn("game", F.col("_name")).select(*games.columns)
+    if members is None:
+        return out
+    of = named.select(F.col("game").alias("_game"), "_id", "_name").dropDuplicates(["_game"])
+    inside = members.join(of, F.col("game") == F.col("_game")).withColumn("game", F.col("_name")).withColumn("name", prefixed("name")).select(*members.columns)
+    return out, inside
 
 
 def match_clone_ids(games: DataFrame) -> DataFrame:
@@ -83,20 +91,20 @@ def clean_name(c: Column) -> Column:
     return F.regexp_replace(slashed, r'[\x00-\x1f<>:"|?*]', "-")
 
 
-def clean_name_full(c: Column, is_dir: Column) -> Column:
-    """Spaces before and, for directories, dots and spaces after the name go; what is blank then is ``_``."""
-    left = F.regexp_replace(c, r"^ +", "")
-    t = F.when(is_dir, F.regexp_replace(left, r"[. ]+$", "")).otherwise(F.regexp_replace(left, r" +$", ""))
-    return F.when(t == "", "_").otherwise(t)
+def clean_name_full(c: Column, file_type: Column) -> Column:
+    """Blanks before the name go; after it blanks, and dots of files and directories, too; members of archives stay. What is blank then is ``_``."""
+    left = F.regexp_replace(c, "^ +", "")
+    t = F.when(file_type.isin("UnSet", "File", "Dir"), F.regexp_replace(left, "[. ]+$", "")).when(file_type.isin("Zip", "SevenZip"), F.regexp_replace(left, " +$", "")).otherwise(c)
+    return F.when(F.trim(t) == "", "_").otherwise(t)
 
 
 def add_category(games: DataFrame, order: list[str]) -> DataFrame:
-    """Names become ``category/name``: the only category, or the one that comes first in ``order`` whatever its case."""
-    cleaned = F.filter(F.transform("category", lambda x: F.trim(x)), lambda x: x != "")
-    rank = F.array(*[F.lit(o.lower()) for o in order]) if order else F.array().cast("array<string>")
-    place = F.transform(cleaned, lambda x: F.struct(F.when(F.array_position(rank, F.lower(x)) > 0, F.array_position(rank, F.lower(x))).otherwise(1 << 30).alias("p"), x.alias("x")))
-    best = F.array_min(place)
-    chosen = F.when(F.size(cleaned) == 1, F.element_at(cleaned, 1)).when((F.size(cleaned) > 1) & (best["p"] < (1 << 30)), best["x"])
+    """Names become ``category/name``: a set's only category, or of several the one that comes first in ``order``, spelled as there. Blank ones are none, but count."""
+    lowered = F.transform("category", lambda x: ascii_lower(F.trim(x)))
+    listed = F.array(*[F.struct(ascii_lower(F.lit(o)).alias("key"), F.lit(o).alias("name")) for o in order]) if order else F.array().cast("array<struct<key:string,name:string>>")
+    first = F.try_element_at(F.filter(listed, lambda o: (o["key"] != "") & F.array_contains(lowered, o["key"])), F.lit(1))["name"]
+    only = F.trim(F.try_element_at("category", F.lit(1)))
+    chosen = F.when(F.size("category") == 1, F.when(only != "", only)).when(F.size("category") > 1, first)
     return games.withColumn("game", F.when(chosen.isNotNull(), F.concat(chosen, F.lit("/"), F.col("game"))).otherwise(F.col("game")))
 
 
@@ -124,7 +132,9 @@ def remove_files_not_in_games(nodes: DataFrame) -> DataFrame:
 
 
 def remove_devices(games: DataFrame) -> DataFrame:
-    return games.filter(~((F.lower(F.coalesce("is_device", F.lit(""))) == "yes") & (F.lower(F.coalesce("runnable", F.lit(""))) == "no")))
+    """Devices that can't run alone go; the words are compared as they are. Loose files (``is_file``, if there) go, too."""
+    kept = games.filter(~((F.coalesce("is_device", F.lit("")) == "yes") & (F.coalesce("runnable", F.lit("")) == "no")))
+    return kept.filter(~F.coalesce("is_file", F.lit(False))) if "is_file" in games.columns else kept
 
 
 def remove_unneeded_markers(members: DataFrame) -> DataFrame:
@@ -191,32 +201,48 @@ def move_up_disks(members: DataFrame) -> DataFrame:
 
 
 def fix_duplicate_names(members: DataFrame) -> DataFrame:
-    """The second and later of equal names (whatever the ASCII case) of a set get ``_0``, ``_1``, ... before the extension, in order of folded name, name, ord."""
-    w = Window.partitionBy("game", ascii_lower(F.col("name"))).orderBy("name", "ord")
-    n = F.row_number().over(w) - 2
-    named = F.when(F.col("name").rlike(r"^.+\.[^./]*$"), F.concat(F.regexp_extract("name", r"^(.+)(\.[^./]*)$", 1), F.lit("_"), n.cast("string"), F.regexp_extract("name", r"^(.+)(\.[^./]*)$", 2))).otherwise(F.concat("name", F.lit("_"), n.cast("string")))
-    return members.withColumn("name", F.when(n < 0, F.col("name")).otherwise(named))
+    """The second and later of equal names (whatever the ASCII case) of one file type in a set get ``_0``, ``_1``, ..., in order of name and ord: files before the extension, directories and archives at the end. Without file_type all are files."""
+    columns = members.columns
+    members = members if "file_type" in members.columns else members.withColumn("file_type", F.lit("File"))
+    ranked = spread_rank(members.withColumn("_fold", ascii_lower(F.col("name"))), ["game", "file_type", "_fold"], ["name", "ord"], "_rank")
+    n = (F.col("_rank") - 2).cast("string")
+    dotted = r"^((?:.*/)?[^/]+)(\.[^./]*)$"
+    whole = F.col("file_type").isin("Dir", "Zip", "SevenZip") | ~F.col("name").rlike(dotted)
+    named = F.when(whole, F.concat("name", F.lit("_"), n)).otherwise(F.concat(F.regexp_extract("name", dotted, 1), F.lit("_"), n, F.regexp_extract("name", dotted, 2)))
+    return ranked.withColumn("name", F.when(F.col("_rank") < 2, F.col("name")).otherwise(named)).select(*columns)
 
 
 # --- clone graph ---
+def _by_name(games: DataFrame) -> DataFrame:
+    """The first set of each name, and of each type if there is one."""
+    keys = ["game", *(["file_type"] if "file_type" in games.columns else [])]
+    rest = [c for c in games.columns if c not in keys]
+    return games.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("r")).select(*keys, "r.*") if "ord" in rest else games.dropDuplicates(keys)
+
+
 def parent_chain(games: DataFrame, include_bios: bool = True) -> DataFrame:
-    """(game, ancestor, depth): rom_of, else clone_of, followed by name until it is missing, a game itself or seen before; without ``include_bios`` it stops before a BIOS.
+    """(game, ancestor, depth, bios): rom_of, unless it is missing or the set itself, else clone_of, followed by name among sets of the same type until it is missing, a set names itself, or a set comes again; without ``include_bios`` it stops before a BIOS.
 
-    Each step is an equi-join on the frontier; as many steps as the graph is deep.
+    Each step is an equi-join on the frontier; as many steps as the graph is deep. Behind the first step rom_of holds
+    wherever it is stated. A set that comes round to itself is its own ancestor.
     """
-    parent = F.when(F.coalesce("rom_of", F.lit("")) != "", F.col("rom_of")).otherwise(F.col("clone_of"))
-    edges = games.filter(parent.isNotNull() & (parent != "") & (parent != F.col("game"))).select("game", parent.alias("ancestor"))
-    known = games.select(F.col("game").alias("ancestor"), F.lower(F.coalesce(F.col("is_bios").cast("string"), F.lit(""))).isin("yes", "true").alias("bios"))
-    frontier = edges.join(known, "ancestor").select("game", "ancestor", F.lit(1).alias("depth"), F.array("game", "ancestor").alias("seen"), "bios")
-    if not include_bios:
-        frontier = frontier.filter(~F.col("bios"))
-    frontier, out = cut(frontier), None
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in games.columns else F.lit("")
+    typed = ["file_type"] if "file_type" in games.columns else []
+    sets = cut(_by_name(games.select("game", *typed, *(["ord"] if "ord" in games.columns else []), text("rom_of").alias("rom"), F.col("rom_of").isNotNull().alias("stated") if "rom_of" in games.columns else F.lit(False).alias("stated"), text("clone_of").alias("clone"), (text("is_bios")).alias("is_bios"))))
+    own = lambda c: (F.col(c) == "") | (F.col(c) == F.col("game"))
+    bios = (F.col("is_bios") == "yes").alias("bios")
+    begin = sets.select("game", *typed, F.when(own("rom"), F.col("clone")).otherwise(F.col("rom")).alias("ancestor")).filter(~own("ancestor"))
+    onward = sets.select(F.col("game").alias("at"), *typed, F.when(F.col("stated"), F.col("rom")).otherwise(F.col("clone")).alias("ancestor")).filter((F.col("ancestor") != "") & (F.col("ancestor") != F.col("at")))
+    known = sets.select(F.col("game").alias("ancestor"), *typed, bios)
+    stop = lambda df: df if include_bios else df.filter(~F.col("bios"))
+    frontier = cut(stop(begin.join(known, ["ancestor", *typed]).select("game", *typed, "ancestor", F.lit(1).alias("depth"), F.array("ancestor").alias("seen"), "bios")))
+    out = frontier
     while not frontier.isEmpty():
-        out = frontier if out is None else out.unionByName(frontier)
-        step = frontier.select("game", F.col("ancestor").alias("at"), "depth", "seen").join(edges.select(F.col("game").alias("at"), "ancestor"), "at").join(known, "ancestor")
-        step = step.filter(~F.array_contains("seen", F.col("ancestor"))).select("game", "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"), "bios")
-        frontier = cut(step if include_bios else step.filter(~F.col("bios")))
-    return (out if out is not None else frontier).select("game", "ancestor", "depth", "bios")
+        step = sized_join(frontier.select("game", *typed, F.col("ancestor").alias("at"), "depth", "seen"), onward, ["at", *typed], "inner").join(known, ["ancestor", *typed])
+        step = step.filter(~F.array_contains("seen", F.col("ancestor"))).select("game", *typed, "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"), "bios")
+        frontier = cut(stop(step))
+        out = out.unionByName(frontier)
+    return out.select("game", "ancestor", "depth", "bios")
 
 
 def file_equivalent(a: str, b: str) -> Column:
@@ -224,46 +250,75 @@ def file_equivalent(a: str, b: str) -> Column:
     return F.reduce(F.array(*[equal_or_null(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ["size", *HASHES]], F.coalesce(F.col(f"{a}.is_disk"), F.lit(False)) == F.coalesce(F.col(f"{b}.is_disk"), F.lit(False))), F.lit(True), lambda x, y: x & y)
 
 
+def _known(prefix: str = "") -> Column:
+    """Which of size and hashes a row knows, as bits."""
+    return F.reduce(F.array(*[F.when(F.col(f"{prefix}{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(["size", *HASHES])]), F.lit(0), lambda x, y: x + y)
+
+
+def held_above(members: DataFrame, above: DataFrame, chain: DataFrame) -> DataFrame:
+    """(game, ord) of members to which an ancestor's member is equivalent (see ``file_equivalent``).
+
+    Nulls match, so no one hash can be a key; but two rows that know given facts are equivalent if and only if they
+    agree on the facts both know. There are 32 such patterns at most: rows get one key for each pattern that the other
+    side has, and meet by equality of (ancestor, key) in a semi-join. No pairs are formed, and a BIOS under most sets is
+    spread by its members' hashes.
+    """
+    facts = ["size", *HASHES]
+    disk = F.coalesce("is_disk", F.lit(False))
+    child, parent = members.withColumn("_p", _known()), above.withColumn("_p", _known())
+    patterns = lambda df: sorted(r[0] for r in df.select("_p").distinct().limit(32).collect())
+    mine, theirs = patterns(child), patterns(parent)
+
+    def keys(other: list[int]) -> Column:
+        one = lambda q: F.struct(F.lit(q).alias("q"), F.concat_ws("|", disk.cast("string"), *[F.when(F.col("_p").bitwiseAND(F.lit(q & 1 << i)) > 0, F.concat(F.lit(f"{i}:"), F.col(c).cast("string"))) for i, c in enumerate(facts)]).alias("key"))
+        return F.explode(F.array(*[one(q) for q in other])) if other else F.explode(F.array().cast("array<struct<q:int,key:string>>"))
+
+    asked = child.select("game", "ord", "_p", keys(theirs).alias("k")).select("game", "ord", F.col("_p").alias("child"), F.col("k.q").alias("parent"), "k.key")
+    held = parent.select("game", "_p", keys(mine).alias("k")).select(F.col("game").alias("ancestor"), F.col("_p").alias("parent"), F.col("k.q").alias("child"), "k.key")
+    return asked.join(chain.select("game", "ancestor"), "game").join(held, ["ancestor", "child", "parent", "key"], "left_semi").select("game", "ord").distinct()
+
+
+def _dumped(members: DataFrame) -> DataFrame:
+    return members.filter(F.coalesce(F.col("status") != "nodump", F.lit(True))) if "status" in members.columns else members
+
+
 def split_set(games: DataFrame, members: DataFrame) -> DataFrame:
-    """Members that an ancestor, BIOS included, also holds are merged. The pairs meet by ancestor game, then by equivalence; no hash can be a key, as nulls match."""
-    chain = parent_chain(games).select("game", "ancestor")
-    child, above = members.alias("m").join(chain.alias("c"), "game"), members.alias("p")
-    held = child.join(above, F.col("c.ancestor") == F.col("p.game")).filter(file_equivalent("m", "p")).select(F.col("m.game").alias("game"), F.col("m.ord").alias("ord"), F.lit(True).alias("_in")).distinct()
-    return members.join(held, ["game", "ord"], "left").withColumn("dat_status", F.when(F.col("_in"), "InDatMerged").otherwise(F.col("dat_status"))).withColumn("merge", F.when(F.col("_in") & (F.coalesce("merge", F.lit("")) == ""), "(Auto Merged)").otherwise(F.col("merge"))).select(*members.columns)
+    """Members that an ancestor, BIOS included, also holds are merged, those never dumped excepted."""
+    held = held_above(_dumped(members), members, parent_chain(games)).withColumn("_in", F.lit(True))
+    out = members.join(held, ["game", "ord"], "left")
+    return out.withColumn("dat_status", F.when(F.col("_in"), "InDatMerged").otherwise(F.col("dat_status"))).withColumn("merge", F.when(F.col("_in") & (F.coalesce("merge", F.lit("")) == ""), "(Auto Merged)").otherwise(F.col("merge"))).select(*members.columns)
 
 
 def merge_set(games: DataFrame, members: DataFrame, with_game_name: bool = False) -> DataFrame:
-    """Members held by a BIOS ancestor are dropped, the rest move to the topmost ancestor that is no BIOS, once per equal (name, size, hashes) there; optionally under ``game/`` unless a disk."""
-    chain = cut(parent_chain(games))
-    bios = chain.filter("bios").select("game", "ancestor")
-    in_bios = members.alias("m").join(bios.alias("c"), "game").join(members.alias("p"), F.col("c.ancestor") == F.col("p.game")).filter(file_equivalent("m", "p")).select(F.col("m.game").alias("game"), F.col("m.ord").alias("ord")).distinct()
-    top = chain.filter("not bios").groupBy("game").agg(F.max(F.struct("depth", "ancestor")).alias("t")).select("game", F.col("t.ancestor").alias("top"))
+    """Members held by a BIOS ancestor are dropped, those never dumped excepted; the rest move to the topmost ancestor that is no BIOS, equal ones too; optionally under ``game/`` unless a disk."""
+    chain = parent_chain(games)
+    marked = chain.drop("bios").join(games.select(F.col("game").alias("ancestor"), (F.lower(F.coalesce("is_bios", F.lit(""))) == "yes").alias("bios")).dropDuplicates(["ancestor"]), "ancestor")
+    marked = cut(marked)
+    bios = marked.filter("bios")
+    in_bios = held_above(_dumped(members), members.join(bios.select(F.col("ancestor").alias("game")).distinct(), "game", "left_semi"), bios)
+    top = marked.filter("not bios").groupBy("game").agg(F.max(F.struct("depth", "ancestor")).alias("t")).select("game", F.col("t.ancestor").alias("top"))
     kept = members.join(in_bios, ["game", "ord"], "left_anti").join(top, "game", "left")
-    moved = F.col("top").isNotNull()
-    name = F.when(moved & F.lit(with_game_name) & ~F.coalesce("is_disk", F.lit(False)), F.concat("game", F.lit("/"), "name")).otherwise(F.col("name"))
-    placed = kept.withColumn("name", name).withColumn("game", F.coalesce("top", "game")).withColumn("_moved", moved.cast("int"))
-    same = ["game", "name", "size", *HASHES]
-    return placed.groupBy(*same).agg(F.min(F.struct("_moved", "ord", *[c for c in members.columns if c not in [*same, "ord"]])).alias("r")).select("game", "name", "size", *HASHES, "r.ord", *[f"r.{c}" for c in members.columns if c not in [*same, "ord"]]).select(*members.columns)
+    name = F.when(F.col("top").isNotNull() & F.lit(with_game_name) & ~F.coalesce("is_disk", F.lit(False)), F.concat("game", F.lit("/"), "name")).otherwise(F.col("name"))
+    return kept.withColumn("name", name).withColumn("game", F.coalesce("top", "game")).select(*members.columns)
 
 
 def device_closure(games: DataFrame) -> DataFrame:
-    """(game, device) over device references of devices, each once."""
-    edges = games.select("game", F.explode("device_ref").alias("device")).filter("device is not null and device <> ''").distinct()
-    frontier = cut(edges)
-    out = frontier
+    """(game, device) over device references of devices, each once; a device that leads back to a set has that set as a device."""
+    sets = games.select("game").distinct()
+    edges = cut(games.select("game", F.explode("device_ref").alias("device")).distinct().join(sets.withColumnRenamed("game", "device"), "device", "left_semi").select("game", "device"))
+    frontier = out = edges
     while not frontier.isEmpty():
-        step = frontier.select("game", F.col("device").alias("at")).join(edges.select(F.col("game").alias("at"), "device"), "at").select("game", "device").filter("game <> device").distinct()
+        step = sized_join(frontier.select("game", F.col("device").alias("at")), edges.select(F.col("game").alias("at"), "device"), ["at"], "inner").select("game", "device").distinct()
         frontier = cut(step.join(out, ["game", "device"], "left_anti"))
         out = cut(out.unionByName(frontier))
     return out
 
 
 def non_merge_set(games: DataFrame, members: DataFrame) -> DataFrame:
-    """Members of all devices a game refers to are added, unless one of the same (sha1, name) is there."""
+    """Members of all devices a set refers to are added, once per device, unless the set itself has one of the same name and SHA-1; an unknown SHA-1 equals none."""
     wanted = device_closure(games).join(members.withColumnRenamed("game", "device"), "device").drop("device")
-    new = wanted.alias("w").join(members.alias("m"), (F.col("w.game") == F.col("m.game")) & (F.col("w.name") == F.col("m.name")) & F.col("w.sha1").eqNullSafe(F.col("m.sha1")), "left_anti")
-    once = new.groupBy("game", "name", "sha1").agg(F.min(F.struct(*[c for c in members.columns if c not in ("game", "name", "sha1")])).alias("r")).select("game", "name", "sha1", "r.*").select(*members.columns)
-    return members.unionByName(once)
+    there = members.filter("sha1 is not null").select("game", "name", "sha1").distinct()
+    return members.unionByName(wanted.join(there, ["game", "name", "sha1"], "left_anti").select(*members.columns))
 
 
 # --- order ---
@@ -299,53 +354,90 @@ def natural_key(name: Column) -> Column:
     return F.concat(F.when(name.contains("\\"), "0").otherwise("1"), F.array_join(padded, "\x01"), F.lit("\x01\uffff"))
 
 
-def remove_duplicates(members: DataFrame, test_name: bool = False) -> DataFrame:
-    """Within a set, of members whose comparable hashes all agree (one of crc, sha1, md5 at least) one stays: a name without ``/`` before others, then the alphanumeric order, then ord.
+def remove_duplicates(members: DataFrame, test_name: bool = False, test_with_merge_name: bool = False) -> DataFrame:
+    """Within a set, of two members whose comparable hashes agree (one of crc, sha1, md5 at least) one goes.
+
+    A name without ``/`` outlives one with it. Of two without, the later goes only if the names are equal, or, on
+    request, if the earlier's name is the later's merge name; files of other names both stay. Of two with ``/`` the later
+    goes if the first parts differ, else the greater in the alphanumeric order, of equals the earlier. With ``test_name``
+    only equal names are compared. Size isn't compared. Members without hashes stay.
 
-    Members with all hashes known agree only with their equals, so a minimum per identity decides, combined before the
-    shuffle. Members with unknown hashes can agree without being transitive; they are walked in order, together with
-    those that share a hash with them, and only they.
+    Equality of known hashes is transitive only among members that know the same: those are settled by aggregates that
+    combine before the shuffle. What shares a hash with members that know others is walked in order, component by
+    component; of each name in it only the first and last member can matter.
     """
+    ident = [f"_{h}" for h in HASHES]
     lanes = ["crc", "sha1", "md5"]
-    ident = ["size", *HASHES, *(["name"] if test_name else [])]
-    order = F.struct(F.col("name").contains("/").alias("s"), natural_key(F.col("name")).alias("k"), "name", "ord")
-    first = members.groupBy("game", *ident).agg(F.min(order).alias("o")).select("game", F.col("o.ord").cast("bigint").alias("ord"), F.col("o.name").alias("_name"), *[c for c in ident if c != "name"])
-    known = F.lit(True)
-    for c in ["size", *lanes]:
-        known = known & F.col(c).isNotNull()
-    part = first.filter(~known)
-    keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c))) for c in lanes]))
-    touched = part.select("game", F.explode(keys).alias("h")).distinct()
-    near = first.filter(known).select("game", "ord", F.explode(keys).alias("h")).join(touched, ["game", "h"], "left_semi").select("game", "ord").distinct()
-    walked = first.join(part.select("game", "ord").unionByName(near).distinct(), ["game", "ord"], "left_semi")
-    kept = walked.groupBy("game").applyInPandas(_walk(test_name), "game string, ord bigint")
-    alone = first.filter(known).join(near, ["game", "ord"], "left_anti").select("game", "ord")
-    return members.join(alone.unionByName(kept), ["game", "ord"], "left_semi")
-
-
-def _walk(test_name: bool):
-    """Keep each member, in order, that agrees with none kept before; only those that share a hash can agree."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["ord", "_name", "size", *HASHES]].itertuples(index=False, name=None))
-        clean = [tuple(None if v is None or v != v else v for v in r) for r in rows]
-
-        def order(a: tuple, b: tuple) -> int:
-            x, y = a[1] or "", b[1] or ""
-            return ("/" in x) - ("/" in y) or alphanumeric(x, y) or a[0] - b[0]
-
-        kept, by_hash = [], {}
-        for r in sorted(clean, key=cmp_to_key(order)):
-            hashes = [(i, r[i]) for i in (3, 4, 6) if r[i] is not None]
-            if any(_agree(r, k, test_name) for h in hashes for k in by_hash.get(h, ())):
-                continue
-            kept.append(r[0])
-            for h in hashes:
-                by_hash.setdefault(h, []).append(r)
-        return pd.DataFrame({"game": pdf["game"].iloc[0], "ord": kept})
+    rows = members.select("game", "ord", "name", *([F.coalesce("merge", F.lit("")).alias("merge")] if test_with_merge_name else []), *HASHES, *[F.coalesce(h, F.lit("")).alias(f"_{h}") for h in HASHES])
+    bare = F.coalesce(*lanes).isNull()
+    each = [*ident, "name", *(["merge"] if test_with_merge_name else [])]
+    names = cut(rows.filter(~bare).groupBy("game", *each).agg(F.min("ord").alias("first"), F.max("ord").alias("last"), *[F.first(h).alias(h) for h in HASHES]).withColumn("slash", F.col("name").contains("/")).withColumn("id", F.xxhash64("game", *ident)))
+    # classes of other knowledge, or on request of other merge names, that share a hash
+    keys = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws(":", "game", F.lit(c), F.col(c))) for c in lanes])))
+    links = names.select("id", keys.alias("hash")).distinct()
+    shared = links.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    touched = links.join(shared, "hash", "left_semi").select("id").distinct()
+    if test_with_merge_name:
+        touched = touched.union(names.filter("not slash and merge <> ''").select("id")).distinct()
+    touched = cut(touched)
+    even = names.join(touched, "id", "left_anti")
+    kept = [members.filter(bare).select("game", "ord"), _settled(even, ident, test_name)]
+    if not touched.isEmpty():
+        uneven = names.join(touched, "id", "left_semi")
+        part = components(uneven.select("id", keys.alias("hash")), "id", "hash")
+        ends = F.explode(F.array_distinct(F.array("first", "last"))).alias("ord")
+        walked = uneven.join(part, "id").select("game", "component", ends, "name", *(["merge"] if test_with_merge_name else [F.lit(None).cast("string").alias("merge")]), *HASHES)
+        kept.append(by_group(walked, ["game", "component"], ["ord"], _walk(test_name, test_with_merge_name), "game string, ord bigint"))
+    ords = kept[0].unionByName(kept[1])
+    for k in kept[2:]:
+        ords = ords.unionByName(k)
+    return members.join(ords, ["game", "ord"], "left_semi")
+
+
+def _settled(names: DataFrame, ident: list[str], test_name: bool) -> DataFrame:
+    """Survivors of classes whose members all know the same hashes."""
+    if test_name:
+        return names.select("game", F.when(F.col("slash"), F.col("last")).otherwise(F.col("first")).cast("bigint").alias("ord"))
+    head = F.substring_index("name", "/", 1)
+    classes = names.groupBy("game", *ident).agg(F.min("slash").alias("_all"), F.min_by(head, F.when(F.col("slash"), F.col("first"))).alias("_head"))
+    n = names.join(classes, ["game", *ident])
+    plain = n.filter("not slash").select("game", F.col("first").alias("ord"))
+    deep = n.filter(F.col("_all") & (head == F.col("_head"))).groupBy("game", *ident).agg(F.min(F.struct(natural_key(F.col("name")).alias("k"), (-F.col("last")).alias("o"))).alias("m"))
+    return plain.unionByName(deep.select("game", (-F.col("m.o")).alias("ord"))).select("game", F.col("ord").cast("bigint").alias("ord"))
+
+
+def _walk(test_name: bool, test_with_merge_name: bool):
+    """One component in order: pairs that agree are settled one after the other, from the front, until none is left."""
+
+    def loser(a: tuple, b: tuple) -> int | None:
+        """0 or 1 for the one that goes, null if both stay."""
+        x, y = a[1] or "", b[1] or ""
+        if test_name and x != y:
+            return None
+        pairs = [(p, q) for p, q in zip(a[3:], b[3:], strict=True)]
+        known = [p is not None and q is not None for p, q in pairs]
+        if any(k and p != q for k, (p, q) in zip(known, pairs, strict=True)) or not (known[0] or known[1] or known[3]):
+            return None
+        if ("/" in x) != ("/" in y):
+            return 0 if "/" in x else 1
+        if "/" not in x:
+            return 1 if x == y or test_with_merge_name and x == (b[2] or "") else None
+        return 1 if x.split("/")[0] != y.split("/")[0] else 0 if alphanumeric(x, y) >= 0 else 1
+
+    def walk(group: list[tuple]) -> list[tuple]:
+        # a row is game, component, ord, name, merge and the hashes
+        game, out, alive = group[0][0], [], [r[2:] for r in group]
+        while alive:  # the front row meets each later one; it leaves when it loses, or stays when it has met all
+            front, rest = alive[0], alive[1:]
+            for i, other in enumerate(rest):
+                gone = loser(front, other)
+                if gone == 1:
+                    rest[i] = None
+                elif gone == 0:
+                    break
+            else:
+                out.append((game, int(front[0])))
+            alive = [r for r in rest if r is not None]
+        return out
 
     return walk
-
-
-def _agree(a: tuple, b: tuple, test_name: bool) -> bool:
-    return (not test_name or a[1] == b[1]) and all(x is None or y is None or x == y for x, y in zip(a[2:], b[2:], strict=True))

@@ -340,14 +340,25 @@ def match_clone_ids(spark, d):
     return transforms.match_clone_ids(fx.games(spark, d)).select("game", "clone_of")
 
 
-@query(f"WITH {fx.SETS} SELECT ord, coalesce(last_value(id IGNORE NULLS) OVER (PARTITION BY brand ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) || ' - ', '') || game AS game FROM games")
+_CARRIED = "coalesce(last_value(id IGNORE NULLS) OVER (PARTITION BY brand ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') || ' - '"
+
+
+@query(f"WITH {fx.SETS}, c AS (SELECT game, {_CARRIED} AS p FROM games) SELECT p || game AS game, '' AS name FROM c UNION ALL SELECT p || game, p || name FROM c JOIN roms USING (game)")
 def add_id_numbers(spark, d):
-    return transforms.add_id_numbers(fx.games(spark, d), ["brand"]).select("ord", "game")
+    sets, inside = transforms.add_id_numbers(fx.games(spark, d), ["brand"], fx.roms(spark, d))
+    return sets.select("game", F.lit("").alias("name")).unionByName(inside.select("game", "name"))
+
 
+_ORDER = ["Tin", "BRUSHED", "copper", "Steel", "plated"]
 
-@query(f"WITH {fx.SETS} SELECT ord, kind || '/' || game AS game FROM games")
+
+@query(f"""WITH {fx.SETS}, o(i, c) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_ORDER))}), l AS (SELECT ord, game, CASE ord % 5 WHEN 0 THEN [] WHEN 1 THEN [' ' || split_part(kind, ' ', 3) || ' '] WHEN 2 THEN [' '] WHEN 3 THEN ['', split_part(kind, ' ', 2)] ELSE string_split(kind, ' ') END AS cs FROM games),
+ b AS (SELECT ord, arg_min(c, i) AS c FROM (SELECT ord, trim(unnest(cs)) AS x FROM l WHERE len(cs) > 1) JOIN o ON lower(x) = lower(c) GROUP BY ord) SELECT l.ord, CASE WHEN len(cs) = 1 AND trim(cs[1]) <> '' THEN trim(cs[1]) || '/' WHEN c IS NOT NULL THEN c || '/' ELSE '' END || game AS game FROM l LEFT JOIN b ON b.ord = l.ord""")
 def categories(spark, d):
-    return transforms.add_category(fx.games(spark, d).withColumn("category", F.array("kind")), ["steel"]).select("ord", "game")
+    word = lambda i: F.split_part("kind", F.lit(" "), F.lit(i))
+    n = F.col("ord") % 5
+    cs = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.concat(F.lit(" "), word(3), F.lit(" ")))).when(n == 2, F.array(F.lit(" "))).when(n == 3, F.array(F.lit(""), word(2))).otherwise(F.split("kind", " "))
+    return transforms.add_category(fx.games(spark, d).withColumn("category", cs), _ORDER).select("ord", "game")
 
 
 @query(f"WITH {fx.SETS} SELECT game, ord, CASE WHEN status = 'deduped' THEN 'InDatMerged' END AS dat_status FROM roms")
@@ -360,8 +371,11 @@ def set_ext(spark, d):
     return transforms.set_ext(fx.roms(spark, d)).select("game", "ord", "name", "merge")
 
 
-CHAIN = f"""RECURSIVE {fx.SETS}, e AS (SELECT game, clone_of AS ancestor FROM games WHERE clone_of IN (SELECT game FROM games)), chain AS (SELECT game, ancestor, 1 AS depth FROM e UNION ALL SELECT c.game, e.ancestor, depth + 1 FROM chain c JOIN e ON c.ancestor = e.game),
- held AS (SELECT DISTINCT m.game, m.ord FROM roms m JOIN chain c ON c.game = m.game JOIN roms p ON p.game = c.ancestor AND p.size = m.size AND p.sha1 = m.sha1 AND p.is_disk = m.is_disk)"""
+_EQUIVALENT = " AND ".join(f"(p.{c} IS NULL OR m.{c} IS NULL OR p.{c} = m.{c})" for c in ("size", "crc", "sha1", "md5")) + " AND p.is_disk = m.is_disk"
+CHAIN = f"""RECURSIVE {fx.SETS}, up AS (SELECT game, CASE WHEN rom_of IS NULL OR rom_of = game THEN clone_of ELSE rom_of END AS first, coalesce(rom_of, clone_of) AS later FROM games),
+ chain AS (SELECT game, first AS ancestor, 1 AS depth, [first] AS seen FROM up WHERE first IS NOT NULL AND first <> game AND first IN (SELECT game FROM games)
+  UNION ALL SELECT c.game, u.later, depth + 1, list_append(seen, u.later) FROM chain c JOIN up u ON u.game = c.ancestor WHERE u.later <> u.game AND u.later IN (SELECT game FROM games) AND NOT list_contains(seen, u.later)),
+ held AS (SELECT m.game, m.ord FROM roms m WHERE m.status IS DISTINCT FROM 'nodump' AND EXISTS (SELECT 1 FROM chain c JOIN roms p ON p.game = c.ancestor WHERE c.game = m.game AND {_EQUIVALENT}))"""
 
 
 @query(f"WITH {CHAIN} SELECT game, ancestor, depth FROM chain")
@@ -369,29 +383,77 @@ def parent_chain(spark, d):
     return transforms.parent_chain(fx.games(spark, d)).select("game", "ancestor", "depth")
 
 
+@query(f"WITH {CHAIN}, stop AS (SELECT game, min(depth) AS d FROM chain JOIN (SELECT game AS ancestor FROM games WHERE is_bios = 'yes') USING (ancestor) GROUP BY game) SELECT game, ancestor, depth FROM chain LEFT JOIN stop USING (game) WHERE d IS NULL OR depth < d")
+def parent_chain_to_bios(spark, d):
+    return transforms.parent_chain(fx.games(spark, d), include_bios=False).select("game", "ancestor", "depth")
+
+
 @query(f"WITH {CHAIN} SELECT r.game, r.ord, CASE WHEN h.game IS NOT NULL THEN 'InDatMerged' END AS dat_status, CASE WHEN h.game IS NOT NULL AND merge IS NULL THEN '(Auto Merged)' ELSE merge END AS merge FROM roms r LEFT JOIN held h USING (game, ord)")
 def split_set(spark, d):
     return transforms.split_set(fx.games(spark, d), fx.roms(spark, d)).select("game", "ord", "dat_status", "merge")
 
 
-@query(f"""WITH {CHAIN}, bios AS (SELECT game FROM games WHERE is_bios = 'yes'), dropped AS (SELECT DISTINCT m.game, m.ord FROM roms m JOIN chain c ON c.game = m.game JOIN bios b ON b.game = c.ancestor JOIN roms p ON p.game = c.ancestor AND p.size = m.size AND p.sha1 = m.sha1 AND p.is_disk = m.is_disk),
- top AS (SELECT game, arg_max(ancestor, depth) AS top FROM chain WHERE ancestor NOT IN (SELECT game FROM bios) GROUP BY game)
- SELECT DISTINCT coalesce(top, r.game) AS game, name, size, sha1 FROM roms r LEFT JOIN top USING (game) WHERE NOT EXISTS (SELECT 1 FROM dropped x WHERE x.game = r.game AND x.ord = r.ord)""")
+_MERGED = f"""WITH {CHAIN}, bios AS (SELECT game FROM games WHERE is_bios = 'yes'), dropped AS (SELECT m.game, m.ord FROM roms m WHERE m.status IS DISTINCT FROM 'nodump' AND EXISTS (SELECT 1 FROM chain c JOIN bios b ON b.game = c.ancestor JOIN roms p ON p.game = c.ancestor WHERE c.game = m.game AND {_EQUIVALENT})),
+ top AS (SELECT game, arg_max(ancestor, depth) AS top FROM chain WHERE ancestor NOT IN (SELECT game FROM bios) GROUP BY game),
+ kept AS (SELECT r.*, top FROM roms r LEFT JOIN top USING (game) WHERE NOT EXISTS (SELECT 1 FROM dropped x WHERE x.game = r.game AND x.ord = r.ord))"""
+
+
+@query(f"{_MERGED} SELECT coalesce(top, game) AS game, ord, name, coalesce(size, -1) AS size, sha1 FROM kept")
 def merge_set(spark, d):
-    return transforms.merge_set(fx.games(spark, d), fx.roms(spark, d)).select("game", "name", "size", "sha1")
+    return transforms.merge_set(fx.games(spark, d), fx.roms(spark, d)).select("game", "ord", "name", F.coalesce("size", F.lit(-1)).alias("size"), "sha1")
+
+
+@query(f"{_MERGED} SELECT coalesce(top, game) AS game, ord, CASE WHEN top IS NOT NULL AND NOT is_disk THEN game || '/' ELSE '' END || name AS name FROM kept")
+def merge_set_named(spark, d):
+    return transforms.merge_set(fx.games(spark, d), fx.roms(spark, d), with_game_name=True).select("game", "ord", "name")
+
+
+_DEVICES = f"""WITH RECURSIVE {fx.SETS}, refs AS (SELECT game, CASE WHEN ord % 10 <> 0 THEN 'g' || (ord - ord % 10) WHEN ord % 100 <> 0 THEN 'g' || (ord + 1) END AS device FROM games UNION SELECT game, 'g' || (ord + 3) FROM games WHERE ord % 9 = 0),
+ known AS (SELECT * FROM refs WHERE device IN (SELECT game FROM games)), closure AS (SELECT * FROM known UNION SELECT c.game, k.device FROM closure c JOIN known k ON k.game = c.device)"""
 
 
-@query(f"""WITH {fx.SETS}, ref AS (SELECT game, clone_of AS device FROM games WHERE clone_of IS NOT NULL), add_rows AS (SELECT DISTINCT r.game, m.name, m.sha1 FROM ref r JOIN roms m ON m.game = r.device WHERE NOT EXISTS (SELECT 1 FROM roms o WHERE o.game = r.game AND o.name = m.name AND o.sha1 = m.sha1))
- SELECT game, name, sha1 FROM roms UNION ALL SELECT * FROM add_rows""")
+def _with_devices(spark, d):
+    n, g = F.col("ord"), lambda x: F.concat(F.lit("g"), x.cast("string"))
+    refs = F.array_compact(F.array(F.when(n % 10 != 0, g(n - n % 10)).when(n % 100 != 0, g(n + 1)), F.when(n % 9 == 0, g(n + 3))))
+    return fx.games(spark, d).withColumn("device_ref", refs)
+
+
+@query(f"{_DEVICES} SELECT game, device FROM closure")
+def device_closure(spark, d):
+    return transforms.device_closure(_with_devices(spark, d))
+
+
+@query(f"""{_DEVICES} SELECT game, name, sha1 FROM roms UNION ALL SELECT c.game, m.name, m.sha1 FROM closure c JOIN roms m ON m.game = c.device WHERE NOT EXISTS (SELECT 1 FROM roms o WHERE o.game = c.game AND o.name = m.name AND o.sha1 = m.sha1)""")
 def non_merge_set(spark, d):
-    g = fx.games(spark, d).withColumn("device_ref", F.when(F.col("clone_of").isNotNull(), F.array("clone_of")).otherwise(F.array().cast("array<string>")))
-    return transforms.non_merge_set(g, fx.roms(spark, d)).select("game", "name", "sha1")
+    return transforms.non_merge_set(_with_devices(spark, d), fx.roms(spark, d)).select("game", "name", "sha1")
+
+
+#: Names of this table have digits of one place only, so that the order of text is the alphanumeric one.
+_SURVIVORS = f"""WITH {fx.COPIES}, k AS (SELECT game, sha1, min(CAST(contains(name, '/') AS INT)) AS deep, list({{'n': name, 'o': ord}} ORDER BY ord) AS l FROM copies GROUP BY game, sha1),
+ f AS (SELECT game, list_reduce(l, lambda a, b: CASE WHEN split_part(a.n, '/', 1) = split_part(b.n, '/', 1) AND a.n >= b.n THEN b ELSE a END).o AS ord FROM k WHERE deep = 1),
+ s AS (SELECT game, ord FROM f UNION ALL SELECT game, min(ord) FROM copies JOIN k USING (game, sha1) WHERE deep = 0 AND NOT contains(name, '/') GROUP BY game, sha1, name)"""
 
 
-@query(f"WITH {fx.NODES}, s AS (SELECT game, size, crc, sha1, md5, min(CASE WHEN contains(name, '/') THEN 1 ELSE 0 END) AS x FROM nodes GROUP BY ALL) SELECT game, size, md5 FROM s")
+@query(f"{_SURVIVORS} SELECT game, ord, name FROM s JOIN copies USING (game, ord)")
 def dedupe_set(spark, d):
-    n = fx.nodes(spark, d).withColumn("sha256", F.lit(None).cast("string"))
-    return transforms.remove_duplicates(n.select("game", "ord", "name", "size", "crc", "sha1", "sha256", "md5")).select("game", "size", "md5")
+    return transforms.remove_duplicates(fx.copies(spark, d)).select("game", "ord", "name")
+
+
+@query(f"WITH {fx.COPIES} SELECT game, CASE WHEN contains(name, '/') THEN max(ord) ELSE min(ord) END AS ord, name FROM copies GROUP BY game, sha1, name")
+def dedupe_set_by_name(spark, d):
+    return transforms.remove_duplicates(fx.copies(spark, d), test_name=True).select("game", "ord", "name")
+
+
+#: The walk of a content's files in order: a file stays unless one that stayed before it has its name or its merge name.
+_BY_MERGE = f"""WITH RECURSIVE {fx.COPIES}, a AS (SELECT *, row_number() OVER (PARTITION BY game, sha1 ORDER BY ord) AS i FROM copies WHERE NOT contains(name, '/')),
+ w AS (SELECT game, sha1, i, name, ord, [name] AS names, TRUE AS stays FROM a WHERE i = 1 UNION ALL SELECT a.game, a.sha1, a.i, a.name, a.ord, CASE WHEN list_contains(names, a.name) OR list_contains(names, a.merge) THEN names ELSE list_append(names, a.name) END, NOT (list_contains(names, a.name) OR list_contains(names, a.merge)) FROM w JOIN a ON a.game = w.game AND a.sha1 = w.sha1 AND a.i = w.i + 1),
+ k AS (SELECT game, sha1, list({{'n': name, 'o': ord}} ORDER BY ord) AS l FROM copies GROUP BY game, sha1 HAVING min(CAST(contains(name, '/') AS INT)) = 1),
+ f AS (SELECT game, list_reduce(l, lambda a, b: CASE WHEN split_part(a.n, '/', 1) = split_part(b.n, '/', 1) AND a.n >= b.n THEN b ELSE a END).o AS ord FROM k)"""
+
+
+@query(f"{_BY_MERGE} SELECT game, ord FROM w WHERE stays UNION ALL SELECT game, ord FROM f")
+def dedupe_set_by_merge(spark, d):
+    return transforms.remove_duplicates(fx.copies(spark, d), test_with_merge_name=True).select("game", "ord")
 
 
 _FOLD = "translate(n, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -434,12 +496,14 @@ def single_level(spark, d):
     return transforms.single_level(fx.nodes(spark, d), ["dat"]).select("node_id", "own_dir")
 
 
-_DUP = "row_number() OVER (PARTITION BY dat, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY name, ord) - 2"
+_TYPED = "CASE ord % 5 WHEN 0 THEN 'Dir' WHEN 1 THEN 'Zip' ELSE 'File' END"
 
 
-@query(f"WITH {fx.NODES}, k AS (SELECT *, {_DUP} AS i FROM nodes) SELECT node_id, CASE WHEN i < 0 THEN name WHEN regexp_matches(name, '^.+\\.[^./]*$') THEN regexp_extract(name, '^(.+)(\\.[^./]*)$', 1) || '_' || i || regexp_extract(name, '^(.+)(\\.[^./]*)$', 2) ELSE name || '_' || i END AS name FROM k")
+@query(f"""WITH {fx.NODES}, t AS (SELECT node_id, name, dat, ord, {_TYPED} AS kind FROM nodes), k AS (SELECT *, row_number() OVER (PARTITION BY dat, kind, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY name, ord) - 2 AS i, regexp_extract(name, '[^/]*$') AS last FROM t)
+ SELECT node_id, CASE WHEN i < 0 THEN name WHEN kind <> 'File' OR strpos(last[2:], '.') = 0 THEN name || '_' || i ELSE name[: length(name) - length(regexp_extract(last, '[^.]*$')) - 1] || '_' || i || '.' || regexp_extract(last, '[^.]*$') END AS name FROM k""")
 def fix_dupe_names(spark, d):
-    return transforms.fix_duplicate_names(fx.nodes(spark, d).withColumn("game", F.col("dat"))).select("node_id", "name")
+    n = fx.nodes(spark, d).withColumn("game", F.col("dat")).withColumn("file_type", F.when(F.col("ord") % 5 == 0, "Dir").when(F.col("ord") % 5 == 1, "Zip").otherwise("File"))
+    return transforms.fix_duplicate_names(n).select("node_id", "name")
 
 
 @query(f"WITH {fx.MEMBERS} SELECT DISTINCT name, regexp_replace(replace(replace(replace(name, chr(92), '/'), './', '/'), './', '/'), '[\\x00-\\x1f<>:\"|?*]', '-', 'g') AS clean FROM members")

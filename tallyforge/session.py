@@ -99,3 +99,71 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "_part"]]
     joined = local.alias("l").join(before.alias("b"), same, "left")
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("b._before")).cast("bigint").alias(name))
+
+
+def carry_last(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the last non-null ``value`` of the rows up to and including each one, within ``keys`` by ``order``; null before the first.
+
+    A window where the largest key is small; beyond that rows are cut into ranges, and each range starts with the last
+    value of those before it.
+    """
+    from pyspark.sql import Window
+
+    df = cut(df)
+    upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto(Window.partitionBy(*keys))))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    ends = ranged.filter(F.col(value).isNotNull()).groupBy(*keys, "_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    parts = ranged.select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
+    before = parts.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    local = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(upto(Window.partitionBy(*keys, "_part"))))
+    joined = local.alias("l").join(before.alias("b"), [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "_part"]], "left")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("l._local", "b._before").alias(name))
+
+
+def components(links: DataFrame, node: str, key: str) -> DataFrame:
+    """(node, component): nodes that share a key, directly or through others, get the least node of them all.
+
+    ``links``: node, key. Minima over keys and over nodes take turns, and both combine before the shuffle, so a key with
+    most of the rows is no hot task; rounds follow the longest chain. Rows with a null node or key take no part.
+    """
+    links = cut(links.select(node, key).filter(F.col(node).isNotNull() & F.col(key).isNotNull()).distinct())
+    labels = cut(links.select(node, F.col(node).alias("component")).distinct())
+    while True:
+        by_key = links.join(labels, node).groupBy(key).agg(F.min("component").alias("_least"))
+        step = cut(links.join(by_key, key).groupBy(node).agg(F.min("_least").alias("_least")).join(labels, node))
+        labels = cut(step.select(node, F.least("component", "_least").alias("component")))
+        if step.filter(F.col("_least") < F.col("component")).isEmpty():
+            return labels
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], f, schema: str) -> DataFrame:
+    """``f`` over the rows (tuples, nulls as None) of each group of ``keys`` in ``order``; it gives rows of ``schema``.
+
+    Rows are shuffled by the keys and sorted, and a task streams through its groups, so many small groups cost no call
+    each and a group is all that is held at once.
+    """
+    at = [df.columns.index(k) for k in keys]
+
+    def run(batches):
+        import pandas as pd
+
+        names, held, key = [x.split(" ")[0] for x in schema.split(", ")], [], None
+        for b in batches:
+            out = []
+            columns = [[None if v is None or v != v else v for v in b[c].tolist()] for c in b.columns]
+            for row in zip(*columns, strict=True):
+                k = [row[i] for i in at]
+                if k != key and held:
+                    out += f(held)
+                    held = []
+                key = k
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(f(held), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
