@@ -1,8 +1,8 @@
 """Mixed timestamp formats and zones, normalised through a dictionary of distinct raw values.
 
 Raw values repeat far more often than they differ, so each distinct (kind, raw, zone) is parsed once, by one chain that
-tries every form; the dictionary is a set of parquet batches and only values it lacks are parsed and appended. Rows then
-take their instants from the dictionary by an equi-join.
+tries every form; the dictionary is a set of parquet batches in a folder that outlives the run, and only values it lacks
+are parsed and appended. Rows then take their instants from the dictionary by one equi-join.
 
 Instants are bigints counting 100 ns since 0001-01-01T00:00Z, fine enough for every form and wide enough for every year.
 """
@@ -12,12 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import scratch, sized_join
+from tallyforge.session import cut, shared_dir, sized_join
 
 TICKS_PER_S = 10_000_000
 TICKS_EPOCH_S = 62_135_596_800
 FILETIME_EPOCH_S = 11_644_473_600
 
+#: Name of the dictionary's folder; it changes with the forms that are parsed, as the values kept depend on them.
+FOLDER = "stamps-2"
+#: A form is taken for coarser than it is written only if at least so many distinct values bear it out.
+EVIDENCE = 9
+
 #: Hours and minutes east of UTC of zone abbreviations, in minutes.
 ABBREVIATIONS = {"UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "BST": 60, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "NST": -210, "NDT": -150, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600}
 #: Texts that say a stamp is absent.
@@ -76,7 +81,8 @@ def parse_stamps(values: DataFrame) -> DataFrame:
     kind ``packed``: a number where positive values below 2^32 are a packed DOS date and time; ``text``: a written stamp
     or a number; ``dos``: ``date:time`` of two DOS fields. ``zone`` holds for stamps that name none of their own.
     Adds ``state``: absent, unreadable, unzoned (wall time with no zone), or ok; ``instants``: array<bigint> of ticks
-    (empty for an impossible date or a wall time that no clock shows); ``precision``: ticks of the last stated digit.
+    (empty for an impossible date or a wall time that no clock shows); ``precision``: ticks of the last stated digit;
+    ``form``: how the value is written, for numbers by magnitude, for text by its last digit.
     Null raw is absent. Text of no known form is unreadable and has no instants.
     """
     raw = F.trim(F.col("raw"))
@@ -141,20 +147,23 @@ def parse_stamps(values: DataFrame) -> DataFrame:
         .otherwise(F.transform(wall_instants(F.col("_wall"), F.col("_zone")), ticks))
     )
     precision = F.when(F.col("_dos").isNotNull(), F.lit(2 * TICKS_PER_S).cast("long")).when(counted, number_precision).otherwise(F.col("_prec"))
-    return df.withColumn("state", state).select("kind", "raw", "zone", "state", instants.alias("instants"), precision.alias("precision"))
+    size = F.abs(F.col("_n"))
+    form = F.when(F.col("_dos").isNotNull(), "dos").when(counted, F.when(size < 10**11, "s").when(size < 10**14, "ms").when(size < 10**17, "us").when(size < 25 * 10**16, "filetime").when(size < 10**18, "ticks").otherwise("ns")).otherwise(F.concat(F.lit("text"), F.col("_prec").cast("string")))
+    return df.withColumn("state", state).select("kind", "raw", "zone", "state", instants.alias("instants"), precision.alias("precision"), form.alias("form"))
 
 
 class StampDictionary:
-    """Distinct raw stamps with their instants, kept as parquet batches under one folder.
+    """Distinct raw stamps with their instants, kept as parquet batches under one folder on storage that all executors share.
 
-    ``extend`` parses only values the dictionary lacks and appends them as a batch of its own, so a stopped run leaves
-    at most an unfinished batch, which readers skip. The folder must be on storage that all executors share.
+    The folder is a named one below the shared folder unless given, so a later run finds what earlier ones parsed.
+    ``extend`` parses only values the dictionary lacks and appends them as a batch of its own; a stopped run leaves
+    at most an unfinished batch, which readers skip, and runs side by side at most repeat a value.
     """
 
-    SCHEMA = "kind string, raw string, zone string, state string, instants array<bigint>, precision bigint"
+    SCHEMA = "kind string, raw string, zone string, state string, instants array<bigint>, precision bigint, form string"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "stamps")
+        self.spark, self.path = spark, path or f"{shared_dir(spark).rstrip('/')}/{FOLDER}"
 
     def _batches(self) -> list[str]:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -169,14 +178,15 @@ class StampDictionary:
         batches = self._batches()
         return self.spark.read.schema(self.SCHEMA).parquet(*batches) if batches else self.spark.createDataFrame([], self.SCHEMA)
 
-    def extend(self, stamps: DataFrame) -> "StampDictionary":
-        """``stamps``: kind, raw, zone in any number of repeats; distinct combines before the shuffle, so hot values cost nothing."""
+    def extend(self, stamps: DataFrame) -> int:
+        """How many values were new. ``stamps``: kind, raw, zone in any number of repeats; distinct combines before the shuffle, so hot values cost nothing."""
         key = ["kind", "raw", "zone"]
         new = stamps.select(*key).filter("raw is not null").distinct()
         if self._batches():
             new = new.alias("n").join(self.read().select(*key).alias("k"), [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key], "left_anti")
-        parse_stamps(new).write.parquet(scratch_under(self.path))
-        return self
+        batch = scratch_under(self.path)
+        parse_stamps(new).write.parquet(batch)
+        return self.spark.read.schema(self.SCHEMA).parquet(batch).count()
 
 
 def scratch_under(path: str) -> str:
@@ -192,6 +202,52 @@ def share_instant(a: str, b: str) -> Column:
     return F.arrays_overlap(floor(a), floor(b))
 
 
+def true_precision(stamps: DataFrame) -> DataFrame:
+    """(kind, form, coarser): by how much the stamps of a form are coarser than written.
+
+    Writers that keep microseconds still fill the seventh digit of a count of 100 ns, with 0. So the precision of a form
+    below a second is measured: it is the largest power of ten of which all its instants are multiples, if ``EVIDENCE``
+    distinct values at least say so (by chance one in 10^9). Forms are a fixed set, so this is a table of some ten rows,
+    from maxima that combine before the shuffle.
+    """
+    powers = [10**j for j in range(1, 8)]
+    odd = lambda p: F.exists("instants", lambda x: F.pmod(x, F.lit(p).cast("bigint")) != 0)
+    seen = stamps.filter(F.size("instants") > 0).groupBy("kind", "form").agg(F.approx_count_distinct("raw").alias("values"), F.first("precision").alias("precision"), *[F.max(odd(p)).alias(f"odd{p}") for p in powers])
+    coarser = F.greatest(*[F.when(~F.col(f"odd{p}") & (F.col("precision") < p), p).otherwise(1) for p in powers]).cast("bigint")
+    return seen.select("kind", "form", F.when((F.col("values") >= EVIDENCE) & (F.col("precision") < TICKS_PER_S), coarser).otherwise(F.lit(1).cast("bigint")).alias("coarser"))
+
+
+def normalised(stamps: DataFrame, path: str | None = None) -> DataFrame:
+    """Stamps with their instants: all columns of ``stamps`` (kind, raw, zone and others) and state, instants, precision, form.
+
+    Values are parsed once, through the dictionary under ``path``; a null raw is absent. Rows meet the dictionary in one
+    join, broadcast while it is small and salted beyond, so a value in a third of all rows is no hot task. ``precision``
+    is the one measured (see ``true_precision``).
+    """
+    stamps = cut(stamps)
+    known = StampDictionary(stamps.sparkSession, path)
+    known.extend(stamps)
+    key = ["kind", "raw", "_zone"]
+    values = known.read().withColumn("_zone", F.coalesce("zone", F.lit(""))).drop("zone")
+    used = stamps.filter("raw is not null").select("kind", "raw", F.coalesce("zone", F.lit("")).alias("_zone")).distinct()
+    values = cut(values.join(used, key, "left_semi").dropDuplicates(key))
+    forms = true_precision(values)
+    values = sized_join(values, forms, ["kind", "form"], "left").withColumn("precision", F.greatest("precision", F.coalesce("coarser", F.lit(1).cast("bigint")))).drop("coarser")
+    out = sized_join(stamps.withColumn("_zone", F.coalesce("zone", F.lit(""))), values, key, "left").drop("_zone")
+    return out.withColumn("state", F.coalesce("state", F.lit("absent")))
+
+
+def _own(kind: str, raw: str) -> Column:
+    """One stamp to be looked up; the zone of its archive is part of the key only if the stamp names none."""
+    return F.struct(F.lit(kind).alias("kind"), F.col(raw).alias("raw"), F.when(own_zone(kind, raw), None).otherwise(F.col("zone")).alias("zone"))
+
+
+def _zoned(rows: DataFrame, archives: DataFrame) -> DataFrame:
+    """Rows with the zone of their archive; of archives given twice the greatest zone holds."""
+    zones = archives.filter("archive_id is not null").groupBy("archive_id").agg(F.max("zone_name").alias("zone"))
+    return sized_join(rows, zones, ["archive_id"], "left")
+
+
 def disagreeing_stamps(headers: DataFrame, archives: DataFrame, entries: DataFrame, path: str | None = None) -> DataFrame:
     """Entries whose header stamp shares no instant with another stamp of the entry.
 
@@ -201,33 +257,40 @@ def disagreeing_stamps(headers: DataFrame, archives: DataFrame, entries: DataFra
     twice the greatest zone holds. Result: distinct (header_id, versus).
     """
     key = ["archive_id", "entry_index"]
-    zones = archives.filter("archive_id is not null").groupBy("archive_id").agg(F.max("zone_name").alias("zone"))
     h = headers.select("header_id", *key, F.col("header_last_modified").cast("string").alias("packed"), F.col("modified_time").alias("text")).distinct()
-    h = sized_join(h, zones, ["archive_id"], "left")
+    h = _zoned(h, archives)
     dos = entries.filter("archive_id is not null and entry_index is not null and dos_date is not null and dos_time is not null").select(*key, F.concat_ws(":", "dos_date", "dos_time").alias("dos")).distinct()
-    stated = ~F.lower(F.trim("packed")).isin(ABSENT)
-    rows = h.filter(stated).join(dos, key, "left")
-    one = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("raw"), F.when(own_zone(kind), None).otherwise(F.col("zone")).alias("zone"))
+    rows = h.filter(~F.lower(F.trim("packed")).isin(ABSENT)).join(dos, key, "left").filter(F.col("text").isNotNull() | F.col("dos").isNotNull())
     kinds = ["packed", "text", "dos"]
-    rows = rows.filter(stated & (F.col("text").isNotNull() | F.col("dos").isNotNull())).select("header_id", *[one(k).alias(k) for k in kinds])
-    from tallyforge.session import cut
-
-    rows = cut(rows)
-    known = StampDictionary(headers.sparkSession, path)
-    known.extend(rows.select(F.explode(F.array(*kinds)).alias("e")).select("e.*"))
-    values = known.read().dropDuplicates(["kind", "raw", "zone"])
-    for k in kinds:
-        v = values.filter(F.col("kind") == k).select(F.col("raw").alias(f"{k}_raw"), F.coalesce("zone", F.lit("")).alias(f"{k}_zone"), F.struct("state", "instants", "precision").alias(f"{k}_v"))
-        rows = rows.withColumn(f"{k}_raw", F.col(f"{k}.raw")).withColumn(f"{k}_zone", F.coalesce(F.col(f"{k}.zone"), F.lit(""))).join(v, [f"{k}_raw", f"{k}_zone"], "left")
-    apart = lambda k: (F.col("packed_v.state") == "ok") & (F.col(f"{k}_v.state") == "ok") & ~share_instant("packed_v", f"{k}_v")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("_row"), "header_id", *[_own(k, k).alias(k) for k in kinds]))
+    stamps = normalised(rows.select("_row", "header_id", F.explode(F.array(*kinds)).alias("e")).select("_row", "header_id", "e.*").filter("raw is not null"), path)
+    value = F.struct("instants", "precision")
+    sides = stamps.filter("state = 'ok'").groupBy("_row", "header_id").agg(*[F.first(F.when(F.col("kind") == k, value), ignorenulls=True).alias(k) for k in kinds])
+    apart = lambda k: F.col("packed").isNotNull() & F.col(k).isNotNull() & ~share_instant("packed", k)
     versus = F.array_compact(F.array(F.when(apart("text"), "modified_time"), F.when(apart("dos"), "dos")))
-    return rows.select("header_id", F.explode(versus).alias("versus")).distinct()
+    return sides.select("header_id", F.explode(versus).alias("versus")).distinct()
+
+
+def entry_instants(headers: DataFrame, archives: DataFrame, entries: DataFrame, path: str | None = None) -> DataFrame:
+    """Every stamp of an entry as instants: source_table, row_id, stamp, instant (ticks), precision, of_so_many.
+
+    A wall time that clocks showed twice gives two rows, one that none showed, an impossible date, and a stamp that is
+    absent, unreadable or without a zone give none. ``entries`` also needs entry_id. Repeated rows come once.
+    """
+    h = headers.select(F.lit("file_header").alias("source_table"), F.col("header_id").alias("row_id"), "archive_id", F.col("header_last_modified").cast("string").alias("packed"), F.col("modified_time").alias("text"), F.lit(None).cast("string").alias("dos"))
+    none = F.lit(None).cast("string")
+    e = entries.filter("dos_date is not null and dos_time is not null").select(F.lit("central_entry").alias("source_table"), F.col("entry_id").alias("row_id"), "archive_id", none.alias("packed"), none.alias("text"), F.concat_ws(":", "dos_date", "dos_time").alias("dos"))
+    rows = _zoned(h.unionByName(e).distinct(), archives)
+    names = {"packed": "header_last_modified", "text": "modified_time", "dos": "dos"}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("stamp"), _own(k, k).alias("e")) for k, n in names.items()])).alias("x")
+    stamps = rows.select("source_table", "row_id", each).select("source_table", "row_id", "x.stamp", "x.e.*").filter("raw is not null").distinct()
+    return normalised(stamps, path).filter("state = 'ok'").select("source_table", "row_id", "stamp", F.size("instants").alias("of_so_many"), "precision", F.explode("instants").alias("instant")).distinct()
 
 
-def own_zone(kind: str) -> Column:
+def own_zone(kind: str, raw: str) -> Column:
     """Whether a raw stamp needs no zone from outside; its dictionary key then has none, which keeps the dictionary small."""
     if kind == "dos":
         return F.lit(False)
-    n = F.expr(f"try_cast({kind} as bigint)")
-    count = n.isNotNull() & ~F.col(kind).rlike(r"^\s*\d{14}\s*$")
-    return count & ((n <= 0) | (n >= 2**32)) if kind == "packed" else count | F.col(kind).rlike(r"(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2}|\])\s*$") & ~F.col(kind).rlike(r"[AP]M\s*$")
+    n = F.expr(f"try_cast({raw} as bigint)")
+    count = n.isNotNull() & ~F.col(raw).rlike(r"^\s*\d{14}\s*$")
+    return count & ((n <= 0) | (n >= 2**32)) if kind == "packed" else count | F.col(raw).rlike(r"(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2}|\])\s*$") & ~F.col(raw).rlike(r"[AP]M\s*$")

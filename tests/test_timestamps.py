@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from tallyforge.operators.timestamps import StampDictionary, disagreeing_stamps, parse_stamps
+from tallyforge.operators.timestamps import StampDictionary, disagreeing_stamps, entry_instants, normalised, parse_stamps
 
 EPOCH = 62135596800
 
@@ -78,8 +78,9 @@ def test_dictionary_grows_by_what_it_lacks(spark, tmp_path):
     d = StampDictionary(spark, f"file://{tmp_path}/stamps")
     rows = lambda *x: spark.createDataFrame([("text", r, "UTC") for r in x], "kind string, raw string, zone string")
     assert d.read().count() == 0
-    d.extend(rows("1", "1", "2"))
-    d.extend(rows("2", "3"))
+    assert d.extend(rows("1", "1", "2")) == 2
+    assert d.extend(rows("2", "3")) == 1
+    assert StampDictionary(spark, d.path).extend(rows("3", "2", "1")) == 0  # another run parses nothing again
     assert sorted(r.raw for r in d.read().collect()) == ["1", "2", "3"]
 
 
@@ -112,3 +113,34 @@ def test_comparison(spark):
 
 def test_empty(spark):
     assert found(spark, [], [], []) == set()
+
+
+def test_a_named_folder_outlives_the_query(spark, tmp_path):
+    path = f"file://{tmp_path}/stamps"
+    headers = spark.createDataFrame([(1, 1, 0, 1_600_000_000_000, "2020-09-13 12:26:41", None)], HEADERS)
+    archives, entries = spark.createDataFrame([(1, "UTC")], "archive_id bigint, zone_name string"), spark.createDataFrame([], ENTRIES)
+    for _ in range(2):
+        assert {tuple(r) for r in disagreeing_stamps(headers, archives, entries, path).collect()} == {(1, "modified_time")}
+    batches = [spark.read.parquet(b).count() for b in StampDictionary(spark, path)._batches()]
+    assert sorted(batches) == [0, 2]
+    assert StampDictionary(spark).path == StampDictionary(spark).path
+
+
+def test_precision_is_measured_over_a_form(spark):
+    rows = lambda n, last: [("text", f"{636762946512373000 + i * 7919 * 10 + last}", None) for i in range(n)]
+    grain = lambda data: {r.precision for r in normalised(spark.createDataFrame(data, "kind string, raw string, zone string")).collect()}
+    assert grain(rows(40, 0)) == {10}  # the seventh digit is never used
+    assert grain(rows(40, 0) + rows(1, 3)) == {1}
+    assert grain(rows(4, 0)) == {1}  # too few to tell
+
+
+def test_instants_of_rows(spark):
+    headers = [(1, 1, 0, 1_600_000_000_000, "2021-10-31 02:30:00", "clash"), (1, 1, 0, 1_600_000_000_000, "2021-10-31 02:30:00", None), (2, 2, 0, None, "2021-10-31 02:30:00", None), (3, 1, 0, 0, "2021-03-28 02:30:00", None)]
+    entries = spark.createDataFrame([(9, 1, 0, *DOS), (8, 1, 1, 0, 0), (7, 1, 2, None, 5)], "entry_id bigint, archive_id bigint, entry_index int, dos_date int, dos_time int")
+    got = entry_instants(spark.createDataFrame(headers, HEADERS), spark.createDataFrame([(1, "Europe/Berlin"), (2, None)], "archive_id bigint, zone_name string"), entries)
+    assert sorted((r.source_table, r.row_id, r.stamp, r.of_so_many, r.instant // 10**7 - 62_135_596_800) for r in got.collect()) == [
+        ("central_entry", 9, "dos", 1, int(dt.datetime(2020, 2, 3, 3, 5, 6, tzinfo=dt.timezone.utc).timestamp())),
+        ("file_header", 1, "header_last_modified", 1, 1_600_000_000),
+        ("file_header", 1, "modified_time", 2, 1_635_640_200),
+        ("file_header", 1, "modified_time", 2, 1_635_643_800),
+    ]
