@@ -2,12 +2,14 @@
 
 A chunk of documents is one byte array. Bitmaps of quotes, brackets and delimiters come from whole-array comparisons;
 prefix sums give string parity and nesting depth; sorting by depth pairs brackets and finds each token's container.
-Nodes are then followed level by level with array lookups: no document is walked in Python.
+The grammar is checked on the same arrays, as which token may follow which in an object or a list. Nodes are then
+followed level by level with array lookups: no document is parsed or walked in Python, at any depth.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,93 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 
 
+#: Lexemes by byte: braces, brackets, comma, colon; then strings, other values, and strings that are keys. A document starts with START.
+_LEXEME = np.zeros(256, np.int64)
+_LEXEME[[123, 125, 91, 93, 44, 58]] = range(6)
+_STRING, _PLAIN, _KEY, _START = 6, 7, 8, 9
+#: What may follow a lexeme outside all brackets, in an object and in a list.
+_FOLLOWS = np.zeros((3, 10, 8), bool)
+_VALUE = [_STRING, _PLAIN, 0, 2]
+_FOLLOWS[0, _START, _VALUE] = True
+_FOLLOWS[1, 0, [_STRING, 1]] = _FOLLOWS[1, 4, _STRING] = _FOLLOWS[1, _KEY, 5] = True
+_FOLLOWS[1, 5, _VALUE] = True
+_FOLLOWS[2, 2, [*_VALUE, 3]] = True
+_FOLLOWS[2, 4, _VALUE] = True
+for _v in (_STRING, _PLAIN, 1, 3):
+    _FOLLOWS[1, _v, [4, 1]] = _FOLLOWS[2, _v, [4, 3]] = True
+_NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|NaN|-?Infinity")
+_ESCAPES, _HEX = np.zeros(256, bool), np.zeros(256, bool)
+_ESCAPES[list(b'"\\/bfnrtu')] = True
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+
+
+def _malformed(b: np.ndarray, begin: np.ndarray, ok: np.ndarray, token: np.ndarray, doc: np.ndarray, kind: np.ndarray, depth: np.ndarray, quotes: np.ndarray) -> np.ndarray:
+    """Documents that break the grammar, of those whose quotes and brackets balance (``ok``): all arrays are of these only."""
+    size, bad = len(b), []
+    opens, closes = (kind == 123) | (kind == 91), (kind == 125) | (kind == 93)
+    level = depth + closes
+    a, c = np.argsort(level[opens], kind="stable"), np.argsort(level[closes], kind="stable")
+    bad.append(doc[opens][a][kind[opens][a] + 2 != kind[closes][c]])
+    open_pos, open_level = token[opens][a], level[opens][a]
+    open_key, is_object = open_level * size + open_pos, kind[opens][a] == 123
+    # strings, and runs of what is neither string, blank nor structure
+    first, last = quotes[0::2], quotes[1::2]
+    inside = np.zeros(size + 1, np.int8)
+    inside[first] += 1
+    inside[last + 1] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    plain = ~inside & ~_SPACE[b]
+    plain[token] = False
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], plain.view(np.int8), [0]])))
+    run, stop = edge[0::2], edge[1::2]
+    of = lambda pos: np.searchsorted(begin, pos, "right") - 1
+    run_doc = of(run)
+    run, stop, run_doc = run[ok[run_doc]], stop[ok[run_doc]], run_doc[ok[run_doc]]
+    digit = np.concatenate([[0], np.cumsum((b >= 48) & (b <= 57))])
+    length = stop - run
+    fine = (digit[stop] - digit[run] == length) & ((length == 1) | (b[run] != 48))
+    for word in (b"null", b"true", b"false"):
+        same = length == len(word)
+        for j, x in enumerate(word):
+            same[same] = b[run[same] + j] == x
+        fine |= same
+    rest = np.flatnonzero(~fine)
+    bad.append(run_doc[rest[[_NUMBER.fullmatch(b[i:j].tobytes()) is None for i, j in zip(run[rest].tolist(), stop[rest].tolist(), strict=True)]]] if len(rest) else rest)
+    bad.append(of(np.flatnonzero(inside & (b < 32))))
+    slash = np.flatnonzero(inside & (b == 92))
+    if len(slash):  # the first of each pair of backslashes begins an escape
+        new = np.append(True, np.diff(slash) > 1)
+        head = slash[np.maximum.accumulate(np.where(new, np.arange(len(slash)), 0))]
+        escape = slash[(slash - head) % 2 == 0]
+        after = b[np.minimum(escape + 1, size - 1)]
+        bad.append(of(escape[~_ESCAPES[after]]))
+        coded = escape[after == 117]
+        hexed = np.ones(len(coded), bool)
+        for j in range(2, 6):
+            hexed &= _HEX[b[np.minimum(coded + j, size - 1)]]
+        bad.append(of(coded[~hexed]))
+    pos = np.concatenate([token, first, run])
+    code = np.concatenate([_LEXEME[kind], np.full(len(first), _STRING), np.full(len(run), _PLAIN)])
+    owner = np.concatenate([doc, of(first), run_doc])
+    order = np.argsort(pos, kind="stable")
+    pos, code, owner = pos[order], code[order], owner[order]
+    # the level a lexeme lies in is the depth behind the last bracket before it; a closing bracket lies in what it closes
+    before = np.searchsorted(token, pos) - 1
+    at = np.where((before >= 0) & (doc[np.maximum(before, 0)] == owner), depth[np.maximum(before, 0)], 0) if len(token) else np.zeros(len(pos), np.int64)
+    where = np.zeros(len(pos), np.int64)
+    deep = np.flatnonzero(at > 0)
+    where[deep] = np.where(is_object[np.searchsorted(open_key, at[deep] * size + pos[deep]) - 1], 1, 2)
+    previous = np.append(_START, code[:-1])
+    previous[np.append(True, owner[1:] != owner[:-1])] = _START
+    key = (code == _STRING) & (where == 1) & ((previous == 0) | (previous == 4))
+    previous[np.flatnonzero(key[:-1] & (owner[1:] == owner[:-1])) + 1] = _KEY
+    bad.append(owner[~_FOLLOWS[where, previous, code]])
+    some = np.zeros(len(begin), bool)
+    some[owner] = True
+    bad.append(np.flatnonzero(~some))
+    return np.concatenate(bad)
+
+
 class _Index:
     """Structural index of documents joined by line ends. Unreadable documents have no tokens; ``ok`` says which are readable."""
 
@@ -61,13 +150,8 @@ class _Index:
         np.add.at(final, doc, step)
         ok = (count % 2 == 0) & (final == 0)
         ok[doc[depth < 0]] = False
-        for d in np.flatnonzero(ok):  # the bitmaps don't check grammar
-            try:
-                json.loads(docs[d])
-            except RecursionError:
-                pass
-            except ValueError:
-                ok[d] = False
+        keep = ok[doc]
+        ok[_malformed(b, self.start, ok, token[keep], doc[keep], kind[keep], depth[keep], quotes[ok[owner]])] = False
         self.ok = ok
         keep = ok[doc]
         token, doc, kind, depth, opens, closes = token[keep], doc[keep], kind[keep], depth[keep], opens[keep], closes[keep]
@@ -261,11 +345,12 @@ def catalog_nodes(trees: DataFrame, fields: list[str] | None = None) -> DataFram
 
 
 def linked_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """Directories, games and files of ``catalog_nodes`` as tables of their own, each row with its parent's path."""
+    """Directories, games and files of ``catalog_nodes`` as tables of their own, each row with its parent's path. Categories and device references come as lists; one alone is a list of one."""
+    listed = lambda c: F.when(F.col(c).startswith("["), F.from_json(c, "array<string>")).when(F.col(c).isNotNull(), F.array(c)).alias(c)
     link = ["dat_id", "node_path", "parent_path", "place"]
     size = F.col("size").try_cast("bigint").alias("size")
     return {
         "directories": nodes.filter("kind = 'dir'").select(*link, *ELEMENT),
-        "games": nodes.filter("kind = 'game'").select(*link, *ELEMENT, *GAME),
+        "games": nodes.filter("kind = 'game'").select(*link, *ELEMENT, *[listed(c) if c in ("category", "device_ref") else c for c in GAME]),
         "files": nodes.filter("kind = 'file'").select(*link, *ELEMENT, size, *BODY[1:]),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.nested import catalog_nodes, linked_tables
+from tallyforge.operators.nested import BODY, ELEMENT, GAME, catalog_nodes, linked_tables
 from tallyforge.operators.snapshots import snapshot_changes
 from tallyforge.operators.timestamps import ABBREVIATIONS, TICKS_EPOCH_S, TICKS_PER_S, disagreeing_stamps, entry_instants
 from tallyforge.operators.wide import attribute_list, filled_cells, to_wide
@@ -51,14 +51,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"]), [])
 
 
-def p3_files(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of files."""
-    return linked_tables(catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"])))["files"]
+def _linked(name: str):
+    def linked(spark: SparkSession, d: str) -> DataFrame:
+        rows = linked_tables(catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"])))[name]
+        return rows.withColumns({c: F.array_join(c, "|") for c in ("category", "device_ref") if c in rows.columns})
+
+    linked.__doc__ = f"The flat table of {name}, each row with its parent's path."
+    return linked
+
+
+p3_directories, p3_games, p3_files = (_linked(n) for n in ("directories", "games", "files"))
 
 
 def queries() -> dict:
     """The general problems' queries by name."""
-    return {"p2_found": p2_found, "p2_instants": p2_instants, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p2_instants": p2_instants, "p3_found": p3_found, "p3_directories": p3_directories, "p3_games": p3_games, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found}
 
 
 _SECONDS = """CASE WHEN {0} < 100000000000 THEN {0} WHEN {0} < 100000000000000 THEN {0} // 1000 WHEN {0} < 100000000000000000 THEN {0} // 1000000
@@ -71,15 +78,29 @@ SELECT c.source_table, c.root_id, c.snapshot_no, c.name, CASE WHEN p.name IS NUL
  LEFT JOIN held p ON p.source_table = c.source_table AND p.root_id = c.root_id AND p.snapshot_no = o.before AND p.name = c.name WHERE before IS NOT NULL AND (p.name IS NULL OR p.s <> c.s OR p.size <> c.size OR p.crc <> c.crc)
 UNION ALL SELECT p.source_table, p.root_id, o.snapshot_no, p.name, 'removed' FROM held p JOIN snaps o ON o.source_table = p.source_table AND o.root_id = p.root_id AND o.before = p.snapshot_no
  LEFT JOIN held c ON c.source_table = p.source_table AND c.root_id = p.root_id AND c.snapshot_no = o.snapshot_no AND c.name = p.name WHERE c.name IS NULL"""
-_P3 = """WITH RECURSIVE held AS (SELECT dat_id, node FROM dat_node QUALIFY row_number() OVER (PARTITION BY dat_id ORDER BY loaded_at DESC, node DESC) = 1),
-tree(dat_id, parent_path, node_path, body) AS (
- SELECT dat_id, CAST(NULL AS VARCHAR), 'r', json_extract(node, '$.Dir.children') FROM held WHERE json_valid(node)
- UNION ALL SELECT dat_id, node_path, node_path || '/' || i, json_extract(e, '$.node.Dir.children') FROM (
+_TREE = """WITH RECURSIVE held AS (SELECT dat_id, node FROM dat_node QUALIFY row_number() OVER (PARTITION BY dat_id ORDER BY loaded_at DESC, node DESC) = 1),
+tree(dat_id, parent_path, node_path, place, e, body) AS (
+ SELECT dat_id, CAST(NULL AS VARCHAR), 'r', CAST(NULL AS BIGINT), CAST(NULL AS JSON), json_extract(node, '$.Dir.children') FROM held WHERE json_valid(node)
+ UNION ALL SELECT dat_id, node_path, node_path || '/' || i, i, e, json_extract(e, '$.node.Dir.children') FROM (
   SELECT dat_id, node_path, i, json_extract(l, '$[' || i || ']') AS e FROM (
    SELECT dat_id, node_path, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM (
     SELECT dat_id, node_path, CASE json_type(c) WHEN 'OBJECT' THEN json_array(c) ELSE c END AS l FROM (
-     SELECT dat_id, node_path, CASE json_type(body) WHEN 'VARCHAR' THEN CAST(json_extract_string(body, '$') AS JSON) ELSE body END AS c FROM tree) WHERE json_type(c) IN ('ARRAY', 'OBJECT')))) WHERE json_type(e) = 'OBJECT')
-SELECT dat_id, parent_path, node_path FROM tree WHERE parent_path IS NOT NULL"""
+     SELECT dat_id, node_path, CASE json_type(body) WHEN 'VARCHAR' THEN CAST(json_extract_string(body, '$') AS JSON) ELSE body END AS c FROM tree) WHERE json_type(c) IN ('ARRAY', 'OBJECT')))) WHERE json_type(e) = 'OBJECT'),
+nodes AS (SELECT *, coalesce(json_type(e, '$.node.Dir') = 'OBJECT', FALSE) AS is_dir, coalesce(json_type(e, '$.node.File') = 'OBJECT', FALSE) AS is_file, coalesce(json_type(e, '$.node.Dir.d_game') = 'OBJECT', FALSE) AS is_game FROM tree WHERE parent_path IS NOT NULL)"""
+_P3 = f"{_TREE} SELECT dat_id, parent_path, node_path FROM nodes"
+
+
+def _field(path: str, name: str) -> str:
+    """A field as text; lists are joined."""
+    if name in ("category", "device_ref"):
+        return f"CASE json_type(e, '{path}.{name}') WHEN 'ARRAY' THEN array_to_string(json_extract_string(e, '{path}.{name}[*]'), '|') ELSE json_extract_string(e, '{path}.{name}') END AS {name}"
+    return f"json_extract_string(e, '{path}.{name}') AS {name}"
+
+
+_LINK = "dat_id, node_path, parent_path, CAST(place AS INT) AS place, " + ", ".join(_field("$", f) for f in ELEMENT)
+_P3_DIRECTORIES = f"{_TREE} SELECT {_LINK} FROM nodes WHERE NOT is_game AND (is_dir OR NOT is_file)"
+_P3_GAMES = f"{_TREE} SELECT {_LINK}, {', '.join(_field('$.node.Dir.d_game', f) for f in GAME)} FROM nodes WHERE is_game"
+_P3_FILES = f"{_TREE} SELECT {_LINK}, try_cast(json_extract_string(e, '$.node.File.size') AS BIGINT) AS size, {', '.join(_field('$.node.File', f) for f in BODY[1:])} FROM nodes WHERE is_file AND NOT is_dir"
 
 
 _FORMATS = ["%Y-%m-%dT%H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%a, %d %b %Y %H:%M:%S", "%d-%b-%Y %H:%M:%S", "%Y%m%dT%H%M%S", "%Y-%m-%d %H:%M", "%b %d, %Y %I:%M:%S %p", "%Y%m%d%H%M%S"]
@@ -118,4 +139,4 @@ _P2_FOUND = f"""{_STAMPS} SELECT DISTINCT header_id, 'modified_time' AS versus F
 
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables for those that SQL can express."""
-    return {"p2_found": _P2_FOUND, "p2_instants": _P2_INSTANTS, "p3_found": _P3, "p4_found": _P4}
+    return {"p2_found": _P2_FOUND, "p2_instants": _P2_INSTANTS, "p3_found": _P3, "p3_directories": _P3_DIRECTORIES, "p3_games": _P3_GAMES, "p3_files": _P3_FILES, "p4_found": _P4}

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+from tallyforge.operators import nested
 from tallyforge.operators.nested import catalog_nodes, flatten_trees, linked_tables
 
 SCHEMA = "dat_id bigint, node string, loaded_at timestamp_ntz, path string"
@@ -77,5 +78,48 @@ def test_linked_tables(spark):
     tree = {"Dir": {"children": [{"name": "d", "node": {"Dir": {"children": {"name": "g", "node": {"Dir": {"d_game": {"year": 1999, "category": "c"}, "children": [{"name": "fé", "file_type": "File", "node": {"File": {"size": "12", "is_disk": True}}}]}}}}}}]}}
     t = linked_tables(catalog_nodes(spark.createDataFrame([(1, json.dumps(tree), None, "clash")], SCHEMA)))
     assert [(r.node_path, r.name) for r in t["directories"].collect()] == [("r/0", "d")]
-    assert [(r.node_path, r.year, r.category) for r in t["games"].collect()] == [("r/0/0", "1999", "c")]
+    assert [(r.node_path, r.year, r.category) for r in t["games"].collect()] == [("r/0/0", "1999", ["c"])]
     assert [(r.parent_path, r.name, r["size"], r.is_disk) for r in t["files"].collect()] == [("r/0/0", "fé", 12, "true")]
+
+
+def test_the_grammar_is_that_of_a_parser():
+    """Documents whole and broken at random places: the arrays say what json.loads says."""
+    r = random.Random(1)
+
+    def value(d=0):
+        k = r.random()
+        if d > 4 or k < 0.3:
+            return r.choice([1, 0, -3, 2.5, 1e9, True, False, None, "a", 'x"y', "\\", "é\n", "{[,:", "", "\x01"])
+        if k < 0.65:
+            return [value(d + 1) for _ in range(r.randint(0, 4))]
+        return {r.choice(["a", "b", "node", "children", "k\\", 'q"']): value(d + 1) for _ in range(r.randint(0, 4))}
+
+    docs = [b"", b" ", b"nul", b"NaN", b"[-Infinity]", b"01", b"[1 2]", b"1 2", b'{"a" "b"}', b'{"a":}', b"[1,]", b'{"a":1,}', b'"\\u12g4"', b'"\\u1234"', b'"\\x"', b"[1}", b"{1:2}", b'{"a":1:2}', b'[{"a":1}"b"]', b'"a\tb"']
+    for _ in range(6000):
+        t = json.dumps(value(), ensure_ascii=r.random() < 0.5, indent=r.choice([None, None, 1]))
+        if r.random() < 0.75:
+            i = r.randrange(len(t) + 1)
+            t = r.choice([t[:i] + t[i + 1 :], t[:i] + r.choice('{}[],:"\\ \n\t0-1.enul\x01\x0b') + t[i:], t[:i] + r.choice('{}[],:"\\ 01eE+-') + t[i + 1 :]])
+        docs.append(t.encode())
+
+    def reads(d):
+        try:
+            json.loads(d.decode())
+        except ValueError:
+            return False
+        return True
+
+    for i in range(0, len(docs), 500):
+        assert nested._Index(docs[i : i + 500]).ok.tolist() == [reads(d) for d in docs[i : i + 500]]
+
+
+def test_depth_makes_no_difference():
+    deep = '{"Dir":{"children":[' * 1 + '{"name":"x","node":{"Dir":{"children":[' * 3000 + "]}}}" * 3000 + "]}}"
+    flat, readable = nested.flatten_trees([(1, deep), (2, deep[:-1] + "]")], [])
+    assert readable == [True, False] and len(flat["node_path"]) == 3000
+
+
+def test_linked_lists(spark):
+    tree = json.dumps({"Dir": {"children": [{"name": "g", "file_type": "Zip", "node": {"Dir": {"d_game": {"category": ["a", "b"], "device_ref": "d"}, "children": []}}}]}})
+    games = nested.linked_tables(nested.catalog_nodes(spark.createDataFrame([(1, tree, 1)], "dat_id bigint, node string, loaded_at int")))["games"]
+    assert [(r.category, r.device_ref) for r in games.collect()] == [(["a", "b"], ["d"])]
