@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, shared_dir, sized_join
+from tallyforge.session import cut, shared_dir, sized_join, split_join
 
 TICKS_PER_S = 10_000_000
 TICKS_EPOCH_S = 62_135_596_800
@@ -221,19 +221,17 @@ def normalised(stamps: DataFrame, path: str | None = None) -> DataFrame:
     """Stamps with their instants: all columns of ``stamps`` (kind, raw, zone and others) and state, instants, precision, form.
 
     Values are parsed once, through the dictionary under ``path``; a null raw is absent. Rows meet the dictionary in one
-    join, broadcast while it is small and salted beyond, so a value in a third of all rows is no hot task. ``precision``
+    join, broadcast while it is small; beyond that values in a large share of the rows are split off, so they are no hot task. ``precision``
     is the one measured (see ``true_precision``).
     """
-    stamps = cut(stamps)
     known = StampDictionary(stamps.sparkSession, path)
     known.extend(stamps)
     key = ["kind", "raw", "_zone"]
-    values = known.read().withColumn("_zone", F.coalesce("zone", F.lit(""))).drop("zone")
-    used = stamps.filter("raw is not null").select("kind", "raw", F.coalesce("zone", F.lit("")).alias("_zone")).distinct()
-    values = cut(values.join(used, key, "left_semi").dropDuplicates(key))
-    forms = true_precision(values)
-    values = sized_join(values, forms, ["kind", "form"], "left").withColumn("precision", F.greatest("precision", F.coalesce("coarser", F.lit(1).cast("bigint")))).drop("coarser")
-    out = sized_join(stamps.withColumn("_zone", F.coalesce("zone", F.lit(""))), values, key, "left").drop("_zone")
+    values = known.read().withColumn("_zone", F.coalesce("zone", F.lit(""))).drop("zone").dropDuplicates(key)
+    zoned = stamps.withColumn("_zone", F.coalesce("zone", F.lit("")))
+    forms = true_precision(values.join(zoned.select(*key).distinct(), key, "left_semi"))
+    out = split_join(zoned, values, key).drop("_zone")
+    out = sized_join(out, forms, ["kind", "form"], "left").withColumn("precision", F.greatest("precision", F.coalesce("coarser", F.lit(1).cast("bigint")))).drop("coarser")
     return out.withColumn("state", F.coalesce("state", F.lit("absent")))
 
 
@@ -280,7 +278,7 @@ def entry_instants(headers: DataFrame, archives: DataFrame, entries: DataFrame,
     h = headers.select(F.lit("file_header").alias("source_table"), F.col("header_id").alias("row_id"), "archive_id", F.col("header_last_modified").cast("string").alias("packed"), F.col("modified_time").alias("text"), F.lit(None).cast("string").alias("dos"))
     none = F.lit(None).cast("string")
     e = entries.filter("dos_date is not null and dos_time is not null").select(F.lit("central_entry").alias("source_table"), F.col("entry_id").alias("row_id"), "archive_id", none.alias("packed"), none.alias("text"), F.concat_ws(":", "dos_date", "dos_time").alias("dos"))
-    rows = _zoned(h.unionByName(e).distinct(), archives)
+    rows = cut(_zoned(h.unionByName(e).distinct(), archives))
     names = {"packed": "header_last_modified", "text": "modified_time", "dos": "dos"}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("stamp"), _own(k, k).alias("e")) for k, n in names.items()])).alias("x")
     stamps = rows.select("source_table", "row_id", each).select("source_table", "row_id", "x.stamp", "x.e.*").filter("raw is not null").distinct()

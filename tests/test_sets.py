@@ -158,3 +158,13 @@ def test_components(spark):
     links = spark.createDataFrame([(i, f"{i // 2}") for i in range(40)] + [(i, f"x{(i + 1) // 2}") for i in range(20)] + [(99, "alone"), (None, "alone"), (98, None)], "id bigint, key string")
     got = {r.id: r.component for r in components(links, "id", "key").collect()}
     assert {got[i] for i in range(20)} == {0} and got[21] == 20 and got[99] == 99 and 98 not in got
+
+
+def test_hot_keys_of_a_join_are_split_off(spark):
+    from tallyforge.session import split_join
+
+    left = spark.range(30_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else cast(id as string) end as k", "'' as z")
+    right = spark.createDataFrame([("hot", "", 1), ("7", "", 2), ("8", "x", 3)], "k string, z string, v int")
+    want = {r.id: r.v for r in left.join(right, ["k", "z"], "left").collect()}
+    got = split_join(left, right, ["k", "z"], limit=0)
+    assert got.columns == ["id", "k", "z", "v"] and {r.id: r.v for r in got.collect()} == want and got.count() == 30_000
