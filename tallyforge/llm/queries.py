@@ -22,8 +22,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_restored(spark: SparkSession, d: str) -> DataFrame:
-    """Garbled header names with the name as it was given, where it can be recovered."""
-    return restored_headers(table(spark, d, "file_header", ["header_id", "archive_id", "entry_index", "filename"]), table(spark, d, "central_entry", ["entry_id", "archive_id", "entry_index", "filename_bytes", "flags"]))
+    """Garbled names of both tables with the name as it was given, where it can be recovered."""
+    entries = table(spark, d, "central_entry", ["entry_id", "archive_id", "entry_index", "filename_bytes", "flags"])
+    headers = restored_headers(table(spark, d, "file_header", ["header_id", "archive_id", "entry_index", "filename"]), entries)
+    names = garbled_names(entries, "filename_bytes", "flags", "entry_id")
+    return headers.select(F.lit("file_header").alias("source_table"), "row_id", "name", "given").unionByName(names.select(F.lit("central_entry").alias("source_table"), "row_id", "name", "given")).distinct()
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +44,11 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_item", ["item_id", "text"]))
 
 
+def p7_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items of which passages of six words and more cover six tenths at least, in whatever order."""
+    return leaked(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_item", ["item_id", "text"]), least=6, least_coverage=0.6)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and items that share at least 13 consecutive words."""
     return p7_coverage(spark, d).select("doc_id", "item_id")
@@ -58,7 +66,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """The text problems' queries by name."""
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage, "p7_reordered": p7_reordered, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 _GRAMS = "SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {0}, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13)"

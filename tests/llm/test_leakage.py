@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from tallyforge.llm import leakage
 from tallyforge.llm.leakage import leaked, tile
@@ -62,3 +63,59 @@ def test_empty_and_long(spark):
     assert run(spark, [], []) == set() and run(spark, [(1, "a " * 50)], []) == set()
     long = "x " * 200_000 + " ".join(f"w{i}" for i in range(13))
     assert run(spark, [(1, long)], [(1, " ".join(f"W{i}" for i in range(13)))]) == {(1, 1)}
+
+
+def test_reordered_passages_are_told_by_coverage(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    item = r.sample(words, 60)
+    parts = [item[i : i + 8] for i in range(0, 56, 8)]
+    r.shuffle(parts)
+    filler = lambda: [f"z{r.randint(0, 999)}" for _ in range(4)]
+    reordered = " ".join(w for p in parts for w in [*p, *filler()])
+    docs = spark.createDataFrame([(1, reordered), (2, " ".join(parts[0] + filler() + parts[1])), (3, " ".join(item)), (4, None), (5, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert {x.doc_id for x in leaked(docs, items).collect()} == {3}  # no thirteen words in a row are left
+    found = {x.doc_id: (x.tiles, x.covered) for x in leaked(docs, items, least=6, least_coverage=0.6).collect()}
+    assert set(found) == {1, 3} and found[3] == (1, 60) and found[1][1] >= 56 and found[1][0] >= 6
+
+
+def test_repetitive_texts_take_no_longer():
+    a, b = [b"la"] * 20_000, [b"la"] * 1_000
+    began = time.time()
+    assert tile(a, b, 13) == [(0, 0, 1000)]
+    assert tile([b"x", b"y"] * 5_000, [b"y", b"x"] * 2_000 + [b"q"], 13)[0][2] == 4000
+    assert time.time() - began < 5
+
+
+def tiled(a, b, least):
+    """Longest unmarked match first, the first of equals, found by trying every pair of places."""
+    ua, ub, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ua[i + k] and not ub[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return out
+        ua[i : i + k] = ub[j : j + k] = [True] * k
+        out.append((i, j, k))
+
+
+def test_tiles_are_those_of_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        a, b = ([bytes([97 + r.randrange(3)]) for _ in range(r.randint(0, 40))] for _ in "ab")
+        assert tile(a, b, 4) == tiled(a, b, 4)
+
+
+def test_many_rows_of_one_item_are_all_searched(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 3)
+    items = spark.createDataFrame([(1, f"a{i} " + " ".join(f"k{i}x{j}" for j in range(15))) for i in range(10)] + [(2, "q")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"k{i}x{j}" for j in range(15))) for i in range(10)], "doc_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in leakage.leaked(docs, items).collect()} == {(i, 1) for i in range(10)}
