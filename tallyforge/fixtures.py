@@ -12,24 +12,37 @@ from pyspark.sql import functions as F
 
 from tallyforge.session import table
 
-NODES = """nodes AS (
-  SELECT CAST(doc_id AS VARCHAR) AS node_id, doc_id AS ord, source AS dat, source || '/' || repo AS archive, repo AS game, path AS name,
-    CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, substr(md5(coalesce(text, '')), 1, 8) AS crc, sha1(coalesce(text, '')) AS sha1, md5(coalesce(text, '')) AS md5,
+NODES = """base AS (
+  SELECT *, CASE WHEN doc_id % 4 <> 0 THEN substr(md5(coalesce(text, '')), 1, 2) ELSE coalesce(text, '') END AS content, doc_id % 20 = 14 AS headed FROM documents),
+known AS (SELECT *, CASE WHEN doc_id % 31 = 0 THEN content || 'x' ELSE content END AS inner_text FROM base),
+shown AS (SELECT *, CASE WHEN headed THEN 'H' || content ELSE content END AS whole, CASE WHEN headed THEN 'H' || inner_text ELSE inner_text END AS whole_text FROM known),
+nodes AS (
+  SELECT CAST(doc_id AS VARCHAR) AS node_id, doc_id AS ord, source AS dat, source || '/' || repo AS archive, repo AS game, path AS name, CAST(strlen(whole) AS BIGINT) AS size, CASE WHEN doc_id % 23 <> 0 THEN substr(md5(whole), 1, 8) END AS crc, CASE WHEN doc_id % 19 <> 0 THEN sha1(whole_text) END AS sha1, md5(whole_text) AS md5,
+    CASE WHEN headed THEN CAST(strlen(content) AS BIGINT) END AS alt_size, CASE WHEN headed THEN substr(md5(content), 1, 8) END AS alt_crc, CASE WHEN headed THEN sha1(inner_text) END AS alt_sha1, CASE WHEN headed THEN md5(inner_text) END AS alt_md5,
+    CASE WHEN headed THEN CASE WHEN doc_id % 3 = 0 THEN 'LYNX' ELSE 'NES' END WHEN doc_id % 7 = 2 THEN 'NES' END AS header_type, doc_id % 14 = 2 AS header_required, doc_id % 40 = 14 AS from_header,
     CASE doc_id % 10 WHEN 0 THEN 'InDatMerged' WHEN 1 THEN 'InDatNoDump' WHEN 2 THEN 'InDatMIA' WHEN 3 THEN 'NotInDat' WHEN 4 THEN 'InToSort' ELSE 'InDatCollect' END AS dat_status,
     CASE WHEN doc_id % 10 IN (3, 4) THEN 'Got' WHEN doc_id % 17 = 0 THEN 'Corrupt' WHEN doc_id % 3 = 0 THEN 'NotGot' WHEN doc_id % 43 = 0 THEN 'FileLocked' ELSE 'Got' END AS got_status,
-    CASE WHEN lang IS NULL THEN 'FileZip' ELSE 'File' END AS file_type, TRUE AS selected, doc_id % 13 = 0 AS locked, doc_id % 2 = 0 AS deep, 'disk/' || path AS physical
-  FROM documents)"""
+    CASE WHEN lang IS NULL THEN 'FileZip' ELSE 'File' END AS file_type, doc_id % 37 <> 0 AS selected, doc_id % 13 = 0 AS locked, doc_id % 2 = 0 AS deep, 'disk/' || path AS physical
+  FROM shown)"""
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Files expected and found. Three quarters share their content with others, some of which clash in part of their hashes, lie behind a header, demand one, or know only some hashes."""
     t = table(spark, d, "documents", ["doc_id", "text", "source", "repo", "path", "lang"]).withColumn("text", F.coalesce("text", F.lit("")))
-    n = F.col("doc_id") % 10
+    i = F.col("doc_id")
+    n = i % 10
     status = F.when(n == 0, "InDatMerged").when(n == 1, "InDatNoDump").when(n == 2, "InDatMIA").when(n == 3, "NotInDat").when(n == 4, "InToSort").otherwise("InDatCollect")
-    got = F.when(n.isin(3, 4), "Got").when(F.col("doc_id") % 17 == 0, "Corrupt").when(F.col("doc_id") % 3 == 0, "NotGot").when(F.col("doc_id") % 43 == 0, "FileLocked").otherwise("Got")
+    got = F.when(n.isin(3, 4), "Got").when(i % 17 == 0, "Corrupt").when(i % 3 == 0, "NotGot").when(i % 43 == 0, "FileLocked").otherwise("Got")
+    headed = i % 20 == 14
+    content = F.when(i % 4 != 0, F.substring(F.md5("text"), 1, 2)).otherwise(F.col("text"))
+    t = t.withColumn("c", content).withColumn("x", F.when(i % 31 == 0, F.concat("c", F.lit("x"))).otherwise(F.col("c")))
+    t = t.withColumn("hc", F.when(headed, F.concat(F.lit("H"), "c")).otherwise(F.col("c"))).withColumn("hx", F.when(headed, F.concat(F.lit("H"), "x")).otherwise(F.col("x")))
     return t.select(
-        F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").alias("ord"), F.col("source").alias("dat"), F.concat("source", F.lit("/"), "repo").alias("archive"), F.col("repo").alias("game"), F.col("path").alias("name"),
-        F.octet_length("text").cast("bigint").alias("size"), F.substring(F.md5("text"), 1, 8).alias("crc"), F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), status.alias("dat_status"), got.alias("got_status"),
-        F.when(F.col("lang").isNull(), "FileZip").otherwise("File").alias("file_type"), F.lit(True).alias("selected"), (F.col("doc_id") % 13 == 0).alias("locked"), (F.col("doc_id") % 2 == 0).alias("deep"), F.concat(F.lit("disk/"), "path").alias("physical"),
+        i.cast("string").alias("node_id"), i.alias("ord"), F.col("source").alias("dat"), F.concat("source", F.lit("/"), "repo").alias("archive"), F.col("repo").alias("game"), F.col("path").alias("name"),
+        F.octet_length("hc").cast("bigint").alias("size"), F.when(i % 23 != 0, F.substring(F.md5("hc"), 1, 8)).alias("crc"), F.when(i % 19 != 0, F.sha1("hx")).alias("sha1"), F.md5("hx").alias("md5"),
+        F.when(headed, F.octet_length("c").cast("bigint")).alias("alt_size"), F.when(headed, F.substring(F.md5("c"), 1, 8)).alias("alt_crc"), F.when(headed, F.sha1("x")).alias("alt_sha1"), F.when(headed, F.md5("x")).alias("alt_md5"),
+        F.when(headed, F.when(i % 3 == 0, "LYNX").otherwise("NES")).when(i % 7 == 2, "NES").alias("header_type"), (i % 14 == 2).alias("header_required"), (i % 40 == 14).alias("from_header"), status.alias("dat_status"), got.alias("got_status"),
+        F.when(F.col("lang").isNull(), "FileZip").otherwise("File").alias("file_type"), (i % 37 != 0).alias("selected"), (i % 13 == 0).alias("locked"), (i % 2 == 0).alias("deep"), F.concat(F.lit("disk/"), "path").alias("physical"),
     )
 
 

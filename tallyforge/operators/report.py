@@ -50,16 +50,40 @@ def grid_order(column: str, descending: bool = False, ties: tuple[str, ...] = ("
     return [k.desc() if descending else k.asc() for k in keys]
 
 
+_HASHES = ("crc", "sha1", "md5")
+_IDENTITY = ["size", *[f"{p}{h}" for h in _HASHES for p in ("", "alt_")]]
+
+
+def identity_classes(nodes: DataFrame) -> DataFrame:
+    """(class_id, count and the identity itself): files of equal size and hashes, with and without header, count as one class, named by its least node; nulls are equal to each other."""
+    for h in _IDENTITY:
+        if h not in nodes.columns:
+            nodes = nodes.withColumn(h, F.lit(None).cast("bigint" if h == "size" else "string"))
+    return nodes.groupBy(*_IDENTITY).agg(F.min("node_id").alias("class_id"), F.count("*").alias("occurrences"))
+
+
 def occurrences(needles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(needle_id, node_id) of all files with a needle's identity: equal on its first known hash, then no other known hash against it."""
-    lane = lambda p: F.coalesce(*[F.when(F.col(f"{p}{h}").isNotNull(), F.concat(F.lit(f"{h}:"), F.col(f"{p}{h}"))) for h in ("crc", "sha1", "md5")])
-    n = needles.select(F.col("node_id").alias("needle_id"), *[F.col(h).alias(f"n_{h}") for h in ("crc", "sha1", "md5")], F.col("size").alias("n_size")).withColumn("_k", lane("n_")).filter("_k is not null")
-    keys = F.array_compact(F.array(*[F.when(F.col(h).isNotNull(), F.concat(F.lit(f"{h}:"), F.col(h))) for h in ("crc", "sha1", "md5")]))
-    c = nodes.select("node_id", "crc", "sha1", "md5", "size", F.explode(keys).alias("_k"))
+    """(needle_id, class_id, occurrences): where a needle's content lies. Every hash the needle knows must be one of the candidate's, whole or without header, and sizes that are both known agree.
+
+    Files come as classes of equal identity with their number (see ``identity_classes``), so a content that lies in most
+    places is one row for each needle, not one for each pair. Needles without hashes have none.
+    """
+    n, c = identity_classes(needles), identity_classes(nodes)
+    known = [F.when(F.col(f"{p}{h}").isNotNull(), F.concat(F.lit(f"{h}:"), F.col(f"{p}{h}"))) for h in _HASHES for p in ("", "alt_")]
+    asked = n.select(F.col("class_id").alias("_class"), *[F.col(x).alias(f"n_{x}") for x in _IDENTITY], F.coalesce(*known).alias("_k")).filter("_k is not null")
+    held = c.withColumn("_k", F.explode(F.array_distinct(F.array_compact(F.array(*known)))))
     ok = F.coalesce(F.col("n_size") == F.col("size"), F.lit(True))
-    for h in ("crc", "sha1", "md5"):
-        ok = ok & (F.col(f"n_{h}").isNull() | F.coalesce(F.col(f"n_{h}") == F.col(h), F.lit(False)))
-    return n.join(c, "_k").filter(ok).select("needle_id", "node_id").distinct()
+    for h in _HASHES:
+        for x in (h, f"alt_{h}"):
+            ok = ok & (F.col(f"n_{x}").isNull() | F.coalesce(F.col(f"n_{x}") == F.col(h), F.lit(False)) | F.coalesce(F.col(f"n_{x}") == F.col(f"alt_{h}"), F.lit(False)))
+    found = asked.join(held, "_k").filter(ok).select("_class", "class_id", "occurrences").distinct()
+    members = needles
+    for x in _IDENTITY:
+        if x not in members.columns:
+            members = members.withColumn(x, F.lit(None).cast("bigint" if x == "size" else "string"))
+    same = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in _IDENTITY]
+    of = members.alias("a").join(n.alias("b"), same).select(F.col("a.node_id").alias("needle_id"), F.col("b.class_id").alias("_class"))
+    return of.join(found, "_class").select("needle_id", "class_id", "occurrences").distinct()
 
 
 def boxed_report(entries: DataFrame, by: str) -> DataFrame:

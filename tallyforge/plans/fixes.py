@@ -1,21 +1,34 @@
 """Repair planning: which missing files can be made from what is held, and what becomes of everything held.
 
 ``nodes``: node_id, ord (order of visit), archive, game, name, size, crc, sha1, md5, dat_status, got_status, selected,
-locked, deep (whether hashes were computed from content). The result keeps base_status and plan_status apart.
+locked, deep (whether hashes were computed from content), physical (where the content lies); and, if known, alt_size,
+alt_crc, alt_sha1, alt_md5 (of the content without its header), header_type, header_required (the catalog demands the
+header) and from_header (the type was read from content). The result keeps base_status and plan_status apart.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.stats import base_status
 from tallyforge.schemas import EMPTY, IN_CATALOG
-from tallyforge.session import cut, spread_rank
+from tallyforge.session import by_group, components, cut, spread_rank
 
 LANES = ["crc", "sha1", "md5"]
 WIDTH = {"crc": 8, "sha1": 40, "md5": 32}
+ALT = ["alt_crc", "alt_sha1", "alt_md5"]
+#: Columns that may be absent, with their types.
+OPTIONAL = {"alt_size": "bigint", "alt_crc": "string", "alt_sha1": "string", "alt_md5": "string", "header_type": "string", "header_required": "boolean", "from_header": "boolean", "physical": "string"}
+
+
+def completed(nodes: DataFrame) -> DataFrame:
+    """Nodes with all optional columns; a node without a path of its own has its id for one."""
+    out = nodes
+    for c, t in OPTIONAL.items():
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(t))
+    return out.withColumn("header_type", F.nullif("header_type", F.lit("NOTHING"))).withColumn("physical", F.coalesce("physical", F.concat(F.lit("node:"), "node_id")))
 
 
 def partitions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,10 +46,17 @@ def zero_length() -> Column:
     return F.when(some, ok).otherwise(F.col("name").endswith("/"))
 
 
-def hash_index(rows: DataFrame) -> DataFrame:
-    """One row per (lane, size, hash) of each node; a missing size counts as 0, only hashes of exact width are keys."""
-    lanes = [F.when(F.length(c) == WIDTH[c], F.struct(F.lit(i).alias("lane"), F.coalesce("size", F.lit(0)).alias("key_size"), F.col(c).alias("hash"))) for i, c in enumerate(LANES)]
-    return rows.withColumn("_e", F.explode(F.array_compact(F.array(*lanes)))).select("*", "_e.*").drop("_e")
+def _lanes(stated: bool) -> Column:
+    """Identity keys of a row, with and without its header: (lane, key). Only hashes of exact width are keys; a missing size counts as 0. With ``stated`` the catalog's whole hashes also ask for the size without header."""
+    size, alt_size = F.coalesce("size", F.lit(0)), F.coalesce("alt_size", "size", F.lit(0))
+    one = lambda i, n, h, lane: F.when(F.length(h) == WIDTH[lane], F.struct(F.lit(i).alias("lane"), F.concat_ws(":", F.lit(lane), n.cast("string"), F.col(h)).alias("key")))
+    keys = [k for i, lane in enumerate(LANES) for k in (one(i, size, lane, lane), one(i, alt_size, f"alt_{lane}", lane), *([one(i, alt_size, lane, lane)] if stated else []))]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def hash_index(rows: DataFrame, stated: bool = False) -> DataFrame:
+    """One row per (lane, key) of each node."""
+    return rows.withColumn("_e", F.explode(_lanes(stated))).select("*", "_e.*").drop("_e")
 
 
 def location() -> Column:
@@ -50,72 +70,115 @@ def consumable() -> Column:
 
 
 def compatible(m: str, g: str) -> Column:
-    """Whether hashes that the catalog states agree with those computed from the source's content."""
-    lanes = F.lit(True)
-    for c in ("sha1", "md5"):
-        lanes = lanes & F.coalesce(F.col(f"{m}.{c}") == F.col(f"{g}.{c}"), F.lit(True))
-    return ~F.coalesce(F.col(f"{g}.deep"), F.lit(False)) | lanes
+    """Whether content ``g`` may stand for what the catalog states in ``m``: header types that are both known agree, a demanded header was read from the content, and hashes computed from content, whole or without header, don't contradict those stated. A stated size of 0 without hashes takes empty content."""
+    c = lambda p, n: F.col(f"{p}.{n}")
+    kinds = F.coalesce(c(m, "header_type") == c(g, "header_type"), F.lit(True))
+    demanded = ~F.coalesce(c(m, "header_required"), F.lit(False)) | (c(g, "header_type").isNotNull() & F.coalesce(c(g, "from_header"), F.lit(False)))
+    hashes = F.lit(True)
+    for h in ("sha1", "md5"):
+        for stated in (c(m, h), c(m, f"alt_{h}")):
+            hashes = hashes & (F.coalesce(stated == c(g, h), F.lit(True)) | F.coalesce(stated == c(g, f"alt_{h}"), F.lit(False)))
+    bare = c(m, "size").isNotNull() & (c(m, "size") == 0)
+    for h in [*LANES, *ALT]:
+        bare = bare & c(m, h).isNull()
+    return F.when(bare, F.coalesce(c(g, "size") == 0, F.lit(False))).otherwise(kinds & demanded & (~F.coalesce(c(g, "deep"), F.lit(False)) | hashes))
+
 
+_STATED = ["sha1", "md5", "alt_sha1", "alt_md5", "header_type", "header_required"]
 
-def _identified(rows: DataFrame) -> DataFrame:
-    """Adds the identity group of each row: (size, crc), filled in from rows of equal sha1 or md5 where crc is unknown."""
-    size = F.coalesce("size", F.lit(0)).cast("bigint")
-    out = rows.withColumn("_size", size).withColumn("_key", F.when(F.length("crc") == 8, F.concat(F.lit("c"), "crc")))
-    for c in ("sha1", "md5"):
-        known = out.filter(F.col("_key").isNotNull() & (F.length(c) == WIDTH[c])).groupBy("_size", c).agg(F.min("_key").alias("_other"))
-        out = out.join(known, ["_size", c], "left").withColumn("_key", F.coalesce("_key", "_other")).drop("_other")
-    return out.withColumn("_key", F.coalesce("_key", F.when(F.length("sha1") == 40, F.concat(F.lit("s"), "sha1")), F.when(F.length("md5") == 32, F.concat(F.lit("m"), "md5"))))
+
+def with_preference(held: DataFrame) -> DataFrame:
+    """Adds how good a source is: its place, whether its content backs another row that stays, whether it is corrupt, whether it serves more than once, its order."""
+    stays = (F.col("got_status") == "Got") & F.col("dat_status").isin("InDatCollect", "InDatMIA")
+    backing = held.filter(stays).groupBy("physical").agg(F.count("*").alias("_backs"))
+    out = held.join(backing, "physical", "left")
+    shared = F.coalesce(F.col("_backs"), F.lit(0)) > F.when(stays, 1).otherwise(0)
+    return out.withColumn("_once", consumable()).withColumn("_pref", F.struct(location().alias("place"), shared.alias("shared"), (F.col("got_status") == "Corrupt").alias("corrupt"), (~F.col("_once")).alias("many"), F.col("ord"), F.col("node_id"))).drop("_backs")
 
 
 def assign_sources(missing: DataFrame, held: DataFrame) -> DataFrame:
     """(missing_id, source_id): the source each missing row is made from.
 
-    Rows of one identity group whose hashes don't clash can all stand for each other: sources that serve many targets
-    are found by a minimum, sources that serve one are dealt out by rank, k-th target to k-th source. No pairs are
-    formed, and one content with most of the rows is ranked over many tasks. Groups whose hashes clash (equal CRC, other
-    content) are replayed target by target in order of visit, trying CRC, SHA-1 and MD5 in turn.
+    Targets in order of visit take the best compatible source of the first of CRC, SHA-1 and MD5, whole or without
+    header, that has one left; sources wanted nowhere else serve once. Only keys that both sides have count. Where all
+    rows of all keys of a row have the same keys, and the targets state the same, the choice is closed: sources better
+    than the best that serves many are dealt by rank, k-th target to k-th source, and the rest share that one; so one
+    content with most of the rows is ranked over many tasks. Rows whose keys clash (equal CRC, other content) are
+    replayed target by target, component by component.
     """
-    both = missing.withColumn("_side", F.lit(0)).unionByName(held.withColumn("_side", F.lit(1)))
-    rows = _identified(both).filter(F.col("_key").isNotNull())
-    rows = cut(rows).withColumn("_place", location()).withColumn("_once", consumable())
-    group = ["_size", "_key"]
-    clash = rows.groupBy(*group).agg(((F.min("sha1") != F.max("sha1")) | (F.min("md5") != F.max("md5"))).alias("x"), F.min("_side").alias("a"), F.max("_side").alias("b")).filter("a = 0 and b = 1").select(*group, F.coalesce("x", F.lit(False)).alias("clash"))
-    rows = cut(rows.join(clash, group))
-    even = rows.filter("not clash")
-    targets, sources = even.filter("_side = 0"), even.filter("_side = 1")
-    best = F.struct(F.col("_place"), (F.col("got_status") == "Corrupt").alias("corrupt"), F.col("_once"), F.col("ord"), F.col("node_id"))
-    shared = sources.filter("not _once").groupBy(*group).agg(F.min(best).alias("s"))
-    # a shared source in place outranks all that can be used once; elsewhere the better of both comes first
-    served = targets.join(shared, group, "left")
-    direct = served.filter("s is not null and s._place <= 1").select("node_id", F.col("s.node_id").alias("source_id"))
-    rest = served.filter("s is null or s._place > 1")
-    ranked_t = spread_rank(rest.select(*group, "node_id", "ord", "s"), group, ["ord", "node_id"])
-    once = sources.filter("_once").select(*group, F.col("_place").alias("p"), (F.col("got_status") == "Corrupt").alias("c"), F.col("ord").alias("o"), F.col("node_id").alias("source_id")).join(rest.select(*group).distinct(), group, "left_semi")
-    before = once.join(shared.select(*group, "s"), group, "left").filter(F.col("s").isNull() | (F.struct("p", "c") < F.struct(F.col("s._place"), F.col("s.corrupt"))))
-    ranked_s = spread_rank(before.select(*group, "p", "c", "o", "source_id"), group, ["p", "c", "o", "source_id"]).select(*group, "rank", "source_id")
-    dealt = ranked_t.join(ranked_s, [*group, "rank"], "left").select("node_id", F.coalesce("source_id", "s.node_id").alias("source_id"))
-    uneven = rows.filter("clash").select(*group, "node_id", "ord", "_side", "_place", "_once", "got_status", "deep", *LANES)
-    replayed = uneven.groupBy(*group).applyInPandas(_replay, "node_id string, source_id string")
-    return direct.unionByName(dealt.filter("source_id is not null")).unionByName(replayed).select(F.col("node_id").alias("missing_id"), "source_id")
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Targets in order of visit; the first lane with an unspent compatible source decides."""
-    known = lambda v: v if isinstance(v, str) else None
-    sources = [r for r in pdf[pdf["_side"] == 1].sort_values(["ord", "node_id"]).itertuples(index=False)]
-    order = sorted(zip(pdf[pdf["_side"] == 1].sort_values(["ord", "node_id"])["_place"], [s.got_status == "Corrupt" for s in sources], range(len(sources)), strict=True))
-    spent, out = set(), []
-    once = pdf[pdf["_side"] == 1].sort_values(["ord", "node_id"])["_once"].tolist()
-    for t in pdf[pdf["_side"] == 0].sort_values(["ord", "node_id"]).itertuples(index=False):
-        for lane in LANES:
-            want = known(getattr(t, lane))
-            fit = [i for _, _, i in order if want and known(getattr(sources[i], lane)) == want and i not in spent and (not sources[i].deep or all(known(getattr(t, c)) is None or known(getattr(sources[i], c)) is None or getattr(t, c) == getattr(sources[i], c) for c in ("sha1", "md5")))]
-            if fit:
-                out.append((t.node_id, sources[fit[0]].node_id))
-                if once[fit[0]]:
-                    spent.add(fit[0])
-                break
-    return pd.DataFrame(out, columns=["node_id", "source_id"])
+    columns = ["node_id", "ord", "size", *LANES, "alt_size", *ALT, "header_type", "header_required", "from_header", "deep"]
+    targets = completed(missing).select(*columns, F.lit(0).alias("_side"), F.lit(False).alias("_once"))
+    sources = with_preference(completed(held)).select(*columns, F.lit(1).alias("_side"), "_once", "_pref")
+    rows = cut(targets.withColumn("_pref", F.lit(None).cast(dict(sources.dtypes)["_pref"])).unionByName(sources))
+    keys = rows.filter("_side = 0").select("node_id", "_side", F.explode(_lanes(True)).alias("e")).unionByName(rows.filter("_side = 1").select("node_id", "_side", F.explode(_lanes(False)).alias("e"))).select("node_id", "_side", "e.key")
+    both = keys.groupBy("key").agg(F.min("_side").alias("a"), F.max("_side").alias("b")).filter("a = 0 and b = 1").select("key")
+    live = cut(keys.join(both, "key").select("node_id", "key"))
+    sets = live.groupBy("node_id").agg(F.xxhash64(F.sort_array(F.collect_list("key"))).alias("_set"))
+    pure = live.join(sets, "node_id").groupBy("key").agg((F.min("_set") == F.max("_set")).alias("pure"))
+    kinds = cut(live.join(pure, "key").groupBy("node_id").agg(F.min("pure").alias("pure")).join(sets, "node_id"))
+    rows = cut(rows.join(kinds, "node_id"))
+    stated = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _STATED])
+    first = F.struct(*dict.fromkeys([*_STATED, "size", *LANES, *ALT]))
+    classes = rows.filter("pure and _side = 0").groupBy("_set").agg((F.min(stated) == F.max(stated)).alias("even"), F.first(first).alias("m"))
+    even = rows.filter("pure").join(classes.filter("even"), "_set")
+    fit = even.filter("_side = 1").alias("g").withColumn("_fits", compatible("m", "g")).filter("_fits")
+    wanted = even.filter("_side = 0")
+    best = fit.filter("not _once").groupBy("_set").agg(F.min("_pref").alias("s"))
+    served = wanted.join(best, "_set", "left")
+    # what serves many and lies in its place outranks all that serve once
+    direct = served.filter("s is not null and s.place <= 1").select("node_id", F.col("s.node_id").alias("source_id"))
+    rest = served.filter("s is null or s.place > 1")
+    ranked_t = spread_rank(rest.select("_set", "node_id", "ord", F.col("s.node_id").alias("many")), ["_set"], ["ord", "node_id"])
+    once = fit.filter("_once").select("_set", "_pref").join(rest.select("_set").distinct(), "_set", "left_semi").join(best, "_set", "left").filter("s is null or _pref < s")
+    ranked_s = spread_rank(once.select("_set", "_pref"), ["_set"], ["_pref"]).select("_set", "rank", F.col("_pref.node_id").alias("source_id"))
+    dealt = ranked_t.join(ranked_s, ["_set", "rank"], "left").select("node_id", F.coalesce("source_id", "many").alias("source_id")).filter("source_id is not null")
+    out = direct.unionByName(dealt)
+    uneven = rows.join(classes.filter("even").select("_set"), "_set", "left_anti")
+    uneven = cut(uneven)
+    if not uneven.isEmpty():
+        part = components(live.join(uneven.select("node_id"), "node_id", "left_semi"), "node_id", "key")
+        fields = ["component", "_side", "ord", "node_id", "_once", "deep", "from_header", "size", "alt_size", *LANES, *ALT, "header_type", "header_required", "rank"]
+        flat = uneven.join(part, "node_id").withColumn("rank", F.format_string("%d%d%d%d", F.col("_pref.place"), F.col("_pref.shared").cast("int"), F.col("_pref.corrupt").cast("int"), F.col("_pref.many").cast("int")))
+        out = out.unionByName(by_group(flat.select(*fields), ["component"], ["_side", "ord", "node_id"], _replay(fields), "node_id string, source_id string"))
+    return out.select(F.col("node_id").alias("missing_id"), "source_id")
+
+
+def _replay(fields: list[str]):
+    """One component: targets in order of visit; the first lane with a compatible source that isn't spent decides."""
+
+    def fits(t: dict, g: dict) -> bool:
+        if t["size"] == 0 and all(t[h] is None for h in [*LANES, *ALT]):
+            return g["size"] == 0
+        if t["header_type"] and g["header_type"] and t["header_type"] != g["header_type"] or t["header_required"] and not (g["header_type"] and g["from_header"]):
+            return False
+        stated = [(t[x], g[h], g[f"alt_{h}"]) for h in ("sha1", "md5") for x in (h, f"alt_{h}")]
+        return not g["deep"] or all(a is None or b is None or a in (b, c) for a, b, c in stated)
+
+    def replay(group: list[tuple]) -> list[tuple]:
+        rows = [dict(zip(fields, r, strict=True)) for r in group]
+        held: dict[tuple, list[dict]] = {}
+        for g in sorted((r for r in rows if r["_side"] == 1), key=lambda r: (r["rank"], r["ord"], r["node_id"])):
+            size = g["size"] or 0
+            alt_size = size if g["alt_size"] is None else g["alt_size"]
+            for h in LANES:
+                for k in {(h, size, g[h]), (h, alt_size, g[f"alt_{h}"])}:
+                    if k[2] and len(k[2]) == WIDTH[h]:
+                        held.setdefault(k, []).append(g)
+        spent, out = set(), []
+        for t in (r for r in rows if r["_side"] == 0):
+            size = t["size"] or 0
+            alt_size = size if t["alt_size"] is None else t["alt_size"]
+            for h in LANES:
+                found = [g for k in {(h, size, t[h]), (h, alt_size, t[h]), (h, alt_size, t[f"alt_{h}"])} for g in held.get(k, ()) if g["node_id"] not in spent and fits(t, g)]
+                if found:
+                    g = min(found, key=lambda r: (r["rank"], r["ord"], r["node_id"]))
+                    out.append((t["node_id"], g["node_id"]))
+                    if g["_once"]:
+                        spent.add(g["node_id"])
+                    break
+        return out
+
+    return replay
 
 
 def shared_identity(held: DataFrame, path: str = "physical", status: str = "plan_status") -> DataFrame:
@@ -126,66 +189,85 @@ def shared_identity(held: DataFrame, path: str = "physical", status: str = "plan
 
 
 def redundant(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Rows of which another held row has equal content: a semi-join on identity keys, residual on the remaining hashes."""
-    a = hash_index(rows).alias("a")
-    b = hash_index(others).select("node_id", "lane", "key_size", "hash", *LANES).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("lane", "key_size", "hash")]
+    """Rows of which another has equal content: a semi-join on identity keys, with and without header. Both being empty, or one not read from content, the key is enough; else every further hash that both know agrees, whole or without header."""
+    columns = ["node_id", "name", "size", *LANES, *ALT, "deep"]
+    side = lambda df, stated: hash_index(completed(df), stated).withColumn("_empty", zero_length()).select(*columns, "_empty", "lane", "key")
+    a, b = side(rows, True).alias("a"), side(others, False).alias("b")
     agree = F.lit(True)
-    for c in LANES:
-        agree = agree & F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(True))
-    return a.join(b, [*on, F.col("a.node_id") != F.col("b.node_id"), agree], "left_semi").select("node_id").distinct()
+    for h in ("sha1", "md5"):
+        pair = [[F.col(f"{p}.{c}") for c in (h, f"alt_{h}")] for p in "ab"]
+        known = F.coalesce(*pair[0]).isNotNull() & F.coalesce(*pair[1]).isNotNull()
+        agree = agree & (~known | F.arrays_overlap(F.array_compact(F.array(*pair[0])), F.array_compact(F.array(*pair[1]))))
+    read = F.coalesce("a.deep", F.lit(False)) & F.coalesce("b.deep", F.lit(False))
+    same = (F.col("a._empty") & F.col("b._empty")) | ~read | agree
+    return a.join(b, [F.col("a.key") == F.col("b.key"), F.col("a.node_id") != F.col("b.node_id"), same], "left_semi").select("node_id").distinct()
 
 
-def rename_promotion(plan: DataFrame, sources: DataFrame) -> DataFrame:
-    """Used sources that lie in the archive of their own target are renamed there rather than copied."""
-    pairs = sources.join(plan.select(F.col("node_id").alias("missing_id"), F.col("archive").alias("to_archive")), "missing_id").join(plan.select(F.col("node_id").alias("source_id"), F.col("archive").alias("from_archive"), F.col("plan_status").alias("source_status")), "source_id")
-    return pairs.filter("source_status = 'NeededForFix' and to_archive = from_archive").select(F.col("source_id").alias("node_id")).distinct()
+def rename_promotion(plan: DataFrame, by_game: bool = True) -> DataFrame:
+    """Sources needed for a fix that lie where something they may stand for is to be fixed, in the same archive or, with ``by_game``, set: they are renamed there."""
+    n = completed(plan)
+    facts = ["header_type", "header_required", "size", *LANES, *ALT]
+    place = F.array_compact(F.array(F.when(F.col("file_type").isin("FileZip", "FileSevenZip"), F.concat(F.lit("a:"), "archive")), *([F.concat(F.lit("g:"), "game")] if by_game else [])))
+    m = n.filter(F.col("plan_status").isin("CanBeFixed", "CanBeFixedMIA")).select(F.explode(place).alias("at"), *facts).distinct().alias("m")
+    g = n.filter("plan_status = 'NeededForFix'").withColumn("at", F.explode(place)).alias("g")
+    return g.join(m, [F.col("g.at") == F.col("m.at"), compatible("m", "g")], "left_semi").select("node_id").distinct()
 
 
 def complete_only(plan: DataFrame, within: str = "game", status: str = "plan_status") -> DataFrame:
     """Sets that stay incomplete lose what they hold: Correct becomes IncompleteRemove, fixable Incomplete."""
     per = plan.groupBy(within).agg(F.max(F.col(status).isin("Missing", "MissingMIA").cast("int")).alias("_gap"))
-    gap = F.coalesce(F.col("_gap") == 1, F.lit(False))
-    changed = F.when(gap & F.col(status).isin("Correct", "CorrectMIA"), "IncompleteRemove").when(gap & F.col(status).isin("CanBeFixed", "CanBeFixedMIA", "CorruptCanBeFixed"), "Incomplete").otherwise(F.col(status))
+    gap = F.coalesce((F.col("_gap") == 1) & F.col(within).isNotNull(), F.lit(False))
+    changed = F.when(gap & F.col(status).isin("Correct", "CorrectMIA"), "IncompleteRemove").when(gap & F.col(status).isin("CanBeFixed", "CanBeFixedMIA"), "Incomplete").otherwise(F.col(status))
     return plan.join(per, within, "left").withColumn(status, changed).drop("_gap")
 
 
-def plan_fixes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with plan_status, assignments): targets that can be made, sources needed, redundant files to delete, strays to move."""
+def plan_fixes(nodes: DataFrame, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes with plan_status, assignments): targets that can be made, sources needed or to be renamed, redundant files to delete, strays to move.
+
+    ``again`` plans as the second run does: strays aren't held against the catalog, and only a common archive makes a rename.
+    """
+    nodes = completed(nodes)
+    nodes = nodes if "file_type" in nodes.columns else nodes.withColumn("file_type", F.lit("File"))
     held, missing = partitions(nodes)
     wanted = missing.filter(~F.col("dat_status").isin("InDatMerged", "InDatNoDump"))
     pairs = cut(assign_sources(wanted, held))
     base = base_status(F.col("dat_status"), F.col("got_status"), F.lit("File"))
     source_state = nodes.select(F.col("node_id").alias("source_id"), (F.col("got_status") == "Corrupt").alias("from_corrupt"))
     made = pairs.join(source_state, "source_id").groupBy(F.col("missing_id").alias("node_id")).agg(F.min("from_corrupt").alias("_corrupt"), F.lit(True).alias("_made"))
+    made = cut(made)
     used = pairs.select(F.col("source_id").alias("node_id")).distinct().withColumn("_used", F.lit(True))
+    whole = nodes.filter("got_status = 'Got'")
     good = held.filter("got_status = 'Got'")
-    strays = redundant(good.filter("dat_status = 'NotInDat'"), good.filter("dat_status = 'InDatCollect'"))
-    sorts = redundant(good.filter("dat_status = 'InToSort'"), good.filter(F.col("dat_status").isin(IN_CATALOG)))
-    twice = strays.unionByName(sorts).distinct().withColumn("_twice", F.lit(True))
-    rows = nodes.withColumn("base_status", base).join(made, "node_id", "left").join(used, "node_id", "left").join(twice, "node_id", "left")
+    sorts = good.filter("dat_status = 'InToSort'")
+    pending = wanted.join(made.filter("not _corrupt"), "node_id", "left_semi")
+    twice = redundant(sorts, whole.filter(F.col("dat_status").isin(IN_CATALOG)).unionByName(pending))
+    if not again:
+        twice = twice.unionByName(redundant(good.filter("dat_status = 'NotInDat'"), whole.filter("dat_status = 'InDatCollect'")))
+    twice = twice.distinct().withColumn("_twice", F.lit(True))
+    backs = with_preference(held).select("node_id", F.col("_pref.shared").alias("_backed"))
+    rows = nodes.withColumn("base_status", base).join(made, "node_id", "left").join(used, "node_id", "left").join(twice, "node_id", "left").join(backs, "node_id", "left")
     d, g = F.col("dat_status"), F.col("got_status")
     is_missing = (g == "NotGot") & F.col("selected") & d.isin(IN_CATALOG)
     is_held = g.isin("Got", "Corrupt") & (F.col("selected") | (d == "InToSort"))
-    target = F.when(d.isin("InDatMerged", "InDatNoDump"), "NotCollected").when(F.col("_made"), F.when(F.col("_corrupt"), "CorruptCanBeFixed").when(d == "InDatMIA", "CanBeFixedMIA").otherwise("CanBeFixed")).when(d == "InDatMIA", "MissingMIA").otherwise("Missing")
-    corrupt = F.when(d == "InDatCollect", "MoveToCorrupt").when(d.isin("InDatMerged", "InDatNoDump"), "UnNeeded").otherwise("Delete")
+    merged = d.isin("InDatMerged", "InDatNoDump")
+    clean = F.when(F.col("_backed"), "NotCollected").otherwise("UnNeeded")
+    target = F.when(merged, "NotCollected").when(F.col("_made"), F.when(F.col("_corrupt"), "CorruptCanBeFixed").when(d == "InDatMIA", "CanBeFixedMIA").otherwise("CanBeFixed")).when(d == "InDatMIA", "MissingMIA").otherwise("Missing")
+    corrupt = F.when(d == "InDatCollect", "MoveToCorrupt").when(merged, clean).otherwise("Delete")
     needed = F.col("_used") & (g != "Corrupt") & ~d.isin("InDatCollect", "InDatMIA")
-    whole = F.when(d == "InDatCollect", "Correct").when(d == "InDatMIA", "CorrectMIA").when(d.isin("InDatMerged", "InDatNoDump"), "UnNeeded").when(F.col("_twice"), "Delete").when(d == "InToSort", "InToSort").otherwise("MoveToSort")
-    status = F.when(is_missing, target).when(is_held & needed, "NeededForFix").when(is_held & (g == "Corrupt"), corrupt).when(is_held, whole).otherwise(F.col("base_status"))
-    return rows.withColumn("plan_status", status).drop("_made", "_corrupt", "_used", "_twice"), pairs
+    sound = F.when(d == "InDatCollect", "Correct").when(d == "InDatMIA", "CorrectMIA").when(merged, clean).when(F.col("_twice"), "Delete").when(d == "InToSort", "InToSort").otherwise("MoveToSort")
+    status = F.when(is_missing, target).when(is_held & needed, "NeededForFix").when(is_held & (g == "Corrupt"), corrupt).when(is_held, sound).otherwise(F.col("base_status"))
+    plan = cut(rows.withColumn("plan_status", status).drop("_made", "_corrupt", "_used", "_twice", "_backed"))
+    renamed = rename_promotion(plan, by_game=not again).withColumn("_rename", F.lit(True))
+    return plan.join(renamed, "node_id", "left").withColumn("plan_status", F.when(F.col("_rename"), "Rename").otherwise(F.col("plan_status"))).drop("_rename"), pairs
 
 
 def second_pass(plan: DataFrame) -> DataFrame:
-    """The planner's second run over its own result after complete-only: held rows of the catalog become Correct again, missing rows are matched anew, and rows already to be deleted, unneeded or moved are left alone.
-
-    Sources that still lie in the archive of their target become Rename.
-    """
+    """The planner's second run over its own result after complete-only: missing rows are matched anew and held rows settled again, those already needed, renamed or to be moved aside as corrupt or deleted excepted."""
     carried = plan.drop("base_status").withColumnRenamed("plan_status", "_first")
-    again, pairs = plan_fixes(carried)
-    keep = F.col("_first").isin("Delete", "UnNeeded", "MoveToSort", "MoveToCorrupt", "NotCollected")
-    settled = again.withColumn("plan_status", F.when(keep, F.col("_first")).otherwise(F.col("plan_status"))).drop("_first")
-    moved = rename_promotion(settled, pairs).withColumn("_rename", F.lit(True))
-    return settled.join(moved, "node_id", "left").withColumn("plan_status", F.when(F.col("_rename"), "Rename").otherwise(F.col("plan_status"))).drop("_rename")
+    again, _ = plan_fixes(carried, again=True)
+    held = F.col("got_status").isin("Got", "Corrupt") & (F.col("selected") | (F.col("dat_status") == "InToSort"))
+    keep = held & F.col("_first").isin("NeededForFix", "Rename", "Delete", "MoveToCorrupt", "Correct")
+    return again.withColumn("plan_status", F.when(keep & (F.col("plan_status") != "Rename"), F.col("_first")).otherwise(F.col("plan_status"))).drop("_first")
 
 
 def two_pass_plan(nodes: DataFrame) -> DataFrame:
@@ -231,5 +313,4 @@ def found_mia(nodes: DataFrame) -> DataFrame:
 
 def source_rank(sources: DataFrame, by: list[str]) -> DataFrame:
     """Candidates of each key in order of preference."""
-    w = Window.partitionBy(*by).orderBy(location(), F.col("got_status") == "Corrupt", consumable(), "ord", "node_id")
-    return sources.withColumn("preference", F.row_number().over(w))
+    return spread_rank(with_preference(completed(sources)), by, ["_pref"], "preference").drop("_pref", "_once")

@@ -154,23 +154,44 @@ def snapshot_carry_over(spark, d):
 
 
 # --- planning ---
-ASSIGNED = f"""{fx.NODES}, held AS (SELECT *, CASE dat_status WHEN 'InDatCollect' THEN 0 WHEN 'InDatMIA' THEN 1 WHEN 'InDatMerged' THEN 2 WHEN 'InDatNoDump' THEN 2 WHEN 'InToSort' THEN 3 ELSE 4 END AS p, CAST(got_status = 'Corrupt' AS INT) AS c, NOT locked AND dat_status NOT IN ('InDatCollect', 'InDatMIA') AS once FROM nodes WHERE got_status IN ('Got', 'Corrupt')),
- wanted AS (SELECT * FROM nodes WHERE got_status = 'NotGot' AND dat_status IN ('InDatCollect', 'InDatMIA')),
- shared AS (SELECT size, crc, min(struct_pack(p := p, c := c, o := ord, id := node_id)) AS s FROM held WHERE NOT once GROUP BY size, crc),
- served AS (SELECT w.node_id, w.ord, w.size, w.crc, s FROM wanted w LEFT JOIN shared USING (size, crc)),
- rest AS (SELECT *, row_number() OVER (PARTITION BY size, crc ORDER BY ord) AS k FROM served WHERE s IS NULL OR s.p > 1),
- singles AS (SELECT h.size, h.crc, h.node_id, row_number() OVER (PARTITION BY h.size, h.crc ORDER BY p, c, ord) AS k FROM held h LEFT JOIN shared USING (size, crc) WHERE once AND (s IS NULL OR p < s.p OR (p = s.p AND c < s.c))),
- assigned AS (SELECT node_id AS missing_id, s.id AS source_id FROM served WHERE s.p <= 1 UNION ALL SELECT r.node_id, coalesce(x.node_id, r.s.id) FROM rest r LEFT JOIN singles x ON r.size = x.size AND r.crc = x.crc AND r.k = x.k WHERE coalesce(x.node_id, r.s.id) IS NOT NULL)"""
-TWICE = f"""good AS (SELECT * FROM nodes WHERE got_status = 'Got'),
- twice AS (SELECT node_id FROM good a WHERE dat_status = 'NotInDat' AND EXISTS (SELECT 1 FROM good b WHERE b.dat_status = 'InDatCollect' AND b.md5 = a.md5) UNION SELECT node_id FROM good a WHERE dat_status = 'InToSort' AND EXISTS (SELECT 1 FROM good b WHERE b.dat_status IN ('InDatCollect', 'InDatMerged', 'InDatNoDump', 'InDatMIA') AND b.md5 = a.md5))"""
-PLANNED = f"""{ASSIGNED}, {TWICE}, matrix(d, f, g, s) AS (VALUES {_MATRIX}), made AS (SELECT missing_id, min(CAST(h.got_status = 'Corrupt' AS INT)) AS bad FROM assigned JOIN nodes h ON h.node_id = source_id GROUP BY missing_id), used AS (SELECT DISTINCT source_id FROM assigned),
- planned AS (SELECT n.*, CASE WHEN got_status = 'NotGot' AND dat_status IN ('InDatMerged', 'InDatNoDump') THEN 'NotCollected'
-  WHEN got_status = 'NotGot' THEN CASE WHEN bad = 1 THEN 'CorruptCanBeFixed' WHEN bad = 0 AND dat_status = 'InDatMIA' THEN 'CanBeFixedMIA' WHEN bad = 0 THEN 'CanBeFixed' WHEN dat_status = 'InDatMIA' THEN 'MissingMIA' ELSE 'Missing' END
-  WHEN got_status = 'Got' AND source_id IS NOT NULL AND dat_status NOT IN ('InDatCollect', 'InDatMIA') THEN 'NeededForFix'
-  WHEN got_status = 'Corrupt' THEN CASE WHEN dat_status = 'InDatCollect' THEN 'MoveToCorrupt' WHEN dat_status IN ('InDatMerged', 'InDatNoDump') THEN 'UnNeeded' ELSE 'Delete' END
-  WHEN got_status = 'Got' THEN CASE WHEN dat_status = 'InDatCollect' THEN 'Correct' WHEN dat_status = 'InDatMIA' THEN 'CorrectMIA' WHEN dat_status IN ('InDatMerged', 'InDatNoDump') THEN 'UnNeeded' WHEN t.node_id IS NOT NULL THEN 'Delete' WHEN dat_status = 'InToSort' THEN 'InToSort' ELSE 'MoveToSort' END
-  ELSE coalesce(s, 'UnScanned') END AS plan_status
-  FROM nodes n LEFT JOIN made ON missing_id = n.node_id LEFT JOIN used ON source_id = n.node_id LEFT JOIN twice t ON t.node_id = n.node_id LEFT JOIN matrix ON d = dat_status AND f = 'leaf' AND g = got_status)"""
+_HELD = "got_status IN ('Got', 'Corrupt') AND (selected OR dat_status = 'InToSort')"
+_LISTED = "('InDatCollect', 'InDatMerged', 'InDatNoDump', 'InDatMIA')"
+
+
+def _keys(columns: list[tuple[str, str]]) -> str:
+    """Rows (node_id, lane, key) of nodes, one for each (size, hash)."""
+    return " UNION ".join(f"SELECT node_id, {i} AS lane, '{h}:' || coalesce({n}, 0) || ':' || {p}{h} AS key FROM nodes WHERE {p}{h} IS NOT NULL" for i, h in enumerate(("crc", "sha1", "md5")) for n, p in columns)
+
+
+_AGREE = " AND ".join(f"(w.{p}{h} IS NULL OR h.{h} IS NULL OR w.{p}{h} = h.{h} OR w.{p}{h} IS NOT DISTINCT FROM h.alt_{h})" for h in ("sha1", "md5") for p in ("", "alt_"))
+_FITS = f"(w.header_type IS NULL OR h.header_type IS NULL OR w.header_type = h.header_type) AND (NOT w.header_required OR (h.header_type IS NOT NULL AND h.from_header)) AND (NOT h.deep OR ({_AGREE}))"
+#: Targets one after the other; each takes the best source of the first lane that has one left.
+ASSIGNED = f"""RECURSIVE {fx.NODES}, asks AS ({_keys([("size", ""), ("coalesce(alt_size, size)", ""), ("coalesce(alt_size, size)", "alt_")])}), has AS ({_keys([("size", ""), ("coalesce(alt_size, size)", "alt_")])}),
+ backing AS (SELECT physical, count(*) AS k FROM nodes WHERE {_HELD} AND got_status = 'Got' AND dat_status IN ('InDatCollect', 'InDatMIA') GROUP BY physical),
+ held AS (SELECT n.*, CASE dat_status WHEN 'InDatCollect' THEN 0 WHEN 'InDatMIA' THEN 1 WHEN 'InDatMerged' THEN 2 WHEN 'InDatNoDump' THEN 2 WHEN 'InToSort' THEN 3 ELSE 4 END AS p, coalesce(k, 0) > CAST(got_status = 'Got' AND dat_status IN ('InDatCollect', 'InDatMIA') AS INT) AS backed, NOT locked AND dat_status NOT IN ('InDatCollect', 'InDatMIA') AS once FROM nodes n LEFT JOIN backing USING (physical) WHERE {_HELD}),
+ wanted AS (SELECT * FROM nodes WHERE got_status = 'NotGot' AND selected AND dat_status IN ('InDatCollect', 'InDatMIA')),
+ pairs AS (SELECT DISTINCT w.node_id AS target, w.ord, lane, h.node_id AS source, once, struct_pack(lane := lane, p := p, b := backed, c := got_status = 'Corrupt', m := NOT once, o := hord, id := h.node_id) AS pref FROM (SELECT node_id, ord FROM wanted) w JOIN asks a ON a.node_id = w.node_id JOIN has k USING (lane, key) JOIN (SELECT *, ord AS hord FROM held) h ON h.node_id = k.node_id),
+ fitting AS (SELECT pairs.* FROM pairs JOIN wanted w ON w.node_id = target JOIN held h ON h.node_id = source WHERE {_FITS}),
+ queue AS (SELECT target, row_number() OVER (ORDER BY ord, target) AS i FROM (SELECT DISTINCT target, ord FROM fitting)),
+ step AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS spent, NULL::VARCHAR AS missing_id, NULL::VARCHAR AS source_id UNION ALL
+  SELECT q.i, CASE WHEN arg_min(f.once, f.pref) THEN list_append(s.spent, arg_min(f.source, f.pref)) ELSE s.spent END, q.target, arg_min(f.source, f.pref) FROM step s JOIN queue q ON q.i = s.i + 1 LEFT JOIN fitting f ON f.target = q.target AND NOT list_contains(s.spent, f.source) GROUP BY q.i, q.target, s.spent),
+ assigned AS (SELECT missing_id, source_id FROM step WHERE source_id IS NOT NULL)"""
+_EMPTY = "(coalesce({0}.size, 0) = 0 AND ({0}.crc IS NULL OR {0}.crc = '00000000') AND ({0}.sha1 IS NULL OR {0}.sha1 = 'da39a3ee5e6b4b0d3255bfef95601890afd80709') AND ({0}.md5 IS NULL OR {0}.md5 = 'd41d8cd98f00b204e9800998ecf8427e'))"
+_ALIKE = " AND ".join(f"(coalesce(a.{h}, a.alt_{h}) IS NULL OR coalesce(b.{h}, b.alt_{h}) IS NULL OR list_has_any([a.{h}, a.alt_{h}], list_filter([b.{h}, b.alt_{h}], lambda x: x IS NOT NULL)))" for h in ("sha1", "md5"))
+_SAME = f"(({_EMPTY.format('a')} AND {_EMPTY.format('b')}) OR NOT (a.deep AND b.deep) OR ({_ALIKE}))"
+_EQUAL = f"FROM {{0}} a JOIN asks ON asks.node_id = a.node_id JOIN has USING (lane, key) JOIN {{1}} b ON b.node_id = has.node_id AND b.node_id <> a.node_id AND {_SAME}"
+PLANNED = f"""{ASSIGNED}, matrix(d, f, g, s) AS (VALUES {_MATRIX}), made AS (SELECT missing_id, min(CAST(h.got_status = 'Corrupt' AS INT)) AS bad FROM assigned JOIN nodes h ON h.node_id = source_id GROUP BY missing_id), used AS (SELECT DISTINCT source_id FROM assigned),
+ twice AS (SELECT DISTINCT a.node_id {_EQUAL.format('held', 'nodes')} WHERE a.got_status = 'Got' AND ((a.dat_status = 'NotInDat' AND b.dat_status = 'InDatCollect' AND b.got_status = 'Got') OR (a.dat_status = 'InToSort' AND ((b.dat_status IN {_LISTED} AND b.got_status = 'Got') OR b.node_id IN (SELECT missing_id FROM made WHERE bad = 0))))),
+ settled AS (SELECT n.*, coalesce(h.backed, FALSE) AS backed, CASE WHEN n.got_status = 'NotGot' AND n.selected AND n.dat_status IN ('InDatMerged', 'InDatNoDump') THEN 'NotCollected'
+  WHEN n.got_status = 'NotGot' AND n.selected AND n.dat_status IN {_LISTED} THEN CASE WHEN bad = 1 THEN 'CorruptCanBeFixed' WHEN bad = 0 AND n.dat_status = 'InDatMIA' THEN 'CanBeFixedMIA' WHEN bad = 0 THEN 'CanBeFixed' WHEN n.dat_status = 'InDatMIA' THEN 'MissingMIA' ELSE 'Missing' END
+  WHEN h.node_id IS NULL THEN coalesce(s, 'UnScanned')
+  WHEN n.got_status = 'Got' AND source_id IS NOT NULL AND n.dat_status NOT IN ('InDatCollect', 'InDatMIA') THEN 'NeededForFix'
+  WHEN n.dat_status IN ('InDatMerged', 'InDatNoDump') THEN CASE WHEN h.backed THEN 'NotCollected' ELSE 'UnNeeded' END
+  WHEN n.got_status = 'Corrupt' THEN CASE WHEN n.dat_status = 'InDatCollect' THEN 'MoveToCorrupt' ELSE 'Delete' END
+  WHEN n.dat_status = 'InDatCollect' THEN 'Correct' WHEN n.dat_status = 'InDatMIA' THEN 'CorrectMIA' WHEN t.node_id IS NOT NULL THEN 'Delete' WHEN n.dat_status = 'InToSort' THEN 'InToSort' ELSE 'MoveToSort' END AS first_status
+  FROM nodes n LEFT JOIN held h ON h.node_id = n.node_id LEFT JOIN made ON missing_id = n.node_id LEFT JOIN used ON source_id = n.node_id LEFT JOIN twice t ON t.node_id = n.node_id LEFT JOIN matrix ON d = n.dat_status AND f = 'leaf' AND g = n.got_status),
+ moved AS (SELECT h.node_id FROM settled h WHERE first_status = 'NeededForFix' AND EXISTS (SELECT 1 FROM settled w WHERE w.first_status IN ('CanBeFixed', 'CanBeFixedMIA') AND (w.game = h.game OR (w.archive = h.archive AND w.file_type = 'FileZip' AND h.file_type = 'FileZip')) AND {_FITS})),
+ planned AS (SELECT *, CASE WHEN node_id IN (SELECT node_id FROM moved) THEN 'Rename' ELSE first_status END AS plan_status FROM settled)"""
 
 
 def planned(spark, d):
@@ -194,13 +215,13 @@ def plan_actions(spark, d):
     return fixes.plan_actions(*planned(spark, d))
 
 
-@query(f"WITH {fx.NODES}, good AS (SELECT * FROM nodes WHERE got_status = 'Got') SELECT node_id FROM good a WHERE dat_status = 'NotInDat' AND EXISTS (SELECT 1 FROM good b WHERE b.dat_status = 'InDatCollect' AND b.md5 = a.md5)")
+@query(f"WITH {ASSIGNED} SELECT DISTINCT a.node_id {_EQUAL.format('nodes', 'nodes')} WHERE a.got_status = 'Got' AND b.got_status = 'Got' AND a.dat_status = 'NotInDat' AND b.dat_status = 'InDatCollect'")
 def redundancy_notindat(spark, d):
     good = fx.nodes(spark, d).filter("got_status = 'Got'")
     return fixes.redundant(good.filter("dat_status = 'NotInDat'"), good.filter("dat_status = 'InDatCollect'"))
 
 
-@query(f"WITH {fx.NODES}, good AS (SELECT * FROM nodes WHERE got_status = 'Got') SELECT node_id FROM good a WHERE dat_status = 'InToSort' AND EXISTS (SELECT 1 FROM good b WHERE b.dat_status IN ('InDatCollect', 'InDatMerged', 'InDatNoDump', 'InDatMIA') AND b.md5 = a.md5)")
+@query(f"WITH {ASSIGNED} SELECT DISTINCT a.node_id {_EQUAL.format('nodes', 'nodes')} WHERE a.got_status = 'Got' AND b.got_status = 'Got' AND a.dat_status = 'InToSort' AND b.dat_status IN {_LISTED}")
 def redundancy_tosort(spark, d):
     good = fx.nodes(spark, d).filter("got_status = 'Got'")
     return fixes.redundant(good.filter("dat_status = 'InToSort'"), good.filter("dat_status like 'InDat%'"))
@@ -216,17 +237,18 @@ def retained_paths(spark, d):
     return fixes.retained_paths(planned(spark, d)[0])
 
 
-@query(f"WITH {PLANNED} SELECT DISTINCT s.node_id FROM assigned JOIN planned m ON m.node_id = missing_id JOIN planned s ON s.node_id = source_id WHERE s.plan_status = 'NeededForFix' AND s.archive = m.archive")
+@query(f"WITH {PLANNED} SELECT node_id FROM moved")
 def rename_promotion(spark, d):
-    return fixes.rename_promotion(*planned(spark, d))
+    plan = planned(spark, d)[0]
+    return fixes.rename_promotion(plan.withColumn("plan_status", F.when(F.col("plan_status") == "Rename", "NeededForFix").otherwise(F.col("plan_status"))))
 
 
-@query(f"WITH {PLANNED}, gap AS (SELECT game, max(CAST(plan_status IN ('Missing', 'MissingMIA') AS INT)) AS x FROM planned GROUP BY game) SELECT node_id, CASE WHEN x = 1 AND plan_status IN ('Correct', 'CorrectMIA') THEN 'IncompleteRemove' WHEN x = 1 AND plan_status IN ('CanBeFixed', 'CanBeFixedMIA', 'CorruptCanBeFixed') THEN 'Incomplete' ELSE plan_status END AS plan_status FROM planned LEFT JOIN gap USING (game)")
+@query(f"WITH {PLANNED}, gap AS (SELECT game, max(CAST(plan_status IN ('Missing', 'MissingMIA') AS INT)) AS x FROM planned GROUP BY game) SELECT node_id, CASE WHEN x = 1 AND plan_status IN ('Correct', 'CorrectMIA') THEN 'IncompleteRemove' WHEN x = 1 AND plan_status IN ('CanBeFixed', 'CanBeFixedMIA') THEN 'Incomplete' ELSE plan_status END AS plan_status FROM planned LEFT JOIN gap USING (game)")
 def complete_only(spark, d):
     return fixes.complete_only(planned(spark, d)[0]).select("node_id", "plan_status")
 
 
-@query(f"WITH {PLANNED} SELECT node_id FROM planned a WHERE plan_status = 'Delete' AND EXISTS (SELECT 1 FROM planned b WHERE b.node_id <> a.node_id AND b.got_status = 'Got' AND b.plan_status NOT IN ('Delete', 'Deleted') AND b.md5 = a.md5)")
+@query(f"WITH {PLANNED} SELECT DISTINCT a.node_id {_EQUAL.format('planned', 'planned')} WHERE a.plan_status = 'Delete' AND b.got_status = 'Got' AND b.plan_status NOT IN ('Delete', 'Deleted')")
 def delete_check(spark, d):
     plan = planned(spark, d)[0]
     return fixes.delete_checked(plan.filter("plan_status = 'Delete'"), plan)
@@ -237,7 +259,7 @@ def mia_found(spark, d):
     return fixes.found_mia(fx.nodes(spark, d))
 
 
-@query(f"WITH {ASSIGNED} SELECT node_id, row_number() OVER (PARTITION BY size, crc ORDER BY p, c, once, ord) AS preference FROM held")
+@query(f"WITH {ASSIGNED} SELECT node_id, row_number() OVER (PARTITION BY size, crc ORDER BY p, backed, got_status = 'Corrupt', NOT once, ord) AS preference FROM held")
 def source_priority(spark, d):
     held, _ = fixes.partitions(fx.nodes(spark, d))
     return fixes.source_rank(held, ["size", "crc"]).select("node_id", F.col("preference").cast("bigint").alias("preference"))
@@ -298,7 +320,10 @@ def rom_grid_sorted(spark, d):
     return n.select("node_id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query(f"WITH {fx.NODES} SELECT a.node_id AS needle_id, b.node_id FROM nodes a JOIN nodes b ON a.crc = b.crc AND a.sha1 = b.sha1 AND a.md5 = b.md5 AND a.size = b.size WHERE a.got_status = 'NotGot'")
+_HAS = " AND ".join(f"(a.{p}{h} IS NULL OR a.{p}{h} = c.{h} OR coalesce(a.{p}{h} = c.alt_{h}, FALSE))" for h in ("crc", "sha1", "md5") for p in ("", "alt_"))
+
+
+@query(f"WITH {fx.NODES}, c AS (SELECT min(node_id) AS class_id, count(*) AS occurrences, size, crc, sha1, md5, alt_crc, alt_sha1, alt_md5 FROM nodes GROUP BY ALL) SELECT a.node_id AS needle_id, class_id, occurrences FROM nodes a JOIN c ON c.size = a.size AND {_HAS} WHERE a.got_status = 'NotGot' AND coalesce(a.crc, a.sha1, a.md5) IS NOT NULL")
 def occurrences(spark, d):
     n = fx.nodes(spark, d)
     return report.occurrences(n.filter("got_status = 'NotGot'"), n)

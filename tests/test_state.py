@@ -35,8 +35,8 @@ def test_settings_and_presets(spark):
 
 
 def test_second_pass_undoes_complete_only_and_renames(spark):
-    rows = [node(1, 5, "InDatCollect", "Got", game="g"), node(2, 6, "InDatCollect", "NotGot", game="g"), node(3, 7, "InDatCollect", "NotGot", game="h", archive="x"), node(4, 7, "InToSort", "Got", archive="x")]
+    rows = [node(1, 5, "InDatCollect", "Got", game="g"), node(2, 6, "InDatCollect", "NotGot", game="g"), node(3, 7, "InDatCollect", "NotGot", game="h", archive="x", file_type="FileZip"), node(4, 7, "InToSort", "Got", archive="x", file_type="FileZip")]
     first = {r.node_id: r.plan_status for r in fixes.complete_only(fixes.plan_fixes(frame(spark, rows))[0]).collect()}
-    assert first == {"n0001": "IncompleteRemove", "n0002": "Missing", "n0003": "CanBeFixed", "n0004": "NeededForFix"}
+    assert first == {"n0001": "IncompleteRemove", "n0002": "Missing", "n0003": "CanBeFixed", "n0004": "Rename"}
     both = {r.node_id: r.plan_status for r in fixes.two_pass_plan(frame(spark, rows)).collect()}
     assert both == {"n0001": "Correct", "n0002": "Missing", "n0003": "CanBeFixed", "n0004": "Rename"}
