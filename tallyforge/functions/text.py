@@ -38,9 +38,10 @@ def clean_chd(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"(?i)\.chd$", "")
 
 
-def clean_file_name(c: Column) -> Column:
-    """Characters that file systems refuse become ``-``."""
-    return F.regexp_replace(c, r'[\x00-\x1f<>:"|?*\\/]', "-")
+def clean_file_name(c: Column, replacement: str = "-") -> Column:
+    """Blanks before the name, and dots and blanks after it, go; characters that file systems refuse become ``replacement``."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"[. ]+$", "")
+    return F.regexp_replace(bare, r'[\x00-\x1f<>:"|?*\\/]', F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
 
 
 def base_name(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import dir_key
@@ -36,14 +36,25 @@ def glob_pattern(pattern: str) -> str:
 
 
 def ignored(name: Column, patterns: list[str], scan: bool = True) -> Column:
-    """Whether a name fits an ignore pattern: ``regex:`` or wildcards in any case, else the whole name. Patterns marked ``ignore:`` hold at scan time, the others in the table."""
-    chosen = [p[7:] if p.lower().startswith("ignore:") else p for p in patterns if p.lower().startswith("ignore:") == scan]
-    exact = [p.lower() for p in chosen if not p.lower().startswith("regex:") and not set(p) & set("*?")]
-    shapes = [p[6:] if p.lower().startswith("regex:") else glob_pattern(p) for p in chosen if p.lower().startswith("regex:") or set(p) & set("*?")]
+    """Whether a name fits an ignore pattern: ``regex:`` or wildcards in any case, else the whole name. Patterns marked ``ignore:`` hold at scan time, the others in the table. Patterns are trimmed; blank ones and those that are no regular expression are passed over."""
+    given = [p.strip() for p in patterns]
+    chosen = [p[7:].strip() if p.lower().startswith("ignore:") else p for p in given if p.lower().startswith("ignore:") == scan]
+    exact = [p.lower() for p in chosen if p and not p.lower().startswith("regex:") and not set(p) & set("*?")]
+    shapes = [s for p in chosen if p and (p.lower().startswith("regex:") or set(p) & set("*?")) and _compiles(s := p[6:].strip() if p.lower().startswith("regex:") else glob_pattern(p))]
     out = F.lower(name).isin(exact) if exact else F.lit(False)
     return out | name.rlike("(?i)" + "|".join(f"(?:{s})" for s in shapes)) if shapes else out
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which will match it, takes a pattern."""
+    spark = SparkSession.getActiveSession()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern) if spark else re.compile(pattern)
+    except Exception:  # noqa: BLE001 - any refusal counts
+        return False
+    return True
+
+
 def header_type(file_name: Column) -> Column:
     """Header type of a rule file's name."""
     table = F.create_map(*[F.lit(x) for k, v in HEADER_FILES.items() for x in (k, v)])

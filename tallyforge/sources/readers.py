@@ -215,25 +215,37 @@ def read_dos(text: str) -> tuple[str, dict[str, str], Node]:
     return "dos", header, top
 
 
+# --- fixed values: sections, and the fields of each that become the header's ---
+ROMCENTER = {
+    "credits": {"author": "author", "email": "email", "homepage": "url", "url": "url", "version": "version", "date": "date", "comment": "comment"},
+    "dat": {"split": "split", "merge": "merge"},
+    "emulator": {"refname": "name", "version": "description", "category": "category"},
+}
+
+
 def read_romcenter(text: str) -> tuple[str, dict[str, str], Node]:
-    """Sections of an INI file; rows of games are parted by ``¬`` (or what an ill-decoded one becomes) and grouped by game name; parent is null if it is the game itself."""
+    """Sections of an INI file; rows of games, resources and disks are parted by ``¬`` (or what an ill-decoded one becomes) and grouped by game name; parent is null if it is the game itself. An unknown section is an error."""
     header, top, games, section = {}, Node("dir", ""), {}, ""
     for line in text.splitlines():
         s = line.strip()
-        if m := re.match(r"\[(.*)\]$", s):
-            section = m[1].lower()
-        elif section == "games":
-            p = re.split("[¬�]", s)
+        if s.startswith("["):
+            section = s[1:].rstrip("]").lower()
+            if section not in ROMCENTER and section not in ("games", "resources", "disks"):
+                raise ValueError(f"unknown section [{section}]")
+        elif section in ROMCENTER:
+            k, sep, v = s.partition("=")
+            if sep and (name := ROMCENTER[section].get(k.strip().lower())):
+                header[name] = v.strip()
+        elif section:
+            p = re.split("[¬\ufffd]", s)
             if len(p) < 10:
                 continue
-            parent, game, description, rom, crc, size, rom_of, merge = p[1], p[3], p[4], p[5], p[6], p[7], p[8], p[9]
+            parent, game, description, rom, check, size, rom_of, merge = p[1], p[3], p[4], p[5], p[6], p[7], p[8], p[9]
             if game not in games:
-                fields = {"description": description} | ({"cloneof": parent} if parent and parent != game else {}) | ({"romof": rom_of} if rom_of and rom_of != game else {})
+                fields = {"description": description} | ({"cloneof": parent} if parent and parent != game else {}) | ({"romof": rom_of} if rom_of and rom_of != game and section != "disks" else {})
                 games[game] = top.add(Node("game", game, fields={k: v for k, v in fields.items() if v}))
-            games[game].add(file_node({"name": rom, "crc": crc, "size": size, "merge": merge or None}.get))
-        elif "=" in s:
-            k, v = s.split("=", 1)
-            header[k.strip().lower()] = v.strip()
+            disk = section == "disks"
+            games[game].add(file_node({"name": rom, "sha1" if disk else "crc": check, "size": size, "merge": merge or None}.get, disk))
     return "romcenter", header, top
 
 

@@ -2,7 +2,9 @@
 
 import gzip
 import io
+import json
 import struct
+import xml.etree.ElementTree as ET
 import zipfile
 from functools import cmp_to_key
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as tx
 from tallyforge.operators import archives, reconcile, rules, transforms
 from tallyforge.sources import inventory, readers, writers
+from tallyforge.sources.readers import rows_of
 
 XML = """<?xml version="1.0"?><!DOCTYPE datafile PUBLIC "x" "y" [<!ELEMENT a (b)>]>
 <datafile><header><name>Näme</name><version>1</version><clrmamepro header="nes.xml" forcepacking="zip"/></header>
@@ -57,15 +60,22 @@ def test_read_and_write_round_trip(spark, folder):
     nodes = readers.read_catalogs(spark, str(folder / "in"))
     assert nodes.filter("kind = 'error'").count() == 1 and nodes.filter("kind = 'file'").count() == 6
     assert {r[0] for r in nodes.filter("source like '%b.xml'").select("virtual_dir").distinct().collect()} == {"sub"}
-    for dialect in ("plain", "mame"):
-        lines = writers.xml_lines(nodes.filter("source like '%a.dat'"), dialect).orderBy("place").collect()
-        text = "\n".join(r.line for r in lines)
-        back = parsed(text if dialect == "plain" else text.replace("<mame", "<datafile").replace("</mame", "</datafile"))
-        assert [(r["kind"], r["name"], r["crc"], r["sha1"], r["path"]) for r in back] == [(r["kind"], r["name"], r["crc"], r["sha1"], r["path"]) for r in parsed(XML)]
-    assert 'status="good"' not in text and 'isbios="no"' not in text and "A &amp; B" in text
-    dos = "\n".join(r.line for r in writers.dos_lines(nodes.filter("source like '%c.dat'")).orderBy("place").collect())
-    assert '"G 1.zip"' in dos and "crc 000000AB" in dos
-    assert nodes.filter("kind = 'file'").count() == writers.json_lines(nodes).filter("line like '%\"kind\":\"file\"%'").count()
+    text = lambda lines: "\n".join(r.line for r in lines.orderBy("place").collect())
+    plain = text(writers.xml_lines(nodes.filter("source like '%a.dat'")))
+    facts = lambda rows: [(r["kind"], r["name"], r["crc"], r["sha1"], r["path"]) for r in rows]
+    assert facts(parsed(plain)) == facts(parsed(XML))
+    assert 'status="good"' not in plain and 'isbios="no"' not in plain and "A &amp; B" in plain and "<romvault" in plain
+    mame = text(writers.xml_lines(nodes.filter("source like '%a.dat'"), "mame"))
+    root = ET.fromstring(mame)  # a root that names the build, and no header
+    assert root.tag == "mame" and root.get("build") is not None and root.find("header") is None and "<!DOCTYPE mame [" in mame
+    assert [g.get("name") for g in root.iter("machine")] == [r["name"] for r in parsed(XML) if r["kind"] == "game"]
+    dos = text(writers.dos_lines(nodes.filter("source like '%c.dat'")))
+    assert dos.startswith("DOSCenter (") and '"G 1.zip"' in dos and "crc 000000ab" in dos and "00000000" not in dos
+    assert [(r["kind"], r["name"], r["size"], r["crc"]) for r in rows_of("x", dos.encode())] == [(r["kind"], r["name"], r["size"], r["crc"]) for r in nodes.filter("source like '%c.dat'").orderBy("node_id").collect()]
+    document = json.loads(text(writers.json_lines(nodes.filter("source like '%a.dat'"))))
+    assert list(document) == ["Header", "root"] and document["Header"]["forcepacking"] is not None
+    flat = lambda entries: [x for e in entries for x in (e["name"], *flat(e.get("objects", [])))]
+    assert sorted(flat(document["root"])) == sorted(r["name"] for r in parsed(XML))
     writers.write_lines(writers.xml_lines(nodes.filter("kind <> 'error'")), f"file://{folder}/out")
 
 
@@ -150,3 +160,34 @@ def test_rules(spark):
     assert {tuple(r) for r in rules.resolve_rules(paths, table, "rule").collect()} >= {("a\\b\\c", "two"), ("ab", None), ("a", "one")}
     names = spark.createDataFrame([("Thumbs.DB",), ("x.tmp",), ("keep.bin",)], "n string")
     assert [r[0] for r in names.select(rules.ignored(F.col("n"), ["ignore:thumbs.db", "ignore:*.TMP", "keep*"])).collect()] == [True, True, False]
+
+
+def test_json_of_an_archive(spark):
+    """One document: the set's type by its structure, its files with their type and hashes."""
+    rows = spark.createDataFrame([("c", {"name": "TestDat"}, 1, 0, 1, 0, "game", "Game1", None, None, None, "ZipTrrnt"), ("c", {"name": "TestDat"}, 2, 1, 2, 0, "file", "a.bin", 4, "12345678", "0011", None)], "source string, header map<string,string>, node_id int, parent_id int, depth int, ord int, kind string, name string, size bigint, crc string, sha1 string, zip_struct string")
+    for c, t in (("md5", "string"), ("status", "string"), ("mia", "string"), ("is_disk", "boolean"), ("fields", "map<string,string>")):
+        rows = rows.withColumn(c, F.lit(None).cast(t))
+    doc = json.loads("".join(r.line for r in writers.json_lines(rows).orderBy("place").collect()))
+    assert doc["Header"]["name"] == "TestDat" and [(g["name"], g["type"]) for g in doc["root"]] == [("Game1", "trrntzip")]
+    assert doc["root"][0]["objects"] == [{"name": "a.bin", "type": "filetrrntzip", "size": 4, "crc": "12345678", "sha1": "0011"}]
+
+
+def test_sections_of_an_ini_catalog():
+    line = lambda *x: "¬" + "¬".join(x) + "¬"
+    text = "[CREDITS]\nauthor=A\n[DAT]\nsplit=1\n[EMULATOR]\nrefname=N\n[GAMES]\n" + line("g", "G", "g", "G", "a.bin", "12", "5", "g", "") + "\n[RESOURCES]\n" + line("r", "R", "r", "R", "b.bin", "13", "6", "", "") + "\n[DISKS]\n" + line("p", "P", "g", "G", "d.chd", "987654", "0", "", "m.chd")
+    rows = rows_of("x", text.encode())
+    assert rows[0]["header"] == {"author": "A", "split": "1", "name": "N"}
+    assert [(r["kind"], r["name"], r["crc"], r["sha1"], r["merge"], r["is_disk"]) for r in rows if r["kind"] == "file"] == [("file", "b.bin", "00000013", None, None, False), ("file", "a.bin", "00000012", None, None, False), ("file", "d", None, "987654".rjust(40, "0"), "m", True)]
+    assert rows_of("x", (text + "\n[ODD]\n").encode())[0]["kind"] == "error"
+
+
+def test_patterns_that_are_none_are_passed_over(spark):
+    df = spark.createDataFrame([("a.tmp",), ("b.txt",)], "n string")
+    assert [r[0] for r in df.select(rules.ignored(F.col("n"), ["ignore: *.tmp ", "ignore:regex:([", "ignore: ", ""])).collect()] == [True, False]
+
+
+def test_names_of_files(spark):
+    df = spark.createDataFrame([("  a:b. .",), ("x/y",), ("",)], "n string")
+    assert [r[0] for r in df.select(tx.clean_file_name(F.col("n"), "_")).collect()] == ["a_b", "x_y", ""]
+    t = spark.createDataFrame([(" .a. ", "File"), (" a. ", "Zip"), (" a. ", "FileZip"), ("...", "Dir"), (" ", "FileZip")], "n string, t string")
+    assert [r[0] for r in t.select(transforms.clean_name_full(F.col("n"), F.col("t"))).collect()] == [".a", "a.", " a. ", "_", "_"]
