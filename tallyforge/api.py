@@ -50,7 +50,7 @@ class Workspace:
         """Reconcile and plan."""
         r = reconcile(self.read("catalog"), self.read("inventory"), ["place"])
         side = lambda c: F.coalesce(f"found_{c}", f"expected_{c}").alias(c)
-        rows = r.select(F.sha2(F.concat_ws("|", "place", "name", "found_sha1", "found_crc", "dat_status", "got_status"), 256).alias("node_id"), F.xxhash64("place", "name").alias("ord"), F.col("place").alias("archive"), F.col("place").alias("game"), "name", side("size"), side("crc"), side("sha1"), side("md5"), "dat_status", "got_status", "file_type", F.lit(True).alias("selected"), F.lit(False).alias("locked"), F.col("found_sha1").isNotNull().alias("deep"), F.concat_ws("/", "place", "name").alias("physical"))
+        rows = r.select(F.sha2(F.concat_ws("|", "place", "name", "found_sha1", "found_crc", "dat_status", "got_status"), 256).alias("node_id"), F.xxhash64("place", "name").alias("ord"), F.col("place").alias("archive"), F.col("place").alias("game"), "name", side("size"), side("crc"), side("sha1"), side("md5"), "dat_status", "got_status", "file_type", F.lit(True).alias("selected"), F.lit(False).alias("locked"), F.col("found_sha1").isNotNull().alias("deep"), F.concat_ws("/", "place", "name").alias("physical"), *[c for c in r.columns if c.startswith("alt_") or c in ("header_type", "from_header")])
         plan, pairs = plan_fixes(rows.dropDuplicates(["node_id"]))
         self._write(plan_actions(plan, pairs), "actions")
         return self._write(plan, "nodes")

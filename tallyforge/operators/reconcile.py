@@ -86,6 +86,7 @@ def reconcile(catalog: DataFrame, inventory: DataFrame, place: list[str]) -> Dat
         got.alias("got_status"),
         *[F.col(f"a.{c}").alias(f"expected_{c}") for c in facts],
         *[F.col(f"b.{c}").alias(f"found_{c}") for c in facts],
+        *([*[F.col(f"b.alt_{c}").alias(f"alt_{c}") for c in facts], F.coalesce(F.nullif("b.header_type", F.lit("NOTHING")), "a.header_type").alias("header_type"), F.coalesce(F.col("b.header_type") != "NOTHING", F.lit(False)).alias("from_header")] if headers else []),
     )
     return rows.withColumn("base_status", base_status(F.col("dat_status"), F.col("got_status"), F.col("file_type")))
 

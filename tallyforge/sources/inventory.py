@@ -9,14 +9,15 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import crc32_hex, extension
+from tallyforge.functions.text import extension
 from tallyforge.schemas import ALT_CAPABLE, EMPTY, MAGICS
+from tallyforge.session import cut
 
 
 def classify(path: Column) -> Column:
@@ -25,30 +26,108 @@ def classify(path: Column) -> Column:
     return F.when(e == "zip", "Zip").when(e == "7z", "SevenZip").otherwise("File")
 
 
+#: Bytes of a file read at once; a header's magic lies within the first block.
+BLOCK = 1 << 20
+LISTED = "path string, size bigint, modified timestamp, is_dir boolean"
+HASHED = "path string, header_type string, crc string, md5 string, sha1 string, sha256 string, alt_size bigint, alt_crc string, alt_md5 string, alt_sha1 string, alt_sha256 string, got_status string"
+
+
+def open_storage(path: str):
+    """(file system, path in it) of a path with or without a scheme."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for b in batches:
+        for folder in b["path"]:
+            store, inner = open_storage(folder)
+            prefix = folder.removesuffix(inner)
+            found = store.get_file_info(fs.FileSelector(inner, recursive=False))
+            for i in range(0, len(found), 10_000):
+                rows = [(prefix + f.path, f.size if f.is_file else None, f.mtime, not f.is_file) for f in found[i : i + 10_000]]
+                yield pd.DataFrame(rows, columns=["path", "size", "modified", "is_dir"]).astype({"size": "Int64"})
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files below ``path`` whose names fit ``glob``: path, size, modified. Directories are listed by tasks, level by level; no list of files comes to the driver."""
+    import fnmatch
+
+    frontier = spark.createDataFrame([(path.rstrip("/") or "/",)], "path string")
+    out = None
+    while True:
+        found = cut(frontier.repartition("path").mapInPandas(_list, LISTED))
+        out = found if out is None else out.unionByName(found)
+        frontier = found.filter("is_dir").select("path")
+        if frontier.isEmpty():
+            break
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return out.filter(~F.col("is_dir") & name.rlike(fnmatch.translate(glob).replace("\\Z", "$").replace("\\z", "$"))).drop("is_dir")
+
+
 def scan(spark: SparkSession, path: str, level: int = 1, glob: str = "*") -> DataFrame:
-    """Files below ``path``. Level 1 lists only, so no content is read; levels 2 and 3 hash it, whole and, for types that can have one, without its header. The content passes once, through built-in functions. Empty files, which the source leaves out of its splits, are added from its own listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    every = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "_file string")
-    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    empty = every.join(files.select(bare(F.col("path")).alias("_seen")), bare(F.col("_file")) == F.col("_seen"), "left_anti")
-    files = files.unionByName(empty.select(F.col("_file").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
-    listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), classify(F.col("path")).alias("file_type"), *(["content"] if level > 1 else []))
+    """Files below ``path``. Level 1 lists only, so no content is read; levels 2 and 3 hash it, whole and, for types that can have one, without its header. A file is read once, in blocks, whatever its size; one that can't be read is FileLocked."""
+    listed = listing(spark, path, glob).select("path", "size", "modified", classify(F.col("path")).alias("file_type"))
     if level == 1:
         return listed
-    kind, skip = detect_header(F.col("content"))
-    rows = listed.withColumn("header_type", kind).withColumn("_skip", skip)
-    rest = F.when((F.col("_skip") > 0) & F.col("header_type").isin(ALT_CAPABLE), F.expr("substring(content, _skip + 1)"))
-    rows = rows.withColumns(hash_columns(F.col("content"))).withColumn("_rest", rest)
-    rows = rows.withColumns({f"alt_{k}": v for k, v in hash_columns(F.col("_rest")).items()}).withColumn("alt_size", F.length("_rest"))
-    return rows.withColumn("got_status", F.lit("Got")).withColumn("deep", F.lit(True)).drop("content", "_rest", "_skip")
+    spread = listed.select("path").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("path"))
+    return listed.join(spread.mapInPandas(_hash, HASHED), "path").withColumn("deep", F.col("got_status") == "Got")
+
+
+class _Hashes:
+    """Running hashes of a content."""
+
+    def __init__(self):
+        self.size, self.crc, self.digests = 0, 0, [hashlib.new(k) for k in ("md5", "sha1", "sha256")]
+
+    def update(self, block: bytes) -> None:
+        self.size, self.crc = self.size + len(block), zlib.crc32(block, self.crc)
+        for x in self.digests:
+            x.update(block)
+
+    def values(self) -> list[str]:
+        return [f"{self.crc:08x}", *[x.hexdigest() for x in self.digests]]
+
+
+def hash_file(path: str) -> tuple:
+    """One file by blocks: its header type, its hashes, and size and hashes of what follows a header."""
+    store, inner = open_storage(path)
+    whole, rest, kind, skip = _Hashes(), None, "NOTHING", 0
+    try:
+        with store.open_input_stream(inner) as f:
+            while block := f.read(BLOCK):
+                if not whole.size:
+                    kind, skip = header_of(block)
+                    rest = _Hashes() if skip and kind in ALT_CAPABLE else None
+                if rest:
+                    rest.update(block[max(0, skip - whole.size) :])
+                whole.update(block)
+    except OSError:
+        return (path, kind, *[None] * 9, "FileLocked")
+    rest = rest if rest and whole.size > skip else None
+    return (path, kind, *whole.values(), *((rest.size, *rest.values()) if rest else [None] * 5), "Got")
+
+
+def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split(" ")[0] for x in HASHED.split(", ")]
+    order = ["path", "header_type", "crc", "md5", "sha1", "sha256", "alt_size", "alt_crc", "alt_md5", "alt_sha1", "alt_sha256", "got_status"]
+    for b in batches:
+        yield pd.DataFrame([hash_file(p) for p in b["path"]], columns=order)[names].astype({"alt_size": "Int64"})
 
 
-def hash_columns(content: Column) -> dict[str, Column]:
-    return {"crc": crc32_hex(content), "md5": F.md5(content), "sha1": F.sha1(content), "sha256": F.sha2(content, 256)}
+def header_of(start: bytes) -> tuple[str, int]:
+    """(type, bytes to skip) of a content by its first bytes: the first magic that fits, in the table's order."""
+    return next(((name, n) for name, at, magic, n in MAGICS if start[at : at + len(magic) // 2] == bytes.fromhex(magic)), ("NOTHING", 0))
 
 
 def detect_header(content: Column) -> tuple[Column, Column]:
-    """(type, bytes to skip) by the first magic that fits, in the table's order."""
+    """The same for a binary column."""
     kind, skip = F.lit("NOTHING"), F.lit(0)
     for name, at, magic, n in reversed(MAGICS):
         hit = F.hex(F.substring(content, at + 1, len(magic) // 2)) == magic

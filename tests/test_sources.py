@@ -70,8 +70,8 @@ def test_read_and_write_round_trip(spark, folder):
     assert root.tag == "mame" and root.get("build") is not None and root.find("header") is None and "<!DOCTYPE mame [" in mame
     assert [g.get("name") for g in root.iter("machine")] == [r["name"] for r in parsed(XML) if r["kind"] == "game"]
     dos = text(writers.dos_lines(nodes.filter("source like '%c.dat'")))
-    assert dos.startswith("DOSCenter (") and '"G 1.zip"' in dos and "crc 000000ab" in dos and "00000000" not in dos
-    assert [(r["kind"], r["name"], r["size"], r["crc"]) for r in rows_of("x", dos.encode())] == [(r["kind"], r["name"], r["size"], r["crc"]) for r in nodes.filter("source like '%c.dat'").orderBy("node_id").collect()]
+    assert dos.startswith("DOSCenter (") and '"G 1.zip"' in dos and "crc 000000ab" in dos and "crc 00000000" not in dos
+    assert [(r["kind"], r["name"], r["size"], r["crc"]) for r in rows_of("x", dos.encode())] == [(r["kind"], r["name"], r["size"], r["crc"]) for r in nodes.filter("source like '%c.dat' and (kind = 'game' or size is not null)").orderBy("node_id").collect()]
     document = json.loads(text(writers.json_lines(nodes.filter("source like '%a.dat'"))))
     assert list(document) == ["Header", "root"] and document["Header"]["forcepacking"] is not None
     flat = lambda entries: [x for e in entries for x in (e["name"], *flat(e.get("objects", [])))]
@@ -88,6 +88,13 @@ def test_scan_and_headers(spark, tmp_path):
 
     assert rows["x.nes"].header_type == "NES" and rows["x.nes"].alt_md5 == hashlib.md5(body).hexdigest() and rows["x.nes"].alt_size == 7
     assert rows["e.bin"].crc == "00000000" and rows["e.bin"].md5 == "d41d8cd98f00b204e9800998ecf8427e" and rows["e.bin"].alt_md5 is None
+    (tmp_path / "deep/er").mkdir(parents=True)
+    big = b"x" * (inventory.BLOCK + 5)
+    (tmp_path / "deep/er/ü b.nes").write_bytes(b"NES\x1a" + b"\0" * 12 + big)
+    (tmp_path / "deep/er/c.txt").write_bytes(b"t")
+    found = {r.path.rsplit("/", 1)[1]: r for r in inventory.scan(spark, f"file://{tmp_path}", level=2, glob="*.nes").collect()}
+    assert set(found) == {"x.nes", "ü b.nes"} and found["ü b.nes"].alt_sha1 == hashlib.sha1(big).hexdigest() and found["ü b.nes"].alt_size == len(big)
+    assert inventory.scan(spark, str(tmp_path / "deep/er"), glob="no*").count() == 0 and inventory.scan(spark, str(tmp_path)).count() == 4
     assert inventory.scan(spark, str(tmp_path)).columns == ["path", "size", "modified", "file_type"]
     assert [inventory.header_length(k) for k in ("NES", "PSID", "A7800", "X")] == [16, 124, 128, 0]
 
