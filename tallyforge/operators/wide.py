@@ -68,7 +68,8 @@ def type_values(df: DataFrame) -> DataFrame:
     for pattern, form in reversed(DAYS):
         parts = F.when(w.rlike(pattern), F.regexp_replace(w, pattern, form)).otherwise(parts)
     number = F.when(kind == "integer", F.regexp_extract(w, INTEGER, 1)).when(kind == "decimal", F.regexp_replace(F.concat(F.regexp_extract(w, DECIMAL, 1), F.regexp_extract(w, DECIMAL, 2)), ",", "."))
-    df = df.withColumn("_n", number).withColumn("_day", F.when(kind == "date", F.split(parts, r"\|")))
+    # the patterns of a kind run on its own rows only
+    df = df.withColumn("_n", number).withColumn("_day", F.split(F.when(kind == "date", parts), r"\|"))
     named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.expr("_day[1]"))).cast("int")
     df = df.withColumn("_m", F.when(F.expr("_day[1]").rlike("[A-Za-z]"), named).otherwise(F.expr("try_cast(_day[1] as int)"))).withColumn("_d", F.expr("try_cast(_day[2] as int)"))
     either = F.size("_day") > 3
@@ -171,7 +172,7 @@ def to_wide(facts: DataFrame, entity: str, attributes: list[tuple[str, str, int]
     gives an empty table with all columns.
     """
     kinds = {name: kind for name, kind, _ in attributes}
-    ordinals = cut(entity_ordinals(facts.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"))))
+    ordinals = entity_ordinals(facts.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity")))
     held = held_values(facts, entity, attributes).join(ordinals, "entity")
     kind = F.element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v)]), F.col("attr")) if kinds else F.lit("text")
     typed = type_values(held.withColumn("kind", kind)).select("ordinal", "entity", "attr", "t", "i", "d", "b", "a")

@@ -46,6 +46,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return games.unionByName(dats).distinct()
 
 
+def p5_games(spark: SparkSession, d: str) -> DataFrame:
+    """One row per game with a typed column per attribute."""
+    return p5_wide(spark, d, "game")[0]
+
+
+def p5_dats(spark: SparkSession, d: str) -> DataFrame:
+    """One row per catalog with a typed column per attribute."""
+    return p5_wide(spark, d, "dat")[0]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every node below the root of a catalog with its parent's path."""
     return catalog_nodes(table(spark, d, "dat_node", ["dat_id", "node", "loaded_at"]), [])
@@ -65,7 +75,7 @@ p3_directories, p3_games, p3_files = (_linked(n) for n in ("directories", "games
 
 def queries() -> dict:
     """The general problems' queries by name."""
-    return {"p2_found": p2_found, "p2_instants": p2_instants, "p3_found": p3_found, "p3_directories": p3_directories, "p3_games": p3_games, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p2_instants": p2_instants, "p3_found": p3_found, "p3_directories": p3_directories, "p3_games": p3_games, "p3_files": p3_files, "p4_found": p4_found, "p5_found": p5_found, "p5_games": p5_games, "p5_dats": p5_dats}
 
 
 _SECONDS = """CASE WHEN {0} < 100000000000 THEN {0} WHEN {0} < 100000000000000 THEN {0} // 1000 WHEN {0} < 100000000000000000 THEN {0} // 1000000
