@@ -18,8 +18,8 @@ from tallyforge.session import cut
 RANGE = 16_384
 
 SPARK_TYPES = {"text": "string", "integer": "bigint", "decimal": "decimal(28,10)", "boolean": "boolean", "date": "date"}
-#: White space to be trimmed, with what JVM regex calls horizontal and vertical space.
-_BLANK = r"[\s   -​  　﻿]"
+#: White space of all scripts, to be trimmed.
+_BLANK = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: Fixed values.
 YES, NO = ["yes", "y", "true", "t", "on", "1", "ja", "j", "oui", "si"], ["no", "n", "false", "f", "off", "0", "nein", "non"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -28,7 +28,7 @@ WIDE_DIGITS = ("０１２３４５６７８９．，－＋％／：", "012345678
 
 def stripped(value: Column) -> Column:
     """Without white space of any script at either end; blank becomes null. Full-width digits and signs become ASCII."""
-    s = F.regexp_replace(F.translate(value, *WIDE_DIGITS), f"^{_BLANK}+|{_BLANK}+$", "")
+    s = F.btrim(F.translate(value, *WIDE_DIGITS), F.lit(_BLANK))
     return F.when(s != "", s)
 
 
@@ -111,8 +111,12 @@ def held_values(facts: DataFrame, entity: str, attributes: list[tuple[str, str,
     """
     keys = {str(code): name for name, _, code in attributes} | {"".join(c for c in name.lower() if c.isalnum()): name for name, _, _ in attributes}
     lookup = F.create_map(*[F.lit(x) for k, n in keys.items() for x in (k, n)]) if keys else F.create_map().cast("map<string,string>")
+    # most names are written as listed and need no cleaning; only the others are put into their key
+    plain = {raw: keys[k] for name, _, code in attributes for raw, k in ((name, "".join(c for c in name.lower() if c.isalnum())), (str(code), str(code)))}
+    listed = F.create_map(*[F.lit(x) for k, n in plain.items() for x in (k, n)]) if plain else lookup
+    attr = F.coalesce(F.element_at(listed, F.col("id")), F.element_at(lookup, attribute_key(F.col("id"))))
     value = stripped(F.col("value"))
-    known = facts.select(F.col(entity).alias("entity"), F.element_at(lookup, attribute_key(F.col("id"))).alias("attr"), F.coalesce(F.col("seq"), F.lit(-(2**31))).alias("seq"), value.alias("value")).filter("entity is not null and attr is not null and value is not null")
+    known = facts.select(F.col(entity).alias("entity"), attr.alias("attr"), F.coalesce(F.col("seq"), F.lit(-(2**31))).alias("seq"), value.alias("value")).filter("entity is not null and attr is not null and value is not null")
     return known.groupBy("entity", "attr").agg(F.max(F.struct("seq", "value")).alias("m")).select("entity", "attr", F.col("m.value").alias("value"))
 
 
