@@ -345,7 +345,7 @@ def remove_nodump(spark, d):
     return transforms.remove_no_dumps(fx.roms(spark, d)).select("game", "ord")
 
 
-@query(f"WITH {fx.SETS} SELECT game, ord FROM roms WHERE NOT (status IS DISTINCT FROM 'nodump' AND mia IS NOT DISTINCT FROM 'yes')")
+@query(f"WITH {fx.SETS} SELECT game, ord FROM roms WHERE NOT (status IS DISTINCT FROM 'nodump' AND mia IS NOT DISTINCT FROM 'yes' AND coalesce(size, 0) <> 0)")
 def remove_not_collected(spark, d):
     return transforms.remove_not_collected(transforms.set_status(fx.roms(spark, d))).select("game", "ord")
 
@@ -566,7 +566,16 @@ def prepare_members(spark, d):
     return archives.prepare_members(fx.members(spark, d)).select("archive", "idx", F.col("position").cast("int").alias("position"), "repeated")
 
 
-@query(f"WITH {fx.MEMBERS}, c AS (SELECT DISTINCT CAST(archive_id AS VARCHAR) AS archive, decode(filename_bytes) AS name, uncompressed_size AS size FROM (SELECT * FROM central_entry WHERE flags & 2048 > 0 AND regexp_full_match(hex(filename_bytes), '([0-7].)*'))) SELECT coalesce(m.archive, c.archive) AS archive, coalesce(m.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'add' WHEN m.name IS NULL THEN 'drop' WHEN m.size = c.size THEN 'keep' ELSE 'replace' END AS action FROM members m FULL JOIN c ON c.archive = m.archive AND c.name = m.name")
+_CP437 = bytes(range(128, 256)).decode("cp437")
+_NEXT, _WELL = "[89AB].", "[0-7]."
+#: UTF-8 by pairs of hex digits: whole sequences, then the longest beginnings of one, then any other byte.
+_WHOLE = f"(?:C[2-9A-F]|D.){_NEXT}|E0[AB].{_NEXT}|E[1-9A-CEF]{_NEXT}{_NEXT}|ED[89].{_NEXT}|F0[9AB].{_NEXT}{_NEXT}|F[1-3]{_NEXT}{_NEXT}{_NEXT}|F48.{_NEXT}{_NEXT}"
+_BEGUN = f"E0[AB].|E[1-9A-CEF]{_NEXT}|ED[89].|F0[9AB].(?:{_NEXT})?|F[1-3]{_NEXT}(?:{_NEXT})?|F48.(?:{_NEXT})?"
+_ENTRY_NAME = f"""CASE WHEN coalesce(flags, 0) & 2048 > 0 THEN array_to_string(list_transform(regexp_extract_all(hex(filename_bytes), '{_WELL}|{_WHOLE}|{_BEGUN}|..'), lambda t: CASE WHEN regexp_full_match(t, '{_WELL}|{_WHOLE}') THEN TRY(decode(unhex(t))) ELSE chr(65533) END), '')
+ ELSE array_to_string(list_transform(regexp_extract_all(hex(filename_bytes), '..'), lambda t: CASE WHEN t < '80' THEN chr(CAST('0x' || t AS INT)) ELSE '{_CP437}'[CAST('0x' || t AS INT) - 127] END), '') END"""
+
+
+@query(f"WITH {fx.MEMBERS}, c AS (SELECT DISTINCT CAST(archive_id AS VARCHAR) AS archive, {_ENTRY_NAME} AS name, uncompressed_size AS size FROM central_entry) SELECT coalesce(m.archive, c.archive) AS archive, coalesce(m.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'add' WHEN m.name IS NULL THEN 'drop' WHEN m.size = c.size THEN 'keep' ELSE 'replace' END AS action FROM members m FULL JOIN c ON c.archive = m.archive AND c.name = m.name")
 def rebuild_plan(spark, d):
     c = spark.read.parquet(f"{d}/central_entry.parquet").select(F.col("archive_id").cast("string").alias("archive"), tx.entry_name(F.col("filename_bytes"), F.col("flags")).alias("name"), F.col("uncompressed_size").alias("size")).distinct()
     return archives.rebuild_plan(fx.members(spark, d), c, ["size"])
