@@ -259,23 +259,27 @@ def held_above(members: DataFrame, above: DataFrame, chain: DataFrame) -> DataFr
     """(game, ord) of members to which an ancestor's member is equivalent (see ``file_equivalent``).
 
     Nulls match, so no one hash can be a key; but two rows that know given facts are equivalent if and only if they
-    agree on the facts both know. There are 32 such patterns at most: rows get one key for each pattern that the other
-    side has, and meet by equality of (ancestor, key) in a semi-join. No pairs are formed, and a BIOS under most sets is
+    agree on the facts both know. There are 32 such patterns at most: rows get one key (a hash of 96 bits) for each
+    pattern that the other side has, and meet by equality of (ancestor, key) in a semi-join. No pairs are formed, and a BIOS under most sets is
     spread by its members' hashes.
     """
     facts = ["size", *HASHES]
-    disk = F.coalesce("is_disk", F.lit(False))
+    disk = F.coalesce("is_disk", F.lit(False)).cast("int")
     child, parent = members.withColumn("_p", _known()), above.withColumn("_p", _known())
-    patterns = lambda df: sorted(r[0] for r in df.select("_p").distinct().limit(32).collect())
-    mine, theirs = patterns(child), patterns(parent)
-
-    def keys(other: list[int]) -> Column:
-        one = lambda q: F.struct(F.lit(q).alias("q"), F.concat_ws("|", disk.cast("string"), *[F.when(F.col("_p").bitwiseAND(F.lit(q & 1 << i)) > 0, F.concat(F.lit(f"{i}:"), F.col(c).cast("string"))) for i, c in enumerate(facts)]).alias("key"))
-        return F.explode(F.array(*[one(q) for q in other])) if other else F.explode(F.array().cast("array<struct<q:int,key:string>>"))
-
-    asked = child.select("game", "ord", "_p", keys(theirs).alias("k")).select("game", "ord", F.col("_p").alias("child"), F.col("k.q").alias("parent"), "k.key")
-    held = parent.select("game", "_p", keys(mine).alias("k")).select(F.col("game").alias("ancestor"), F.col("_p").alias("parent"), F.col("k.q").alias("child"), "k.key")
-    return asked.join(chain.select("game", "ancestor"), "game").join(held, ["ancestor", "child", "parent", "key"], "left_semi").select("game", "ord").distinct()
+    mine = sorted(r[0] for r in child.select("_p").distinct().limit(32).collect())
+
+    def key(mine_: Column, theirs: Column) -> list[Column]:
+        """A key of 96 bits of two patterns and the facts that both know."""
+        both = mine_.bitwiseAND(theirs)
+        parts = [mine_, theirs, disk, *[F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c).cast("string")).otherwise("") for i, c in enumerate(facts)]]
+        return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
+
+    # an ancestor's patterns, so that a member asks for those only
+    theirs = parent.select(F.col("game").alias("ancestor"), F.col("_p").alias("_q")).distinct()
+    links = chain.select("game", "ancestor").join(theirs, "ancestor")
+    asked = child.select("game", "ord", "_p", "is_disk", *facts).join(links, "game").select("game", "ord", "ancestor", *key(F.col("_p"), F.col("_q")))
+    held = parent.withColumn("_q", F.explode(F.array(*map(F.lit, mine)) if mine else F.array().cast("array<int>"))).select(F.col("game").alias("ancestor"), *key(F.col("_q"), F.col("_p")))
+    return asked.join(held, ["ancestor", "k1", "k2"], "left_semi").select("game", "ord").distinct()
 
 
 def _dumped(members: DataFrame) -> DataFrame:
