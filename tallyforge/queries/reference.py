@@ -209,6 +209,12 @@ def fix_plan(spark, d):
     return planned(spark, d)[0].select("node_id", "plan_status")
 
 
+@query()
+def two_pass_plan(spark, d):
+    """Both passes of the planner; tested against cases, as SQL would state all of the plan twice."""
+    return fixes.two_pass_plan(fx.nodes(spark, d)).select("node_id", "plan_status")
+
+
 @query(f"""WITH {PLANNED} SELECT missing_id AS node_id, 'copy' AS action, source_id FROM assigned UNION ALL SELECT node_id, CASE plan_status WHEN 'Delete' THEN 'delete' WHEN 'MoveToSort' THEN 'move_to_sort' ELSE 'move_to_corrupt' END, NULL FROM planned WHERE plan_status IN ('Delete', 'MoveToSort', 'MoveToCorrupt')
  UNION ALL SELECT node_id, 'delete_after_copy', NULL FROM planned WHERE plan_status = 'NeededForFix' AND NOT locked""")
 def plan_actions(spark, d):
