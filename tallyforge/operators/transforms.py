@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import ascii_lower, compared, equal_or_null, stem
 from tallyforge.schemas import FIXED_DOS_PACKED
-from tallyforge.session import by_group, carry_last, components, cut, sized_join, spread_rank
+from tallyforge.session import by_group, carry_last, components, cut, shuffled, sized_join, spread_rank
 
 HASHES = ["crc", "sha1", "sha256", "md5"]
 
@@ -235,10 +235,10 @@ def parent_chain(games: DataFrame, include_bios: bool = True) -> DataFrame:
     onward = sets.select(F.col("game").alias("at"), *typed, F.when(F.col("stated"), F.col("rom")).otherwise(F.col("clone")).alias("ancestor")).filter((F.col("ancestor") != "") & (F.col("ancestor") != F.col("at")))
     known = sets.select(F.col("game").alias("ancestor"), *typed, bios)
     stop = lambda df: df if include_bios else df.filter(~F.col("bios"))
-    frontier = cut(stop(begin.join(known, ["ancestor", *typed]).select("game", *typed, "ancestor", F.lit(1).alias("depth"), F.array("ancestor").alias("seen"), "bios")))
+    frontier = cut(stop(begin.join(shuffled(known), ["ancestor", *typed]).select("game", *typed, "ancestor", F.lit(1).alias("depth"), F.array("ancestor").alias("seen"), "bios")))
     out = frontier
     while not frontier.isEmpty():
-        step = sized_join(frontier.select("game", *typed, F.col("ancestor").alias("at"), "depth", "seen"), onward, ["at", *typed], "inner").join(known, ["ancestor", *typed])
+        step = sized_join(frontier.select("game", *typed, F.col("ancestor").alias("at"), "depth", "seen"), onward, ["at", *typed], "inner").join(shuffled(known), ["ancestor", *typed])
         step = step.filter(~F.array_contains("seen", F.col("ancestor"))).select("game", *typed, "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"), "bios")
         frontier = cut(stop(step))
         out = out.unionByName(frontier)

@@ -64,19 +64,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled whatever Spark takes it for: estimates go by the bytes of compressed files and miss what explodes, and a broadcast by estimate has no bound in the driver."""
+    return df.hint("merge")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int | None = None) -> DataFrame:
     """Join a large side with one that is usually small.
 
-    ``right`` is materialised and counted. Up to ``limit`` rows it is broadcast, so hot keys of ``left``
+    ``right`` is materialised and counted. Up to ``limit`` rows (``BROADCAST_ROWS``) it is broadcast, so hot keys of ``left``
     don't move. Beyond that both sides are shuffled, with the keys of ``left`` spread over ``SALTS`` salts
     and ``right`` repeated once per salt, so that no task gets all rows of one key.
     """
     right = cut(right)
-    if right.count() <= limit:
+    if right.count() <= (BROADCAST_ROWS if limit is None else limit):
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    return salted.join(shuffled(spread), [*on, "_salt"], how).drop("_salt")
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:

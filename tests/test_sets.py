@@ -168,3 +168,30 @@ def test_hot_keys_of_a_join_are_split_off(spark):
     want = {r.id: r.v for r in left.join(right, ["k", "z"], "left").collect()}
     got = split_join(left, right, ["k", "z"], limit=0)
     assert got.columns == ["id", "k", "z", "v"] and {r.id: r.v for r in got.collect()} == want and got.count() == 30_000
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that is materialised, with no side small enough to be broadcast."""
+    import tallyforge.session as session
+
+    kept, cut = [], session.cut
+
+    def noted(df):
+        kept.append(planned(df))
+        return cut(df)
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    for m in (session, transforms):
+        monkeypatch.setattr(m, "cut", noted)
+    return kept
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_chain_is_never_broadcast_by_estimate(spark, plans):
+    sets, _ = random_sets(1)
+    plans.append(planned(transforms.parent_chain(spark.createDataFrame(sets, GAME))))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
