@@ -191,7 +191,8 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_chain_is_never_broadcast_by_estimate(spark, plans):
+@pytest.mark.parametrize("include_bios", [True, False])
+def test_a_chain_is_never_broadcast_by_estimate(spark, plans, include_bios):
     sets, _ = random_sets(1)
-    plans.append(planned(transforms.parent_chain(spark.createDataFrame(sets, GAME))))
+    plans.append(planned(transforms.parent_chain(spark.createDataFrame(sets, GAME), include_bios)))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
