@@ -309,11 +309,11 @@ def merge_set(games: DataFrame, members: DataFrame, with_game_name: bool = False
 def device_closure(games: DataFrame) -> DataFrame:
     """(game, device) over device references of devices, each once; a device that leads back to a set has that set as a device."""
     sets = games.select("game").distinct()
-    edges = cut(games.select("game", F.explode("device_ref").alias("device")).distinct().join(sets.withColumnRenamed("game", "device"), "device", "left_semi").select("game", "device"))
+    edges = cut(games.select("game", F.explode("device_ref").alias("device")).distinct().join(shuffled(sets.withColumnRenamed("game", "device")), "device", "left_semi").select("game", "device"))
     frontier = out = edges
     while not frontier.isEmpty():
         step = sized_join(frontier.select("game", F.col("device").alias("at")), edges.select(F.col("game").alias("at"), "device"), ["at"], "inner").select("game", "device").distinct()
-        frontier = cut(step.join(out, ["game", "device"], "left_anti"))
+        frontier = cut(step.join(shuffled(out), ["game", "device"], "left_anti"))
         out = cut(out.unionByName(frontier))
     return out
 

@@ -196,3 +196,9 @@ def test_a_chain_is_never_broadcast_by_estimate(spark, plans, include_bios):
     sets, _ = random_sets(1)
     plans.append(planned(transforms.parent_chain(spark.createDataFrame(sets, GAME), include_bios)))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_devices_are_never_broadcast_by_estimate(spark, plans):
+    sets, _ = random_sets(11)
+    plans.append(planned(transforms.device_closure(spark.createDataFrame(sets, GAME))))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
