@@ -276,10 +276,10 @@ def held_above(members: DataFrame, above: DataFrame, chain: DataFrame) -> DataFr
 
     # an ancestor's patterns, so that a member asks for those only
     theirs = parent.select(F.col("game").alias("ancestor"), F.col("_p").alias("_q")).distinct()
-    links = chain.select("game", "ancestor").join(theirs, "ancestor")
-    asked = child.select("game", "ord", "_p", "is_disk", *facts).join(links, "game").select("game", "ord", "ancestor", *key(F.col("_p"), F.col("_q")))
+    links = chain.select("game", "ancestor").join(shuffled(theirs), "ancestor")
+    asked = child.select("game", "ord", "_p", "is_disk", *facts).join(shuffled(links), "game").select("game", "ord", "ancestor", *key(F.col("_p"), F.col("_q")))
     held = parent.withColumn("_q", F.explode(F.array(*map(F.lit, mine)) if mine else F.array().cast("array<int>"))).select(F.col("game").alias("ancestor"), *key(F.col("_q"), F.col("_p")))
-    return asked.join(held, ["ancestor", "k1", "k2"], "left_semi").select("game", "ord").distinct()
+    return asked.join(shuffled(held), ["ancestor", "k1", "k2"], "left_semi").select("game", "ord").distinct()
 
 
 def _dumped(members: DataFrame) -> DataFrame:
@@ -296,12 +296,12 @@ def split_set(games: DataFrame, members: DataFrame) -> DataFrame:
 def merge_set(games: DataFrame, members: DataFrame, with_game_name: bool = False) -> DataFrame:
     """Members held by a BIOS ancestor are dropped, those never dumped excepted; the rest move to the topmost ancestor that is no BIOS, equal ones too; optionally under ``game/`` unless a disk."""
     chain = parent_chain(games)
-    marked = chain.drop("bios").join(games.select(F.col("game").alias("ancestor"), (F.lower(F.coalesce("is_bios", F.lit(""))) == "yes").alias("bios")).dropDuplicates(["ancestor"]), "ancestor")
-    marked = cut(marked)
+    known = games.select(F.col("game").alias("ancestor"), (F.lower(F.coalesce("is_bios", F.lit(""))) == "yes").alias("bios")).dropDuplicates(["ancestor"])
+    marked = cut(chain.drop("bios").join(shuffled(known), "ancestor"))
     bios = marked.filter("bios")
-    in_bios = held_above(_dumped(members), members.join(bios.select(F.col("ancestor").alias("game")).distinct(), "game", "left_semi"), bios)
+    in_bios = held_above(_dumped(members), members.join(shuffled(bios.select(F.col("ancestor").alias("game")).distinct()), "game", "left_semi"), bios)
     top = marked.filter("not bios").groupBy("game").agg(F.max(F.struct("depth", "ancestor")).alias("t")).select("game", F.col("t.ancestor").alias("top"))
-    kept = members.join(in_bios, ["game", "ord"], "left_anti").join(top, "game", "left")
+    kept = members.join(shuffled(in_bios), ["game", "ord"], "left_anti").join(shuffled(top), "game", "left")
     name = F.when(F.col("top").isNotNull() & F.lit(with_game_name) & ~F.coalesce("is_disk", F.lit(False)), F.concat("game", F.lit("/"), "name")).otherwise(F.col("name"))
     return kept.withColumn("name", name).withColumn("game", F.coalesce("top", "game")).select(*members.columns)
 

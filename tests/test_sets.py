@@ -202,3 +202,12 @@ def test_devices_are_never_broadcast_by_estimate(spark, plans):
     sets, _ = random_sets(11)
     plans.append(planned(transforms.device_closure(spark.createDataFrame(sets, GAME))))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("transform", ["merge_set", "merge_set_named"])
+def test_sets_are_never_broadcast_by_estimate(spark, plans, transform):
+    sets, rows = random_sets(2)
+    games, members = spark.createDataFrame(sets, GAME), spark.createDataFrame(rows, MEMBER)
+    named = {"with_game_name": True} if transform == "merge_set_named" else {}
+    plans.append(planned(getattr(transforms, transform.removesuffix("_named"))(games, members, **named)))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
