@@ -9,7 +9,7 @@ from tallyforge import fixtures as fx
 from tallyforge.functions import text as tx
 from tallyforge.operators import report, rules, stats, transforms
 from tallyforge.queries.reference import STATED, stated
-from tallyforge.session import cut, scratch
+from tallyforge.session import scratch, shuffled
 from tallyforge.sources import inventory, readers, writers
 
 Q: dict = {}
@@ -33,8 +33,8 @@ def catalogs(spark: SparkSession, d: str, escaped: bool = True) -> DataFrame:
     """The nodes of all catalogs, with the columns that readers give."""
     nul = F.lit(None).cast("string")
     g = fx.games(spark, d).select("game", F.col("ord").alias("g"), F.translate("brand", "#", "-").alias("source"), "clone_of", "rom_of", "description")
-    m = fx.roms(spark, d).join(g.select("game", "g", "source"), "game")
-    used = g.join(m.select("game").distinct(), "game", "left_semi")
+    m = fx.roms(spark, d).join(shuffled(g.select("game", "g", "source")), "game")
+    used = g.join(shuffled(m.select("game").distinct()), "game", "left_semi")
     first = used.groupBy("source").agg(F.min("g").alias("_first"))
     header = F.create_map(F.lit("name"), F.col("source"), F.lit("version"), F.lit("1"), F.lit("forcepacking"), F.lit("zip"))
     hashes = ["crc", "sha1", "md5", "sha256", "merge", "status", "region", "mia"]
@@ -59,7 +59,7 @@ def _written(spark: SparkSession, lines: DataFrame) -> str:
 def _read_back(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """What the readers make of written lines; the catalog is told by the folder of its file."""
     nodes = readers.read_catalogs(spark, _written(spark, lines))
-    return cut(nodes.withColumn("source", F.regexp_extract("source", "source=([^/]+)", 1)))
+    return nodes.withColumn("source", F.regexp_extract("source", "source=([^/]+)", 1))
 
 
 def _members(nodes: DataFrame) -> DataFrame:

@@ -198,3 +198,40 @@ def test_names_of_files(spark):
     assert [r[0] for r in df.select(tx.clean_file_name(F.col("n"), "_")).collect()] == ["a_b", "x_y", ""]
     t = spark.createDataFrame([(" .a. ", "File"), (" a. ", "Zip"), (" a. ", "FileZip"), ("...", "Dir"), (" ", "FileZip")], "n string, t string")
     assert [r[0] for r in t.select(transforms.clean_name_full(F.col("n"), F.col("t"))).collect()] == [".a", "a.", " a. ", "_", "_"]
+
+
+SETS_TEXT = {
+    "cmp": ('clrmamepro ( name "N" )\n', 'game ( name "g{}" rom ( name "r{}.bin" size 1 ) )\n', ""),
+    "xml": ("<datafile><header><name>N</name></header>", '<game name="g{}"><rom name="r{}.bin" size="1"/></game>\n', "</datafile>"),
+    "dos": ("DOSCenter (\n\tName: N\n)\n", "game (\n\tname g{}.zip\n\tfile ( name r{}.bin size 1 )\n)\n", ""),
+}
+
+
+@pytest.mark.parametrize("kind", SETS_TEXT)
+def test_a_file_is_read_by_blocks(kind):
+    head, each, tail = SETS_TEXT[kind]
+    text, most = (head + "".join(each.format(i, i) for i in range(60_000)) + tail).encode(), []
+
+    class Watched(io.BytesIO):
+        def read(self, n=-1):
+            most.append(n)
+            return super().read(n)
+
+    opened = []
+    rows = readers.node_rows("x", lambda: opened.append(Watched(text)) or opened[-1])
+    first = [next(rows) for _ in range(2)]
+    assert opened[-1].tell() <= readers.BLOCK < len(text) and max(most) <= readers.BLOCK and min(most) > 0  # rows come before the rest is read
+    assert [(r["kind"], r["name"], r["node_id"], r["parent_id"], r["path"], r["header"]["name"]) for r in first] == [("game", "g0", 1, 0, [], "N"), ("file", "r0.bin", 2, 1, ["g0"], "N")]
+    rest = list(rows)
+    assert len(rest) == 2 * 60_000 - 2 and rest[-1]["name"] == "r59999.bin" and rest[-2]["ord"] == 59_999
+
+
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_blocks_end_anywhere(monkeypatch, block):
+    cmp = 'dir ( game ( name b rom ( name "c é" ) ) name "D" dir ( name E game ( name f rom ( name g ) ) ) ) game ( name h )'
+    deep = XML.replace("</dir>", '<dir name="E"><machine name="m"><rom name="z"/></machine></dir></dir><rom name="top"/>')
+    texts = [XML, SOFT, CMP, DOS, ROMC, cmp, deep, "<datafile/>", DOS.replace("\n", "\r\n"), "﻿" + XML]
+    whole = [parsed(t) for t in texts]
+    assert [(r["name"], r["path"]) for r in whole[5]] == [("D", []), ("h", []), ("b", ["D"]), ("E", ["D"]), ("f", ["D", "E"]), ("g", ["D", "E", "f"]), ("c é", ["D", "b"])]
+    monkeypatch.setattr(readers, "BLOCK", block)
+    assert [parsed(t) for t in texts] == whole
