@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, shared_dir, sized_join, split_join
+from tallyforge.session import cut, shared_dir, shuffled, sized_join, split_join
 
 TICKS_PER_S = 10_000_000
 TICKS_EPOCH_S = 62_135_596_800
@@ -183,7 +183,7 @@ class StampDictionary:
         key = ["kind", "raw", "zone"]
         new = stamps.select(*key).filter("raw is not null").distinct()
         if self._batches():
-            new = new.alias("n").join(self.read().select(*key).alias("k"), [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key], "left_anti")
+            new = new.alias("n").join(shuffled(self.read().select(*key).alias("k")), [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key], "left_anti")
         batch = scratch_under(self.path)
         parse_stamps(new).write.parquet(batch)
         return self.spark.read.schema(self.SCHEMA).parquet(batch).count()
@@ -229,7 +229,7 @@ def normalised(stamps: DataFrame, path: str | None = None) -> DataFrame:
     key = ["kind", "raw", "_zone"]
     values = known.read().withColumn("_zone", F.coalesce("zone", F.lit(""))).drop("zone").dropDuplicates(key)
     zoned = stamps.withColumn("_zone", F.coalesce("zone", F.lit("")))
-    forms = true_precision(values.join(zoned.select(*key).distinct(), key, "left_semi"))
+    forms = true_precision(values.join(shuffled(zoned.select(*key).distinct()), key, "left_semi"))
     out = split_join(zoned, values, key).drop("_zone")
     out = sized_join(out, forms, ["kind", "form"], "left").withColumn("precision", F.greatest("precision", F.coalesce("coarser", F.lit(1).cast("bigint")))).drop("coarser")
     return out.withColumn("state", F.coalesce("state", F.lit("absent")))
@@ -258,7 +258,7 @@ def disagreeing_stamps(headers: DataFrame, archives: DataFrame, entries: DataFra
     h = headers.select("header_id", *key, F.col("header_last_modified").cast("string").alias("packed"), F.col("modified_time").alias("text")).distinct()
     h = _zoned(h, archives)
     dos = entries.filter("archive_id is not null and entry_index is not null and dos_date is not null and dos_time is not null").select(*key, F.concat_ws(":", "dos_date", "dos_time").alias("dos")).distinct()
-    rows = h.filter(~F.lower(F.trim("packed")).isin(ABSENT)).join(dos, key, "left").filter(F.col("text").isNotNull() | F.col("dos").isNotNull())
+    rows = h.filter(~F.lower(F.trim("packed")).isin(ABSENT)).join(shuffled(dos), key, "left").filter(F.col("text").isNotNull() | F.col("dos").isNotNull())
     kinds = ["packed", "text", "dos"]
     rows = cut(rows.select(F.monotonically_increasing_id().alias("_row"), "header_id", *[_own(k, k).alias(k) for k in kinds]))
     stamps = normalised(rows.select("_row", "header_id", F.explode(F.array(*kinds)).alias("e")).select("_row", "header_id", "e.*").filter("raw is not null"), path)

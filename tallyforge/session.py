@@ -84,14 +84,14 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return salted.join(shuffled(spread), [*on, "_salt"], how).drop("_salt")
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], limit: int | None = None) -> DataFrame:
     """Left join of a large side with one that is large, too, and has each key once.
 
     A small ``right`` (counted) is broadcast. Else the keys that hold more than their share of ``left`` are told from a
     sample, and their rows, which would pile up in a task, meet the few rows of ``right`` by broadcast; all other rows
     are shuffled by key. The sample decides the way only, never the result. Rows with a null key meet nothing and don't move.
     """
-    if right.count() <= limit:
+    if right.count() <= (BROADCAST_ROWS if limit is None else limit):
         return left.join(F.broadcast(right), on, "left")
     null = F.lit(False)
     for c in on:
@@ -103,7 +103,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], limit: int = BR
     hot = cut(sample.filter((F.col("count") > share * total) & (F.col("count") > 100)).select(*on))  # 4 x partitions keys at most
     held = cut(right.join(F.broadcast(hot), on, "left_semi"))
     columns = [*left.columns, *[c for c in right.columns if c not in on]]
-    cold = rest.join(F.broadcast(hot), on, "left_anti").join(right, on, "left").select(*columns)
+    cold = rest.join(F.broadcast(hot), on, "left_anti").join(shuffled(right), on, "left").select(*columns)
     warm = rest.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(held), on, "left").select(*columns)
     none = left.filter(null).select("*", *[F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c not in on])
     return cold.unionByName(warm).unionByName(none)

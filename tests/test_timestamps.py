@@ -144,3 +144,17 @@ def test_instants_of_rows(spark):
         ("file_header", 1, "modified_time", 2, 1_635_640_200),
         ("file_header", 1, "modified_time", 2, 1_635_643_800),
     ]
+
+
+def test_zones_are_never_broadcast_by_estimate(spark, monkeypatch):
+    import tallyforge.session as session
+    from tallyforge.operators.timestamps import _zoned
+
+    rows = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 9)], "row_id bigint, archive_id bigint")
+    zones = spark.createDataFrame([(1, "UTC"), (1, "CET"), (2, None)], "archive_id bigint, zone_name string")
+    want = {(1, "UTC"), (2, None), (3, None), (4, None)}
+    assert {(r.row_id, r.zone) for r in _zoned(rows, zones).collect()} == want
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)  # too many to be broadcast
+    out = _zoned(rows, zones)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and {(r.row_id, r.zone) for r in out.collect()} == want
