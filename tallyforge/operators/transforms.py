@@ -289,7 +289,7 @@ def _dumped(members: DataFrame) -> DataFrame:
 def split_set(games: DataFrame, members: DataFrame) -> DataFrame:
     """Members that an ancestor, BIOS included, also holds are merged, those never dumped excepted."""
     held = held_above(_dumped(members), members, parent_chain(games)).withColumn("_in", F.lit(True))
-    out = members.join(held, ["game", "ord"], "left")
+    out = members.join(shuffled(held), ["game", "ord"], "left")
     return out.withColumn("dat_status", F.when(F.col("_in"), "InDatMerged").otherwise(F.col("dat_status"))).withColumn("merge", F.when(F.col("_in") & (F.coalesce("merge", F.lit("")) == ""), "(Auto Merged)").otherwise(F.col("merge"))).select(*members.columns)
 
 
