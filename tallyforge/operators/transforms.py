@@ -320,9 +320,9 @@ def device_closure(games: DataFrame) -> DataFrame:
 
 def non_merge_set(games: DataFrame, members: DataFrame) -> DataFrame:
     """Members of all devices a set refers to are added, once per device, unless the set itself has one of the same name and SHA-1; an unknown SHA-1 equals none."""
-    wanted = device_closure(games).join(members.withColumnRenamed("game", "device"), "device").drop("device")
+    wanted = device_closure(games).join(shuffled(members.withColumnRenamed("game", "device")), "device").drop("device")
     there = members.filter("sha1 is not null").select("game", "name", "sha1").distinct()
-    return members.unionByName(wanted.join(there, ["game", "name", "sha1"], "left_anti").select(*members.columns))
+    return members.unionByName(wanted.join(shuffled(there), ["game", "name", "sha1"], "left_anti").select(*members.columns))
 
 
 # --- order ---

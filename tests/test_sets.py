@@ -204,7 +204,7 @@ def test_devices_are_never_broadcast_by_estimate(spark, plans):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
-@pytest.mark.parametrize("transform", ["merge_set", "merge_set_named", "split_set"])
+@pytest.mark.parametrize("transform", ["merge_set", "merge_set_named", "split_set", "non_merge_set"])
 def test_sets_are_never_broadcast_by_estimate(spark, plans, transform):
     sets, rows = random_sets(2)
     games, members = spark.createDataFrame(sets, GAME), spark.createDataFrame(rows, MEMBER)
