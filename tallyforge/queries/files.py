@@ -68,13 +68,15 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 @query(f"WITH {CATALOG} SELECT source, game, name, CASE WHEN is_disk THEN -1 ELSE coalesce(size, -1) END AS size, CASE WHEN NOT is_disk THEN crc END AS crc, sha1, md5, merge, status, CASE WHEN NOT is_disk THEN mia END AS mia, is_disk FROM c")
 def xml_round_trip(spark, d):
-    back = _members(_read_back(spark, writers.xml_lines(catalogs(spark, d))))
+    nodes = catalogs(spark, d)
+    back = _members(_read_back(spark, writers.xml_lines(nodes, headers=nodes.filter("kind = 'game'"))))
     return back.select("source", "game", "name", "size", "crc", "sha1", "md5", "merge", "status", "mia", "is_disk")
 
 
 @query(f"WITH {CATALOG} SELECT DISTINCT source, game AS name, clone_of, rom_of, description, source AS catalog, 'zip' AS packing FROM c")
 def xml_sets(spark, d):
-    back = _read_back(spark, writers.xml_lines(catalogs(spark, d))).filter("kind = 'game'")
+    nodes = catalogs(spark, d)
+    back = _read_back(spark, writers.xml_lines(nodes, headers=nodes.filter("kind = 'game'"))).filter("kind = 'game'")
     f = lambda k: F.element_at("fields", k)
     return back.select("source", "name", f("cloneof").alias("clone_of"), f("romof").alias("rom_of"), f("description").alias("description"), F.element_at("header", "name").alias("catalog"), F.element_at("header", "forcepacking").alias("packing"))
 
@@ -82,7 +84,7 @@ def xml_sets(spark, d):
 @query(f"WITH {CATALOG} SELECT source, game, regexp_replace(name, ' & <é>$', '') AS name, coalesce(size, -1) AS size, crc, sha1, md5 FROM c WHERE size IS NOT NULL")
 def dos_round_trip(spark, d):
     nodes = catalogs(spark, d, escaped=False).filter("kind <> 'file' or size is not null")
-    return _members(_read_back(spark, writers.dos_lines(nodes))).select("source", "game", "name", "size", "crc", "sha1", "md5")
+    return _members(_read_back(spark, writers.dos_lines(nodes, nodes.filter("kind = 'game'")))).select("source", "game", "name", "size", "crc", "sha1", "md5")
 
 
 @query(f"WITH {CATALOG} SELECT source, game, name, coalesce(size, -1) AS size, coalesce(crc, '') AS crc, coalesce(sha1, '') AS sha1, md5, status, mia FROM c")

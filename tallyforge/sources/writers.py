@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import shuffled
 
 def escape(c: Column) -> Column:
-    """Markup and control characters as references."""
+    """Markup and control characters as references; a text without any, as most are, is looked through once."""
     out = c
     for a, b in (("&", "&amp;"), ('"', "&quot;"), ("'", "&apos;"), ("<", "&lt;"), (">", "&gt;"), ("\t", "&#x9;"), ("\n", "&#xA;"), ("\r", "&#xD;")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(c.rlike("[&\"'<>\t\n\r]"), out).otherwise(c)
 
 
 def attributes(pairs: list[tuple[str, Column]]) -> Column:
@@ -66,8 +67,8 @@ MACHINE_TYPES = {
 }
 
 
-def xml_lines(nodes: DataFrame, dialect: str = "plain") -> DataFrame:
-    """(source, place, line): ``plain`` has game elements, ``sets`` the typed root with set elements, both a header; ``mame`` has machine elements under a root that names the build, and no header. Rows come from read_catalogs or have its columns."""
+def xml_lines(nodes: DataFrame, dialect: str = "plain", headers: DataFrame | None = None) -> DataFrame:
+    """(source, place, line): ``plain`` has game elements, ``sets`` the typed root with set elements, both a header; ``mame`` has machine elements under a root that names the build, and no header. Rows come from read_catalogs or have its columns. ``headers``: fewer nodes, if it is known that each catalog is among them."""
     tag = {"plain": "game", "mame": "machine", "sets": "set"}[dialect]
     # fixed values: root elements
     root = {"plain": "datafile", "mame": "mame", "sets": "RVDatFile"}[dialect]
@@ -78,7 +79,7 @@ def xml_lines(nodes: DataFrame, dialect: str = "plain") -> DataFrame:
     ends = keyed.filter("kind in ('game', 'dir')").select("source", F.concat("key", F.lit("/~")).alias("place"), F.when(F.col("kind") == "game", F.concat(devices, indent, F.lit(f"</{tag}>"))).otherwise(F.concat(indent, F.lit("</dir>"))).alias("line"))
     dirs = keyed.filter("kind = 'dir'").select("source", F.col("key").alias("place"), F.concat(indent, F.lit("<dir"), attributes([("name", F.col("name"))]), F.lit(">")).alias("line"))
     files = keyed.filter("kind = 'file'").select("source", F.col("key").alias("place"), F.concat(indent, file_line(dialect == "mame")).alias("line"))
-    head = _headers(keyed)
+    head = _headers(_nodes(nodes if headers is None else headers))
     h = lambda k: F.element_at("h", k)
     if dialect == "mame":
         types = "".join(f"\n<!ELEMENT {e} {content}>" + "".join(f"\n\t<!ATTLIST {e} {x}>" for x in more) for e, (content, more) in MACHINE_TYPES.items())
@@ -96,16 +97,26 @@ def _headers(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("source").agg(F.first("header", ignorenulls=True).alias("h")).withColumn("h", F.coalesce("h", F.create_map().cast("map<string,string>")))
 
 
+def _nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("kind in ('dir', 'game', 'file')")
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """Adds a sort key that puts a node after its parent's opening and before its end: ids are given in order of reading, so the key is the chain of zero-padded ids."""
-    n = nodes.filter("kind in ('dir', 'game', 'file')")
-    parent = n.select("source", F.col("node_id").alias("parent_id"), F.format_string("%010d", F.col("node_id")).alias("_p"), F.col("parent_id").alias("_pp"))
-    out = n.withColumn("key", F.format_string("%010d", F.col("node_id"))).withColumn("_up", F.col("parent_id"))
-    depth = n.agg(F.max("depth")).first()[0] or 1
-    for _ in range(depth - 1):  # as many steps as the deepest catalog has levels
-        p = parent.select("source", F.col("parent_id").alias("_up"), "_p", "_pp")
-        out = out.join(p, ["source", "_up"], "left").withColumn("key", F.when(F.col("_p").isNotNull(), F.concat_ws("/", "_p", "key")).otherwise(F.col("key"))).withColumn("_up2", F.coalesce("_pp", F.lit(0))).drop("_p", "_pp", "_up").withColumnRenamed("_up2", "_up")
-    return out.drop("_up")
+    """Adds a sort key that puts a node after its parent's opening and before its end: ids are given in order of reading, so the key is the chain of zero-padded ids.
+
+    A node states its parent's id, so two levels need no join; of deeper nodes only directories and sets are looked up.
+    """
+    n = _nodes(nodes)
+    padded = lambda c: F.format_string("%010d", F.col(c))
+    above = n.filter("kind <> 'file'").select("source", F.col("node_id").alias("_up"), F.col("parent_id").alias("_pp"))
+    stated = n.withColumn("key", F.concat_ws("/", F.when(F.col("parent_id") != 0, padded("parent_id")), padded("node_id")))
+    deepest = n.filter("depth > 2").agg(F.max("depth")).first()[0] or 2
+    if deepest == 2:
+        return stated
+    out = stated.filter("depth > 2").withColumn("_up", F.col("parent_id"))
+    for _ in range(deepest - 2):  # as many steps as the deepest catalog has levels above a node's parent
+        out = out.join(shuffled(above), ["source", "_up"], "left").withColumn("key", F.concat_ws("/", F.when(F.col("_pp") != 0, padded("_pp")), "key")).withColumn("_up", F.coalesce("_pp", F.lit(0))).drop("_pp")
+    return stated.filter("depth <= 2").unionByName(out.drop("_up"))
 
 
 # --- fixed values: types of sets by structure, and the header's fields in order ---
@@ -130,16 +141,16 @@ def json_lines(nodes: DataFrame) -> DataFrame:
     parents = k.filter("kind = 'game'").select("source", F.col("node_id").alias("parent_id"), F.when(F.col("zip_struct") == "ZipTrrnt", "filetrrntzip").alias("_type"))
     entry = F.struct("name", F.col("_type").alias("type"), "size", F.coalesce("crc", F.lit("")).alias("crc"), F.coalesce("sha1", F.lit("")).alias("sha1"), "md5", F.when(F.lower("status") != "good", F.col("status")).alias("status"), F.when(F.col("mia") == "yes", "yes").alias("mia"), F.when(F.col("is_disk"), True).alias("is_disk"))
     files = k.filter("kind = 'file'").join(parents, ["source", "parent_id"], "left").select("source", F.col("key").alias("place"), F.concat(comma, F.to_json(entry)).alias("line"))
-    head = _headers(k)
+    head = _headers(_nodes(nodes))
     fields = F.to_json(F.struct(*[F.coalesce(F.element_at("h", n), F.lit("")).alias(n) for n in JSON_HEADER]))
     opening = head.select("source", F.lit("").alias("place"), F.concat(F.lit('{"Header":'), fields, F.lit(',"root":[')).alias("line"))
     return opening.unionByName(games).unionByName(dirs).unionByName(files).unionByName(ends).unionByName(head.select("source", F.lit("~").alias("place"), F.lit("]}").alias("line")))
 
 
-def dos_lines(nodes: DataFrame) -> DataFrame:
-    """(source, place, line) of plain blocks: the header, then each set, whose name gets ``.zip``, with its files and the hashes they have."""
+def dos_lines(nodes: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(source, place, line) of plain blocks: the header, then each set, whose name gets ``.zip``, with its files and the hashes they have. ``headers``: as for xml_lines."""
     k = _keyed(nodes)
-    head = _headers(k)
+    head = _headers(_nodes(nodes if headers is None else headers))
     body = F.concat(F.lit("DOSCenter ("), *[F.coalesce(F.concat(F.lit(f"\n\t{n}: "), F.element_at("h", n)), F.lit("")) for n in ("name", "description", "version", "date", "author", "homepage", "comment")], F.lit("\n)"))
     games = k.filter("kind = 'game'")
     opening = games.select("source", F.col("key").alias("place"), F.concat(F.lit('\ngame (\n\tname "'), "name", F.lit('.zip"')).alias("line"))

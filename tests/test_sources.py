@@ -235,3 +235,40 @@ def test_blocks_end_anywhere(monkeypatch, block):
     assert [(r["name"], r["path"]) for r in whole[5]] == [("D", []), ("h", []), ("b", ["D"]), ("E", ["D"]), ("f", ["D", "E"]), ("g", ["D", "E", "f"]), ("c é", ["D", "b"])]
     monkeypatch.setattr(readers, "BLOCK", block)
     assert [parsed(t) for t in texts] == whole
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _set_nodes(spark):
+    """A set of two members as literal nodes, the second with a name that needs references."""
+    columns = "source string, node_id int, parent_id int, depth int, ord int, kind string, name string, header map<string,string>, fields map<string,string>, category array<string>, device_ref array<string>, size bigint, crc string, sha1 string, md5 string, sha256 string, merge string, status string, region string, mia string, is_disk boolean"
+    row = lambda i, parent, depth, kind, name: ("s", i, parent, depth, 0, kind, name, {"name": "N"}, {}, [], [], 7 if kind == "file" else None, *[None] * 8, False)
+    return spark.createDataFrame([row(1, 0, 1, "game", "g"), row(2, 1, 2, "file", "a.bin"), row(3, 1, 2, "file", "b & <'\"\t\r\n>.bin")], columns)
+
+
+def test_lines_of_two_levels_take_no_join(spark):
+    nodes = _set_nodes(spark)
+    lines = writers.xml_lines(nodes, headers=nodes.filter("kind = 'game'"))
+    assert "Join" not in _plan(lines)
+    rows = rows_of("x", "\n".join(r.line for r in lines.orderBy("place").collect()).encode())
+    assert [(r["kind"], r["name"], r["size"]) for r in rows] == [("game", "g", None), ("file", "a.bin", 7), ("file", "b & <'\"\t\r\n>.bin", 7)]
+
+
+def test_lines_of_many_levels_keep_their_order(spark, tmp_path):
+    deep = '<datafile><header><name>N</name></header><dir name="A"><dir name="B"><dir name="C"><game name="g"><description>x</description><rom name="r" size="1"/></game></dir></dir><game name="h"><description>x</description><rom name="s" size="2"/></game></dir><game name="i"><description>x</description><rom name="t" size="3"/></game></datafile>'
+    (tmp_path / "deep.dat").write_text(deep)
+    nodes = readers.read_catalogs(spark, str(tmp_path))
+    back = rows_of("x", "\n".join(r.line for r in writers.xml_lines(nodes).orderBy("place").collect()).encode())
+    facts = lambda rows: sorted((r["kind"], r["name"], r["path"], r["depth"], r["ord"]) for r in rows)
+    assert facts(back) == facts(rows_of("x", deep.encode())) and len(back) == 9
+
+
+def test_a_map_that_rows_share_is_converted_once(monkeypatch):
+    import pyarrow as pa
+
+    shared, kind = {"a": "1", "b": "2"}, pa.map_(pa.string(), pa.string())
+    pairs = list(shared.items())
+    assert readers._column((shared,) * 3, kind).to_pylist() == [pairs] * 3 and readers._column((None, None), kind).to_pylist() == [None, None]
+    assert readers._column((shared, None, {}), kind).to_pylist() == [pairs, None, []]
