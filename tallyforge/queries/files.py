@@ -34,11 +34,12 @@ def catalogs(spark: SparkSession, d: str, escaped: bool = True) -> DataFrame:
     nul = F.lit(None).cast("string")
     g = fx.games(spark, d).select("game", F.col("ord").alias("g"), F.translate("brand", "#", "-").alias("source"), "clone_of", "rom_of", "description")
     m = fx.roms(spark, d).join(shuffled(g.select("game", "g", "source")), "game")
-    used = g.join(shuffled(m.select("game").distinct()), "game", "left_semi")
+    held = fx.table(spark, d, "lineitem", ["l_partkey"]).distinct().select(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("game"))
+    used = g.join(shuffled(held), "game", "left_semi")
     first = used.groupBy("source").agg(F.min("g").alias("_first"))
     header = F.create_map(F.lit("name"), F.col("source"), F.lit("version"), F.lit("1"), F.lit("forcepacking"), F.lit("zip"))
     hashes = ["crc", "sha1", "md5", "sha256", "merge", "status", "region", "mia"]
-    sets = used.join(first, "source").select(
+    sets = used.join(first, "source", "left").select(
         "source", F.lit("xml").alias("format"), header.alias("header"), ((F.col("g") + 1) * 1000).cast("int").alias("node_id"), F.lit(0).alias("parent_id"), F.lit(1).alias("depth"), F.when(F.col("g") == F.col("_first"), 0).otherwise(1).alias("ord"), F.lit("game").alias("kind"), F.col("game").alias("name"), F.array().cast("array<string>").alias("path"),
         F.lit(None).cast("decimal(20,0)").alias("size"), *[nul.alias(h) for h in hashes], F.lit(None).cast("boolean").alias("is_disk"), F.create_map(F.lit("cloneof"), "clone_of", F.lit("romof"), "rom_of", F.lit("description"), "description").alias("fields"), F.array().cast("array<string>").alias("category"), F.array().cast("array<string>").alias("device_ref"),
     )

@@ -272,3 +272,9 @@ def test_a_map_that_rows_share_is_converted_once(monkeypatch):
     pairs = list(shared.items())
     assert readers._column((shared,) * 3, kind).to_pylist() == [pairs] * 3 and readers._column((None, None), kind).to_pylist() == [None, None]
     assert readers._column((shared, None, {}), kind).to_pylist() == [pairs, None, []]
+
+
+def test_sets_of_catalogs_are_told_without_members(spark, data):
+    from tallyforge.queries import files
+
+    assert "l_suppkey" not in _plan(files.catalogs(spark, data).filter("kind = 'game'").select("source", "node_id", "name", "header"))
