@@ -278,3 +278,11 @@ def test_sets_of_catalogs_are_told_without_members(spark, data):
     from tallyforge.queries import files
 
     assert "l_suppkey" not in _plan(files.catalogs(spark, data).filter("kind = 'game'").select("source", "node_id", "name", "header"))
+
+
+def test_blocks_of_two_levels_take_no_join(spark):
+    nodes = _set_nodes(spark)
+    lines = writers.dos_lines(nodes, nodes.filter("kind = 'game'"))
+    assert "Join" not in _plan(lines)
+    rows = rows_of("x", "\n".join(r.line for r in lines.filter("not contains(line, '&')").orderBy("place").collect()).encode())
+    assert [(r["kind"], r["name"], r["size"]) for r in rows] == [("game", "g", None), ("file", "a.bin", 7)]
