@@ -4,9 +4,11 @@ import gzip
 import io
 import json
 import struct
+import tracemalloc
 import xml.etree.ElementTree as ET
 import zipfile
 from functools import cmp_to_key
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +290,21 @@ def test_blocks_of_two_levels_take_no_join(spark):
     assert "Join" not in _plan(lines)
     rows = rows_of("x", "\n".join(r.line for r in lines.filter("not contains(line, '&')").orderBy("place").collect()).encode())
     assert [(r["kind"], r["name"], r["size"]) for r in rows] == [("game", "g", None), ("file", "a.bin", 7)]
+
+
+def test_what_a_reader_of_blocks_holds_does_not_follow_the_file(monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK", 1 << 16)
+    head, each, _ = SETS_TEXT["dos"]
+
+    def peak(sets):
+        text = (head + "".join(each.format(i, i) for i in range(sets))).encode()
+        tracemalloc.start()
+        rows, n = readers.node_rows("x", lambda: io.BytesIO(text)), 0
+        while held := list(islice(rows, 1000)):
+            n += len(held)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 2 * sets
+        return most
+
+    assert peak(20_000) < 1.3 * peak(5_000)
