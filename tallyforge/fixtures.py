@@ -103,11 +103,14 @@ def roms(spark: SparkSession, d: str) -> DataFrame:
     """Members of sets; which of their facts are known differs from set to set."""
     from pyspark.sql import Window
 
-    pk, sk, ln = F.col("pk"), F.col("sk"), F.col("ln")
-    m = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).distinct().select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"))
+    pk, sk, ln = F.substring("game", 2, 20).cast("bigint"), F.col("sk"), F.col("ln")
+    # equal rows are told apart within their set, so that rows move once and lie by set
+    w = Window.partitionBy("game").orderBy("sk", "ln")
+    m = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).select(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("game"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("ln"))
+    m = m.select("*", F.dense_rank().over(w).cast("bigint").alias("ord"), F.rank().over(w).alias("first"), F.row_number().over(w).alias("row")).filter("row = first")
     nul, text = F.lit(None).cast("string"), F.concat_ws("-", "sk", "ln")
     return m.select(
-        F.concat(F.lit("g"), pk.cast("string")).alias("game"), F.row_number().over(Window.partitionBy("pk").orderBy("sk", "ln")).cast("bigint").alias("ord"), F.concat(F.lit("r"), "sk", F.lit("-"), "ln", F.lit(".bin")).alias("name"), F.when((pk + sk) % 23 != 0, (sk * 100 + ln).cast("bigint")).alias("size"),
+        "game", "ord", F.concat(F.lit("r"), "sk", F.lit("-"), "ln", F.lit(".bin")).alias("name"), F.when((pk + sk) % 23 != 0, (sk * 100 + ln).cast("bigint")).alias("size"),
         F.when((pk + ln) % 3 == 0, F.substring(F.md5(text), 1, 8)).alias("crc"), F.when((pk + sk) % 6 != 0, F.sha1(text)).alias("sha1"), nul.alias("sha256"), F.when(pk % 5 == 0, F.md5(text)).alias("md5"),
         F.when(sk % 11 == 0, "nodump").when(sk % 13 == 0, "deduped").alias("status"), F.when(ln == 7, "yes").alias("mia"), F.when(sk % 5 == 0, F.concat(F.lit("m"), "sk")).alias("merge"), (ln == 5).alias("is_disk"), nul.alias("dat_status"),
     )

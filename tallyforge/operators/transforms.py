@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import ascii_lower, compared, equal_or_null, stem
+from tallyforge.operators import ways as ways_
+from tallyforge.operators.ways import ASKS, DISK, FACTS
 from tallyforge.schemas import FIXED_DOS_PACKED
 from tallyforge.session import by_group, carry_last, components, cut, shuffled, sized_join, spread_rank
 
 HASHES = ["crc", "sha1", "sha256", "md5"]
+#: Members of a set whose ords agree but for so many bits are packed together (64, as a number has bits), and packs with their number likewise.
+PACK_BITS, BOOK_BITS = 6, 9
+#: Sets that share a way up the clone graph and are compared in one task.
+WAY_SETS = 5_000
 
 
 # --- row-wise ---
@@ -220,29 +226,39 @@ def _by_name(games: DataFrame) -> DataFrame:
     return games.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("r")).select(*keys, "r.*") if "ord" in rest else games.dropDuplicates(keys)
 
 
-def parent_chain(games: DataFrame, include_bios: bool = True) -> DataFrame:
-    """(game, ancestor, depth, bios): rom_of, unless it is missing or the set itself, else clone_of, followed by name among sets of the same type until it is missing, a set names itself, or a set comes again; without ``include_bios`` it stops before a BIOS.
+def _ways(games: DataFrame, include_bios: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a set names first, (game, first), and the ways up from there, (first, ancestor, depth, bios), each with file_type if there is one.
 
-    Each step is an equi-join on the frontier; as many steps as the graph is deep. Behind the first step rom_of holds
-    wherever it is stated. A set that comes round to itself is its own ancestor.
+    A way depends on its first ancestor only, so sets that name the same one share it, and only sets that are named by
+    another are looked up. Each step is an equi-join on the frontier; as many steps as the graph is deep.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in games.columns else F.lit("")
     typed = ["file_type"] if "file_type" in games.columns else []
-    sets = cut(_by_name(games.select("game", *typed, *(["ord"] if "ord" in games.columns else []), text("rom_of").alias("rom"), F.col("rom_of").isNotNull().alias("stated") if "rom_of" in games.columns else F.lit(False).alias("stated"), text("clone_of").alias("clone"), (text("is_bios")).alias("is_bios"))))
-    own = lambda c: (F.col(c) == "") | (F.col(c) == F.col("game"))
-    bios = (F.col("is_bios") == "yes").alias("bios")
-    begin = sets.select("game", *typed, F.when(own("rom"), F.col("clone")).otherwise(F.col("rom")).alias("ancestor")).filter(~own("ancestor"))
-    onward = sets.select(F.col("game").alias("at"), *typed, F.when(F.col("stated"), F.col("rom")).otherwise(F.col("clone")).alias("ancestor")).filter((F.col("ancestor") != "") & (F.col("ancestor") != F.col("at")))
-    known = sets.select(F.col("game").alias("ancestor"), *typed, bios)
+    sets = _by_name(games.select("game", *typed, *(["ord"] if "ord" in games.columns else []), text("rom_of").alias("rom"), F.col("rom_of").isNotNull().alias("stated") if "rom_of" in games.columns else F.lit(False).alias("stated"), text("clone_of").alias("clone"), (text("is_bios") == "yes").alias("bios")))
+    other = lambda c: F.when((c != "") & (c != F.col("game")), c)
+    first = F.when(other(F.col("rom")).isNull(), F.col("clone")).otherwise(F.col("rom"))
+    sets = cut(sets.select("game", *typed, other(first).alias("first"), other(F.when(F.col("stated"), F.col("rom")).otherwise(F.col("clone"))).alias("later"), "bios"))
+    begin = sets.filter("first is not null").select("game", *typed, "first")
+    named = begin.select(F.col("first").alias("game"), *typed).unionByName(sets.filter("later is not null").select(F.col("later").alias("game"), *typed)).distinct()
+    known = cut(sets.join(shuffled(named), ["game", *typed], "left_semi").select(F.col("game").alias("ancestor"), *typed, "later", "bios"))
     stop = lambda df: df if include_bios else df.filter(~F.col("bios"))
-    frontier = cut(stop(begin.join(shuffled(known), ["ancestor", *typed]).select("game", *typed, "ancestor", F.lit(1).alias("depth"), F.array("ancestor").alias("seen"), "bios")))
+    frontier = cut(stop(known.join(shuffled(begin.select(F.col("first").alias("ancestor"), *typed).distinct()), ["ancestor", *typed], "left_semi").select(F.col("ancestor").alias("first"), *typed, "ancestor", F.lit(1).alias("depth"), F.array("ancestor").alias("seen"), "later", "bios")))
     out = frontier
     while not frontier.isEmpty():
-        step = sized_join(frontier.select("game", *typed, F.col("ancestor").alias("at"), "depth", "seen"), onward, ["at", *typed], "inner").join(shuffled(known), ["ancestor", *typed])
-        step = step.filter(~F.array_contains("seen", F.col("ancestor"))).select("game", *typed, "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"), "bios")
+        step = sized_join(frontier.filter("later is not null").select("first", *typed, F.col("later").alias("ancestor"), "depth", "seen"), known, ["ancestor", *typed], "inner")
+        step = step.filter(~F.array_contains("seen", F.col("ancestor"))).select("first", *typed, "ancestor", (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"), "later", "bios")
         frontier = cut(stop(step))
         out = out.unionByName(frontier)
-    return out.select("game", "ancestor", "depth", "bios")
+    return begin, out.select("first", *typed, "ancestor", "depth", "bios")
+
+
+def parent_chain(games: DataFrame, include_bios: bool = True) -> DataFrame:
+    """(game, ancestor, depth, bios): rom_of, unless it is missing or the set itself, else clone_of, followed by name among sets of the same type until it is missing, a set names itself, or a set comes again; without ``include_bios`` it stops before a BIOS.
+
+    Behind the first step rom_of holds wherever it is stated. A set that comes round to itself is its own ancestor.
+    """
+    begin, ways = _ways(games, include_bios)
+    return begin.join(shuffled(ways), [c for c in begin.columns if c != "game"]).select("game", "ancestor", "depth", "bios")
 
 
 def file_equivalent(a: str, b: str) -> Column:
@@ -282,14 +298,56 @@ def held_above(members: DataFrame, above: DataFrame, chain: DataFrame) -> DataFr
     return asked.join(shuffled(held), ["ancestor", "k1", "k2"], "left_semi").select("game", "ord").distinct()
 
 
+def _is_dumped(members: DataFrame) -> Column:
+    return F.coalesce(F.col("status") != "nodump", F.lit(True)) if "status" in members.columns else F.lit(True)
+
+
 def _dumped(members: DataFrame) -> DataFrame:
-    return members.filter(F.coalesce(F.col("status") != "nodump", F.lit(True))) if "status" in members.columns else members
+    return members.filter(_is_dumped(members)) if "status" in members.columns else members
+
+
+def held_on_ways(games: DataFrame, members: DataFrame) -> DataFrame:
+    """(game, book, found) of dumped members to which a member of any ancestor is equivalent (see ``file_equivalent``): their ords as bits, see ``_is_found``; laid out by game.
+
+    Members move once, packed by set with 64-bit hashes of what they know, to the way of their set, and those of
+    ancestors to each way they lie on; what ``held_above`` writes a key for, each ancestor and pattern of known facts, is
+    compared in memory. A way of more than ``WAY_SETS`` sets is spread, its ancestors repeated.
+    """
+    begin, ways = _ways(games)
+    way = [c for c in begin.columns if c != "game"]
+    spread = begin.groupBy(*way).agg(F.ceil(F.count("*") / WAY_SETS).cast("int").alias("parts")).join(shuffled(ways.filter("depth = 1").select(*way)), way, "left_semi")
+    named = lambda part: F.xxhash64(*way, part).alias("way")
+    asking = begin.join(shuffled(spread), way).select("game", named(F.pmod(F.hash("game"), "parts")), F.lit(True).alias("asks"))
+    giving = ways.join(shuffled(spread), way).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("ancestor").alias("game"), named(F.col("part")), F.lit(False).alias("asks"))
+    asks = _is_dumped(members) & F.col("ord").isNotNull()
+    mask = _known() + F.when(F.coalesce("is_disk", F.lit(False)), DISK).otherwise(0) + F.when(asks, ASKS).otherwise(0)
+    known = [F.col("size").cast("bigint"), *[F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in FACTS[1:]]]
+    ord_ = F.coalesce(F.col("ord").cast("bigint"), F.lit(0))
+    rows = members.select("game", F.shiftright(ord_, PACK_BITS).alias("pack"), ord_.bitwiseAND(F.lit(63)).cast("tinyint").alias("places"), mask.cast("tinyint").alias("mask"), *[v.alias(c) for c, v in zip(FACTS, known, strict=True)])
+    packs = rows.groupBy("game", "pack").agg(*[F.collect_list(c).alias(c) for c in ["places", "mask", *FACTS]])
+    # packs without a way stay, emptied: an inner join would filter the members that are read here, and they would be shuffled once more than those that are marked
+    placed = packs.join(shuffled(asking.unionByName(giving)), "game", "left")
+    asked = F.coalesce("asks", F.lit(True))
+    filled = lambda c, when: F.when(when, F.col(c)).otherwise(F.array().cast(dict(packs.dtypes)[c])).alias(c)
+    placed = placed.select(F.coalesce("way", F.xxhash64("game")).alias("way"), asked.alias("asks"), F.when(asked, F.col("game")).alias("game"), "pack", filled("places", F.col("asks")), *[filled(c, F.col("way").isNotNull()) for c in ("mask", *FACTS)])
+    found = placed.repartition("way").sortWithinPartitions("way", "asks").mapInArrow(ways_.held_above, f"game {dict(members.dtypes)['game']}, pack bigint, bits bigint")
+    found = found.repartition("game").groupBy("game", "pack").agg(F.bit_or("bits").alias("bits"))
+    return found.groupBy("game", F.shiftright("pack", BOOK_BITS).alias("book")).agg(F.map_from_entries(F.collect_list(F.struct("pack", "bits"))).alias("found"))
+
+
+def _is_found(members: DataFrame, held: DataFrame) -> DataFrame:
+    """``members`` with ``_in``, true for those of ``held_on_ways``. They meet by game alone, so that members that lie by game stay where they are."""
+    ord_ = F.col("ord").cast("bigint")
+    # not book = ..., which would be a key
+    same = (F.col("game") == F.col("_game")) & (F.shiftright(ord_, PACK_BITS + BOOK_BITS) - F.col("book") == 0)
+    bits = F.try_element_at("found", F.shiftright(ord_, PACK_BITS))
+    out = members.join(shuffled(held.withColumnRenamed("game", "_game")), same, "left")
+    return out.select(*members.columns, (F.getbit(bits, ord_.bitwiseAND(F.lit(63)).cast("int")) == 1).alias("_in"))
 
 
 def split_set(games: DataFrame, members: DataFrame) -> DataFrame:
     """Members that an ancestor, BIOS included, also holds are merged, those never dumped excepted."""
-    held = held_above(_dumped(members), members, parent_chain(games)).withColumn("_in", F.lit(True))
-    out = members.join(shuffled(held), ["game", "ord"], "left")
+    out = _is_found(members, held_on_ways(games, members))
     return out.withColumn("dat_status", F.when(F.col("_in"), "InDatMerged").otherwise(F.col("dat_status"))).withColumn("merge", F.when(F.col("_in") & (F.coalesce("merge", F.lit("")) == ""), "(Auto Merged)").otherwise(F.col("merge"))).select(*members.columns)
 
 

@@ -72,6 +72,41 @@ def test_sets_as_walked(spark, seed):
     assert sorted((x.game, x.name) for x in transforms.merge_set(games, members, with_game_name=True).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_split_set_in_small_parts(spark, monkeypatch, seed):
+    """Ways spread over tasks and packs that come one by one; ords of any size, some unknown, which count for others only."""
+    monkeypatch.setattr(transforms, "WAY_SETS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    ords = [-70, -1, 0, 63, 64, 70_000, 1 << 40, None]
+    sets, rows = random_sets(seed + 20, each=8)
+    rows = [(m[0], ords[m[1]], *m[2:]) for m in rows]
+    try:
+        out = transforms.split_set(spark.createDataFrame(sets, GAME), spark.createDataFrame(rows, MEMBER)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    chains = {s[0]: chain_of(s[0], sets) for s in sets}
+    want = {(m[0], m[1]) for m in rows if m[9] != "nodump" and m[1] is not None and any(same(m, p) for p in rows if p[0] in chains[m[0]])}
+    assert len(out) == len(rows) and {(x.game, x.ord) for x in out if x.dat_status == "InDatMerged"} == want
+
+
+def test_split_set_moves_each_member_a_few_times(spark):
+    """No key is written for each ancestor and pattern of known facts."""
+    sets = [(f"g{i}", i, f"g{i // 10 * 10}" if i % 10 else None, None if i % 10 else "g0", "yes" if i == 0 else None, []) for i in range(100)]
+    known = lambda i, bit, v: v if i >> bit & 1 else None
+    rows = [(f"g{g}", i, "a", known(i, 0, i), known(i, 1, f"c{g}-{i}"), known(i, 2, f"s{g}-{i}"), None, known(i, 3, f"m{g}-{i}"), None, None, False, None) for g in range(100) for i in range(1, 33)]
+    games, members = spark.createDataFrame(sets, GAME), spark.createDataFrame(rows, MEMBER)
+    context = spark.sparkContext
+    context.setJobGroup("split_set", "")
+    try:
+        transforms.split_set(games, members).write.format("noop").mode("overwrite").save()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup("split_set") for i in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages) < 4 * len(rows)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_devices_as_walked(spark, seed):
     sets, rows = random_sets(seed + 10)
