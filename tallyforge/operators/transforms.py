@@ -22,7 +22,7 @@ HASHES = ["crc", "sha1", "sha256", "md5"]
 #: Members of a set whose ords agree but for so many bits are packed together (64, as a number has bits), and packs with their number likewise.
 PACK_BITS, BOOK_BITS = 6, 9
 #: Sets that share a way up the clone graph and are compared in one task.
-WAY_SETS = 5_000
+WAY_SETS = 20_000
 
 
 # --- row-wise ---
